@@ -6,12 +6,17 @@ same results as the window functions with a two-phase scan instead:
 
 1. ``repartitionByRange(P, key…, order…)`` — balanced partitions; a hot key is split across
    several consecutive partitions.
-2. Per (partition, key) totals — an aggregate. A key that started in an earlier partition can only
-   be the *first* key of a later one, so the carry-in table has at most one row per partition
-   (≤ P rows) and is broadcast with that bound.
+2. Per partition, a summary of its first key and its last key's total (≤ 2 rows per partition).
+   A key that started in an earlier partition can only be the *first* key of a later one, so
+   the carry-in table has at most one row per partition (≤ P rows) and is broadcast with that
+   bound.
 3. One pass per partition (Arrow batches through ``mapInPandas``) adds the carry-in to the
    in-partition cumulative sum. No second shuffle.
 
+The range-partitioned rows are written once with ``checkpoint()`` to the shared checkpoint folder
+so that both passes read identical partitions (range bounds are sampled, and re-sampling over a
+re-executed shuffle could move rows between partitions).
+
 ``previous_in_key`` then finds the preceding row by an equi join on (key, position - 1), whose
 keys are unique, instead of ``lag`` over a skewed window.
 """
@@ -26,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quizmart.session import checkpoint_root
+
 _V, _PID, _CARRY, _TOT = "__scan_v", "__scan_pid", "__scan_carry", "__scan_tot"
 
 
@@ -35,13 +42,6 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Iterable[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def _same_key(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     eq = np.ones(len(a), dtype=bool)
     for c in a.columns:
@@ -75,7 +75,6 @@ def _scan_batches(keys: list[str], out: str, out_is_long: bool):
                 start[0] = prev_key is None
                 prev_key = ()
             gid = np.cumsum(start)  # group ordinal within the batch (0 = continues previous batch)
-            gid = gid - (0 if start[0] else 0)
             cs = pd.Series(v).groupby(gid).cumsum().to_numpy()
             base = np.where(start, carry, 0)
             if not start[0]:
@@ -89,6 +88,38 @@ def _scan_batches(keys: list[str], out: str, out_is_long: bool):
     return fn
 
 
+def _summarize(keys: list[str], as_double: bool):
+    """Per partition: its first key, and its last key with the sum of that key's values."""
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        first = last = None
+        last_sum = 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[keys].reset_index(drop=True)
+            v = pdf[_V].fillna(0).to_numpy()
+            if first is None:
+                first = tuple(k.iloc[0].tolist())
+            tail = tuple(k.iloc[len(k) - 1].tolist())
+            same = _same_key(k, pd.DataFrame([tail] * len(k), columns=keys))
+            # rows of the tail key are a suffix of the (sorted) batch
+            tail_sum = v[same].sum()
+            cont = last is not None and all((a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(tail, last))
+            all_same = bool(same.all())
+            last_sum = (last_sum + tail_sum) if (cont and all_same) else tail_sum
+            last = tail
+        if first is None:
+            return
+        rows = [dict(zip(keys, first), **{_PID: pid, "__scan_kind": 0, _TOT: 0}),
+                dict(zip(keys, last), **{_PID: pid, "__scan_kind": 1, _TOT: last_sum})]
+        out = pd.DataFrame(rows)
+        out[_TOT] = out[_TOT].astype("float64" if as_double else "int64")
+        yield out
+    return fn
+
+
 def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value: Column, out: str,
                 num_partitions: int | None = None, as_double: bool = False) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)`` as ``out``.
@@ -96,26 +127,51 @@ def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value:
     ``order`` should make the order total (add an id); ties are otherwise broken arbitrarily,
     as with the window function. NULL values add 0. Works with ``keys=[]`` (one global order)
     without pulling everything into one partition.
+
+    The range-partitioned rows are checkpointed once, so the summary pass and the main pass see
+    the same partitions.
     """
     keys, order = list(keys), list(order)
+    out_cols = list(df.columns)
+    base = df
+    if not keys:  # one global order: a constant key keeps one code path
+        base = base.withColumn("__scan_all", F.lit(0))
+        keys = ["__scan_all"]
     sort_cols = keys + order
     n = _num_partitions(df, num_partitions)
     vt = "double" if as_double else "bigint"
-    ranged = (df.withColumn(_V, value.cast(vt))
+    checkpoint_root(df.sparkSession)
+    # Materialise the range-partitioned, sorted rows once (reliable checkpoint in the shared
+    # folder): both passes then read identical partitions, whatever the optimiser does to either
+    # branch, and a lost executor re-reads the checkpoint instead of re-sampling range bounds.
+    ranged = (base.withColumn(_V, value.cast(vt))
               .repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in sort_cols])
-              .withColumn(_PID, F.spark_partition_id()))
-    totals = ranged.groupBy(_PID, *keys).agg(F.sum(_V).alias(_TOT))
-    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    # ≤ one row per partition: only a partition's first key can continue from earlier partitions.
-    carry = (totals.select(_PID, *keys, F.sum(_TOT).over(w).alias(_CARRY))
-             .filter(F.col(_CARRY).isNotNull() & (F.col(_CARRY) != 0)))
-    c = carry.alias("c")
-    joined = ranged.alias("r").join(F.broadcast(c), _null_safe_on(ranged.alias("r"), c, [_PID, *keys]), "left")
-    joined = joined.select("r.*", F.col(f"c.{_CARRY}").alias(_CARRY))
+              .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in sort_cols])
+              .checkpoint(eager=True))
+    key_fields = [f for f in base.schema.fields if f.name in keys]
+    tot_type = T.DoubleType() if as_double else T.LongType()
+    sschema = T.StructType(key_fields + [T.StructField(_PID, T.IntegerType()),
+                                         T.StructField("__scan_kind", T.IntegerType()),
+                                         T.StructField(_TOT, tot_type)])
+    summary = ranged.mapInPandas(_summarize(keys, as_double), sschema)
+    # ≤ 2 rows per partition. A partition's first key continues the last keys of earlier
+    # partitions only; its carry is the sum of those tails (window over ≤ 2P rows).
+    w = Window.partitionBy(*keys).orderBy(_PID, "__scan_kind").rowsBetween(Window.unboundedPreceding, -1)
+    cnames = {c: f"__scan_c{i}" for i, c in enumerate([_PID, *keys])}
+    carry = (summary.withColumn(_CARRY, F.sum(_TOT).over(w))
+             .filter((F.col("__scan_kind") == 0) & F.col(_CARRY).isNotNull() & (F.col(_CARRY) != 0))
+             .select(*[F.col(c).alias(nm) for c, nm in cnames.items()], _CARRY))
+    cond = F.lit(True)
+    for c, nm in cnames.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(nm))
+    joined = (ranged.withColumn(_PID, F.spark_partition_id())
+              .join(F.broadcast(carry), cond, "left").drop(*cnames.values()))
+    # Already in order (broadcast join streams the checkpointed side in order); Spark drops this
+    # sort as redundant when the ordering is known.
     ordered = joined.sortWithinPartitions(*[F.col(x).asc_nulls_first() for x in sort_cols])
-    out_type = T.DoubleType() if as_double else T.LongType()
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, out_type, True)])
-    return ordered.mapInPandas(_scan_batches(keys, out, not as_double), schema)
+    schema = T.StructType(list(base.schema.fields) + [T.StructField(out, tot_type, True)])
+    res = ordered.mapInPandas(_scan_batches(keys, out, not as_double), schema)
+    return res.select(*out_cols, out)
 
 
 def sequence_number(df: DataFrame, keys: Iterable[str], order: Iterable[str], out: str,

@@ -62,4 +62,9 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     for t in list(extra.values()) + [body]:
         visit(t)
     ctes = [f"{n} AS ({VIEWS[n]})" for n in needed] + [f"{n} AS ({sql})" for n, sql in extra.items()]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    if not ctes:
+        return body
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":  # merge the body's own CTE list into ours
+        return "WITH " + ",\n".join(ctes) + ",\n" + stripped[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -71,3 +71,186 @@ def q_user_scores(spark, d):
 @query("e7_existing_answer_count")
 def q_existing_answer_count(spark, d):
     return reports.existing_answer_count(sv.game_answers(spark, d))
+
+
+# ---------------------------------------------------------------- B data quality, D8, D9
+from quizmart.operators import quality  # noqa: E402
+
+NOW = "2024-02-01 00:00:00"  # the explicit "current timestamp" of every change job
+
+
+def now_lit():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+@query("b1_not_null_questions")
+def q_not_null(spark, d):
+    v = quality.violations_not_null(sv.questions(spark, d),
+                                    ["question_id", "text", "course_id", "checked_by_adminid"])
+    return v.select("question_id", "rule")
+
+
+@query("b2_unique_answer_per_round")
+def q_unique(spark, d):
+    v = quality.violations_unique(sv.game_answers(spark, d), ["game_id", "user_id", "round_no"])
+    return v.select("game_id", "user_id", "round_no", "answer_id", "tie1", "key_count", "rule")
+
+
+@query("b3_fk_chats_games")
+def q_fk(spark, d):
+    v = quality.violations_fk(sv.chats(spark, d), "game_id", sv.games(spark, d), "game_id")
+    return v.select("chat_id", "game_id", "rule")
+
+
+@query("b3_fk_answers_questions")
+def q_fk2(spark, d):
+    v = quality.violations_fk(sv.answers(spark, d), "question_id", sv.questions(spark, d), "question_id")
+    return v.select("answer_id", "question_id", "rule")
+
+
+def game_status_changes(spark, d):
+    """J1 change set (FIXTURES.md): every third game gets a new status by game_id % 4."""
+    g = sv.games(spark, d).filter(F.col("game_id") % 3 == 0)
+    m = F.col("game_id") % 4
+    new = (F.when(m == 0, "waiting").when(m == 1, "active").when(m == 2, "finished").otherwise("bogus"))
+    return g.select("game_id", new.alias("status"))
+
+
+@query("b4_domain_game_status_changes")
+def q_domain(spark, d):
+    v = quality.violations_domain(game_status_changes(spark, d), "status", ["waiting", "active", "finished"])
+    return v.select("game_id", "status", "rule")
+
+
+@query("b5_length_question_text")
+def q_length(spark, d):
+    v = quality.violations_length(sv.questions(spark, d), "text", 500)
+    return v.select("question_id", F.char_length("text").alias("n_chars"), "rule")
+
+
+@query("b6_defaults_questions")
+def q_defaults(spark, d):
+    q = sv.questions(spark, d).select("question_id", "course_id", "checked_by_adminid")
+    out = quality.apply_defaults(q, {"status": "pending", "creation_date": now_lit(),
+                                     "checked_by_adminid": F.lit(-1)})
+    return out.select("question_id", "course_id", "checked_by_adminid", "status", "creation_date")
+
+
+@query("b7_surrogate_chat_ids")
+def q_surrogate(spark, d):
+    msgs = sv.events(spark, d).filter(F.col("kind") == "chat-message").select("event_id", "ts", "user_id")
+    out = quality.assign_surrogate_key(msgs, "chat_id", ["ts", "event_id"], existing=sv.chats(spark, d))
+    return out.select("event_id", "chat_id")
+
+
+@query("b8_quiz_shape")
+def q_shape(spark, d):
+    return quality.violations_quiz_shape(sv.games(spark, d), sv.game_rounds(spark, d), sv.questions(spark, d),
+                                         sv.answers(spark, d), sv.game_groups(spark, d))
+
+
+@query("d8_unapproved_in_play")
+def q_unapproved(spark, d):
+    return quality.unapproved_in_play(sv.game_rounds(spark, d), sv.questions(spark, d)).select(
+        "round_no", "game_id", "question_id")
+
+
+@query("d8_playable_questions")
+def q_playable(spark, d):
+    return quality.playable_questions(sv.questions(spark, d), sv.game_rounds(spark, d)).select(
+        "question_id", "course_id", "status")
+
+
+@query("d9_align_rounds")
+def q_align(spark, d):
+    out = quality.align_rounds(sv.game_rounds(spark, d), sv.game_answers(spark, d), sv.answers(spark, d))
+    return out.select("game_id", "user_id", "answer_id", "round_no", "round_serial", "round_question_id",
+                      "answer_question_id", "question_match")
+
+
+# ---------------------------------------------------------------- C screens, F1 pager
+from quizmart.operators import screens  # noqa: E402
+
+
+@query("c1_moderation_questions")
+def q_mod_questions(spark, d):
+    return screens.moderation_board(sv.questions(spark, d), " The ", "pending", ["text"],
+                                    id_col="question_id", title_col="text")
+
+
+def quiz_items(spark, d):
+    """Quiz-moderation records from part: title, author, tags, status, createdAt text."""
+    p = sv.table(spark, d, "part")
+    m3, m4 = F.col("p_size") % 3, F.col("p_size") % 4
+    created = F.when(m4 == 0, F.lit("not a date")).otherwise(
+        F.concat(F.lit("2024-0"), (F.col("p_size") % 9 + 1).cast("string"), F.lit("-15T08:30:00")))
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("title"),
+                    F.col("p_brand").alias("author"), F.split("p_name", " ").alias("tags"),
+                    F.when(m3 == 0, "approved").when(m3 == 1, "rejected").alias("status"),
+                    created.alias("created_at"))
+
+
+@query("c2_moderation_quizzes")
+def q_mod_quizzes(spark, d):
+    return screens.moderation_board(quiz_items(spark, d), "RED", "all", ["title", "author"], ["tags"],
+                                    created_col="created_at")
+
+
+@query("f1_catalogue_view")
+def q_catalogue(spark, d):
+    out = screens.catalogue_view(sv.courses(spark, d), sv.questions(spark, d), sv.answers(spark, d), "a")
+    return out.select("course_id", "course_name", "question_id", "position", "question_total", "pager_label",
+                      "has_prev", "has_next", "answer_id", "answer_text", "right_wrong", "answer_label")
+
+
+@query("c13_feedback_report")
+def q_feedback(spark, d):
+    out = screens.feedback_report(sv.game_answers(spark, d), sv.answers(spark, d))
+    return out.select("game_id", "user_id", "round_no", "answer_id", "tie1", "is_right", "right_text", "feedback")
+
+
+def registration_forms(spark, d):
+    c = sv.table(spark, d, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        k.alias("form_id"),
+        F.when(k % 7 == 0, F.lit(" ")).otherwise(F.substring("c_name", 1, 8)).alias("firstname"),
+        F.col("c_mktsegment").alias("surname"),
+        F.expr("substr(c_name, 10, CAST(c_custkey % 6 AS INT))").alias("username"),
+        F.concat(F.lower("c_mktsegment"), F.lit("@example.org")).alias("email"),
+        F.expr("substr(c_name, 1 + CAST(c_custkey % 5 AS INT), CAST(c_custkey % 9 AS INT))").alias("password"),
+        F.concat(F.lit("avatar"), (F.col("c_nationkey") % 4).cast("string"), F.lit(".jpeg")).alias("avatar_file"))
+
+
+@query("c15_registration_check")
+def q_registration(spark, d):
+    return screens.registration_check(registration_forms(spark, d)).select("form_id", "rule", "avatar_id")
+
+
+@query("c16_profile_check")
+def q_profile(spark, d):
+    c = sv.table(spark, d, "customer")
+    forms = c.select(
+        F.col("c_custkey").alias("form_id"),
+        F.expr("substr(c_name, 1, CAST(c_custkey % 12 AS INT))").alias("password"),
+        F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE substr(c_name, 1, CAST(c_custkey % 12 AS INT)) END")
+         .alias("confirm_password"),
+        F.expr("substr(c_name, 10, CAST(c_custkey % 6 AS INT))").alias("username"))
+    return screens.profile_check(forms).select("form_id", "rule")
+
+
+@query("c17_submission_screen")
+def q_submission(spark, d):
+    p = sv.table(spark, d, "part")
+    subs = p.select(
+        F.col("p_partkey").alias("submission_id"), F.col("p_name").alias("text"),
+        F.array("p_brand", "p_type", "p_name",
+                F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise(F.col("p_type"))).alias("answers"),
+        F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.col("p_type")).alias("category"),
+        F.when(F.col("p_size") % 11 == 0, F.lit(None)).otherwise(F.col("p_size") % 4).cast("int").alias("correct"))
+    return screens.submission_screen(subs).select("submission_id", "rule", "status", "marked")
+
+
+@query("c10_profile_load")
+def q_profile_load(spark, d):
+    return screens.profile_load(sv.table(spark, d, "pages"))
