@@ -254,3 +254,156 @@ def q_submission(spark, d):
 @query("c10_profile_load")
 def q_profile_load(spark, d):
     return screens.profile_load(sv.table(spark, d, "pages"))
+
+
+# ---------------------------------------------------------------- D5, F5, J changes
+from quizmart.operators import changes  # noqa: E402
+
+TIE_ORDER = ["answered_at", "tie1", "tie2", "tie3"]
+ANSWER_COLS = ["game_id", "user_id", "answer_id", "round_no", "right_wrong", "tie1", "tie2", "tie3"]
+
+
+def answers_with_gaps(spark, d):
+    """Answer table with every 50th answer missing (FIXTURES: D5 rejects)."""
+    return sv.answers(spark, d).filter(F.col("answer_id") % 50 != 49)
+
+
+@query("d5_score_answers")
+def q_score(spark, d):
+    acc, rej = changes.score_answers(sv.game_answers(spark, d), answers_with_gaps(spark, d))
+    return acc.withColumn("reason", F.lit(None).cast("string")).unionByName(rej).select(*ANSWER_COLS, "reason")
+
+
+@query("f5_duplicate_round_answers")
+def q_dups(spark, d):
+    acc, rej = changes.duplicate_round_answers(sv.game_answers(spark, d), order=TIE_ORDER)
+    return acc.withColumn("reason", F.lit(None).cast("string")).unionByName(rej).select(*ANSWER_COLS, "reason")
+
+
+def _ingest(spark, d):
+    ga = sv.game_answers(spark, d)
+    existing = ga.filter(F.col("tie1") % 2 == 0)
+    incoming = ga.filter(F.col("tie1") % 2 == 1)
+    return changes.ingest_answers(existing, incoming, answers_with_gaps(spark, d), sv.games(spark, d),
+                                  order=TIE_ORDER)
+
+
+@query("j4_ingest_answers")
+def q_ingest(spark, d):
+    acc, rej, _ = _ingest(spark, d)
+    return acc.withColumn("reason", F.lit(None).cast("string")).unionByName(rej).select(*ANSWER_COLS, "reason")
+
+
+@query("j4_ingest_scores")
+def q_ingest_scores(spark, d):
+    return _ingest(spark, d)[2]
+
+
+@query("j5_refresh_group_scores")
+def q_refresh(spark, d):
+    scores = reports.user_scores(sv.game_answers(spark, d), sv.games(spark, d), 10)
+    return changes.refresh_group_scores(sv.game_groups(spark, d), scores)
+
+
+@query("j1_apply_game_status")
+def q_game_status(spark, d):
+    _snap, dec, _rej = changes.apply_game_status(sv.games(spark, d), game_status_changes(spark, d), NOW)
+    return dec.select(F.col("old_game_id").alias("game_id"), "old_status", "new_status", "reason",
+                      "new_start_date", "new_finish_date")
+
+
+@query("j1_game_snapshot")
+def q_game_snapshot(spark, d):
+    snap, _dec, _rej = changes.apply_game_status(sv.games(spark, d), game_status_changes(spark, d), NOW)
+    return snap
+
+
+def question_review_changes(spark, d):
+    q = sv.questions(spark, d).filter(F.col("question_id") % 2 == 0)
+    return q.select("question_id", F.when(F.col("question_id") % 4 == 0, "approved").otherwise("rejected")
+                    .alias("status"))
+
+
+@query("j2_apply_question_review")
+def q_review(spark, d):
+    qs = sv.questions(spark, d).drop("text")
+    _snap, dec, _rej = changes.apply_question_review(qs, question_review_changes(spark, d), NOW)
+    return dec.select(F.col("old_question_id").alias("question_id"), "old_status", "new_status",
+                      "new_checked_by_adminid", "reason", "new_check_date")
+
+
+@query("j3_touch_updated_at")
+def q_touch(spark, d):
+    u = sv.users(spark, d)
+    chg = u.filter(F.col("user_id") % 5 == 0).select("user_id", F.upper("username").alias("username"))
+    return changes.touch_updated_at(u, chg, "user_id", NOW)
+
+
+def moderation_updates(spark, d):
+    e = sv.events(spark, d)
+    st = F.when(F.col("kind") == "page", "approved").when(F.col("kind") == "answer", "rejected").otherwise("pending")
+    return e.select("user_id", st.alias("status"), "ts", "event_id")
+
+
+@query("j6_set_status")
+def q_set_status(spark, d):
+    u = quality.apply_defaults(sv.users(spark, d).select("user_id", "username"), {"status": "pending"})
+    return changes.set_status(u, moderation_updates(spark, d), "user_id", tie="event_id")
+
+
+def order_snapshots(spark, d):
+    o = sv.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    old = o.filter(F.col("o_orderkey") % 10 != 0)
+    new = (o.filter(F.col("o_orderkey") % 10 != 1)
+           .withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 2, F.col("o_totalprice") + 1)
+                       .otherwise(F.col("o_totalprice"))))
+    return old, new
+
+
+@query("j7_audit_diff")
+def q_audit(spark, d):
+    old, new = order_snapshots(spark, d)
+    a = changes.audit_diff(old, new, ["o_orderkey"], "orders", NOW)
+    return a.select("o_orderkey", "table_name", "operation", "user_id", "timestamp",
+                    F.get_json_object("old_values", "$.o_totalprice").cast("double").alias("old_totalprice"),
+                    F.get_json_object("new_values", "$.o_totalprice").cast("double").alias("new_totalprice"),
+                    F.get_json_object("new_values", "$.o_orderstatus").alias("new_orderstatus"))
+
+
+def profiles(spark, d):
+    c = sv.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"),
+                    F.col("c_mktsegment").alias("segment"),
+                    F.concat(F.lit("pw"), F.col("c_custkey").cast("string")).alias("password"))
+
+
+@query("j8_patch_profile")
+def q_patch(spark, d):
+    c = sv.table(spark, d, "customer").filter(F.col("c_custkey") % 3 == 0)
+    k = F.col("c_custkey")
+    patches = c.select(k.alias("user_id"),
+                       F.when(k % 2 == 0, F.lit("")).otherwise(F.lower("c_name")).alias("username"),
+                       F.when(k % 4 == 1, F.lit("VIP")).alias("segment"),
+                       F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("newpassword")).alias("password"))
+    return changes.patch_profile(profiles(spark, d), patches, "user_id", ["username", "segment", "password"])
+
+
+@query("j9_retention_tier")
+def q_retention(spark, d):
+    return changes.retention_tier(sv.events(spark, d).select("event_id", "ts"), "2024-01-31 00:00:00")
+
+
+def erased_users(spark, d):
+    return sv.users(spark, d).filter(F.col("user_id") % 50 == 0).select("user_id")
+
+
+@query("j10_erase_game_answers")
+def q_erase_answers(spark, d):
+    return changes.erase_users(sv.game_answers(spark, d), erased_users(spark, d)).select(
+        "game_id", "user_id", "round_no", "tie1")
+
+
+@query("j10_erase_question_authors")
+def q_erase_questions(spark, d):
+    return changes.erase_users(sv.questions(spark, d).select("question_id", "made_by_userid"),
+                               erased_users(spark, d), null_cols=["made_by_userid"])
