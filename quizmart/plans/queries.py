@@ -407,3 +407,108 @@ def q_erase_answers(spark, d):
 def q_erase_questions(spark, d):
     return changes.erase_users(sv.questions(spark, d).select("question_id", "made_by_userid"),
                                erased_users(spark, d), null_cols=["made_by_userid"])
+
+
+# ---------------------------------------------------------------- F sessions, D6, D7, D10, E4, E6, G3
+from quizmart.operators import sessions  # noqa: E402
+
+EVENT_COLS = ["event_id", "ts", "user_id", "kind", "k"]
+
+
+def coin_events(spark, d):
+    e = sv.events(spark, d)
+    return sessions.coin_sessions(e, (F.col("kind") == "page") & (F.col("k") < 20))
+
+
+@query("f3_coin_sessions")
+def q_coin_sessions(spark, d):
+    return coin_events(spark, d).select(*EVENT_COLS, "session_id")
+
+
+@query("e4_coin_totals")
+def q_coin_totals(spark, d):
+    s = coin_events(spark, d)
+    return sessions.coin_totals(s, F.col("kind") == "answer", F.col("k") % 5 + 1, F.col("k") % 2 == 0)
+
+
+@query("f4_presence_intervals")
+def q_presence(spark, d):
+    return sessions.presence_intervals(sv.events(spark, d))
+
+
+@query("f7_concurrency_timeline")
+def q_timeline(spark, d):
+    return sessions.concurrency_timeline(sv.events(spark, d)).select(*EVENT_COLS, "connected")
+
+
+@query("d7_chat_recipients")
+def q_recipients(spark, d):
+    return sessions.chat_recipients(sv.events(spark, d))
+
+
+@query("d10_join_request_timeouts")
+def q_timeouts(spark, d):
+    e = sv.events(spark, d)
+    return sessions.join_request_timeouts(e.filter(F.col("kind") == "requestJoin"),
+                                          e.filter(F.col("kind") == "answer"), "2 hours")
+
+
+def registration_requests(spark, d):
+    e = sv.events(spark, d).filter(F.col("kind") == "page")
+    name = F.concat(F.lit("Customer#"),
+                    F.lpad(((F.col("user_id") * 13 + F.coalesce("k", F.lit(0))) % 3000).cast("string"), 9, "0"))
+    return e.select("event_id", "ts", name.alias("username"))
+
+
+@query("f2_first_registration_wins")
+def q_registration_wins(spark, d):
+    acc, rej = sessions.first_registration_wins(registration_requests(spark, d), sv.users(spark, d))
+    a = acc.select("event_id", "username", "user_id", F.lit(None).cast("string").alias("reason"))
+    r = rej.select("event_id", "username", F.lit(None).cast("bigint").alias("user_id"), "reason")
+    return a.unionByName(r)
+
+
+def login_attempts(spark, d):
+    e = sv.events(spark, d).filter(F.col("kind") == "answer")
+    m = F.col("k") % 10
+    user = (F.when(m == 0, F.lit(" ")).when(m == 1, F.lit("admin"))
+            .otherwise(F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))))
+    pw = (F.when(m == 1, F.lit("admin123")).when(F.col("k") % 3 == 0, F.concat(F.lit("pw"), F.col("user_id").cast("string")))
+          .otherwise(F.lit("wrong")))
+    return e.select("event_id", user.alias("username"), pw.alias("password"))
+
+
+def credentials(spark, d):
+    c = sv.table(spark, d, "customer").select(
+        F.col("c_name").alias("username"), F.sha2(F.concat(F.lit("pw"), F.col("c_custkey").cast("string")), 256)
+        .alias("password_hash"))
+    admin = spark.range(1).select(F.lit("admin").alias("username"),
+                                  F.sha2(F.lit("admin123"), 256).alias("password_hash"))
+    return c.unionByName(admin)
+
+
+@query("d6_login_outcomes")
+def q_login(spark, d):
+    return sessions.login_outcomes(login_attempts(spark, d), credentials(spark, d)).select(
+        "event_id", "username", "success", "is_admin", "message")
+
+
+def lobby_events(spark, d):
+    return sv.events(spark, d).withColumn("lobby", F.date_format("ts", "yyyy-MM-dd"))
+
+
+@query("g3_first_requests_per_lobby")
+def q_first_requests(spark, d):
+    e = lobby_events(spark, d).filter(F.col("kind") == "requestJoin")
+    return sessions.take_first_n_per_key(e, ["lobby"], ["ts", "event_id"], 4).select("lobby", "event_id", "user_id")
+
+
+@query("f6_lobby_pairs")
+def q_lobby_pairs(spark, d):
+    return sessions.lobby_pairs(lobby_events(spark, d))
+
+
+@query("e6_lobby_status")
+def q_lobby_status(spark, d):
+    e = lobby_events(spark, d)
+    return sessions.lobby_status(e, sessions.lobby_pairs(e))
