@@ -90,8 +90,8 @@ def assign_surrogate_key(df: DataFrame, key: str, order_by: Iterable[str], start
     """
     seq = sequence_number(df, [], list(order_by), "__seq")
     if existing is not None:
-        mx = existing.agg(F.max(existing_key or key).alias("__mx"))
-        base = seq.crossJoin(F.broadcast(mx))  # one-row side
+        mx = existing.agg(F.max(existing_key or key).alias("__mx")).withColumn("__one", F.lit(1))
+        base = seq.withColumn("__one", F.lit(1)).join(F.broadcast(mx), "__one").drop("__one")  # one-row side
         offset = F.coalesce(F.col("__mx"), F.lit(0))
         return base.withColumn(key, offset + F.col("__seq")).drop("__seq", "__mx")
     s = start if isinstance(start, Column) else F.lit(start)

@@ -512,3 +512,124 @@ def q_lobby_pairs(spark, d):
 def q_lobby_status(spark, d):
     e = lobby_events(spark, d)
     return sessions.lobby_status(e, sessions.lobby_pairs(e))
+
+
+# ---------------------------------------------------------------- I nesting, E8, A sources, E5
+from quizmart.operators import nested  # noqa: E402
+from quizmart.session import scratch_path  # noqa: E402
+from quizmart.sources import io  # noqa: E402
+
+FLAT_COLS = ["course_id", "course_name", "page", "q_pos_in_page", "question_id", "question_text",
+             "explanation", "a_pos", "answer_text", "right_wrong"]
+
+
+def catalogue_pages(spark, d):
+    return nested.nest_catalogue(sv.courses(spark, d), sv.questions(spark, d), sv.answers(spark, d), page_size=50)
+
+
+@query("i1_i2_catalogue_roundtrip")
+def q_catalogue_roundtrip(spark, d):
+    return nested.flatten_catalogue(catalogue_pages(spark, d)).select(*FLAT_COLS)
+
+
+@query("i2_catalogue_pages")
+def q_catalogue_pages(spark, d):
+    p = catalogue_pages(spark, d)
+    return p.select("course_id", "course_name", "question_count", "page",
+                    F.size("questions").alias("n_questions"),
+                    F.expr("aggregate(questions, 0L, (acc, q) -> acc + size(q.answers))").alias("n_answers"))
+
+
+@query("e8_catalogue_count_mismatch")
+def q_count_mismatch(spark, d):
+    approved = sv.questions(spark, d).filter(F.col("status") == "approved").groupBy("course_id").agg(
+        F.count(F.lit(1)).alias("question_count"))
+    pages = catalogue_pages(spark, d).drop("question_count").join(approved, "course_id", "left") \
+        .withColumn("question_count", F.coalesce("question_count", F.lit(0)).cast("bigint"))
+    return nested.catalogue_count_mismatch(pages)
+
+
+@query("i3_indexed_form")
+def q_indexed(spark, d):
+    a = nested.nest_in_pages(sv.answers(spark, d), ["question_id"], ["answer_id"],
+                             F.struct(F.col("text"), F.col("right_wrong")), 1000, "answers")
+    texts, correct = nested.to_indexed_form(F.col("answers"))
+    back = nested.from_indexed_form(texts, correct)
+    return a.select("question_id", F.array_join(texts, " | ").alias("answers_text"),
+                    F.size(texts).cast("bigint").alias("n_answers"), correct.alias("correct"),
+                    (back == F.transform("answers", lambda x: F.struct(
+                        x["text"].alias("text"),
+                        (x["right_wrong"] & (F.array_position(F.transform("answers", lambda y: y["right_wrong"]),
+                                                              F.lit(True)) > 0)).alias("right_wrong"))))
+                    .alias("roundtrip_ok"))
+
+
+@query("i4_row_json")
+def q_row_json(spark, d):
+    g = sv.games(spark, d)
+    j = g.select("game_id", changes.row_json(g).alias("doc"))
+    return j.select("game_id", F.get_json_object("doc", "$.status").alias("status"),
+                    F.size(F.json_object_keys("doc")).cast("bigint").alias("n_keys"),
+                    F.col("doc").contains('"finish_date":null').alias("null_kept"))
+
+
+@query("a1_copy_text_games")
+def q_copy_games(spark, d):
+    g = sv.games(spark, d)
+    path = scratch_path(spark, "copy-games")
+    io.write_copy_text(g, path)
+    return io.read_copy_text(spark, path, g.schema)
+
+
+@query("a1_copy_text_chats")
+def q_copy_chats(spark, d):
+    c = sv.chats(spark, d)
+    path = scratch_path(spark, "copy-chats")
+    io.write_copy_text(c, path)
+    return io.read_copy_text(spark, path, c.schema)
+
+
+@query("a3_catalogue_json_roundtrip")
+def q_json_roundtrip(spark, d):
+    path = scratch_path(spark, "catalogue-json")
+    io.write_json_snapshot(catalogue_pages(spark, d), path)
+    return nested.flatten_catalogue(io.read_catalogue_json(spark, path)).select(*FLAT_COLS)
+
+
+@query("a4_with_fallback")
+def q_fallback(spark, d):
+    u = sv.users(spark, d).select("user_id", "username")
+    primary = u.filter(F.col("user_id") % 3 == 0).withColumn("username", F.upper("username")) \
+        .withColumn("source", F.lit("registered"))
+    fallback = u.withColumn("source", F.lit("stored"))
+    return io.with_fallback(primary, fallback, ["user_id"])
+
+
+@query("a5_parse_json_props")
+def q_parse_json(spark, d):
+    e = sv.table(spark, d, "events").select("event_id", "props")
+    return io.parse_json_column(e, "props", "k INT").select("event_id", F.col("parsed.k").alias("k"))
+
+
+@query("a7_layout_pruned_read")
+def q_layout(spark, d):
+    path = scratch_path(spark, "questions-layout")
+    io.write_layout(sv.questions(spark, d), path, ["status"], ["course_id", "question_id"])
+    back = spark.read.parquet(path)
+    return back.filter((F.col("status") == "approved") & (F.col("course_id") == 2)).select(
+        "question_id", "course_id", "status", F.char_length("text").alias("n_chars"))
+
+
+@query("a8_read_events")
+def q_read_events(spark, d):
+    return io.read_events(spark, f"{d.rstrip('/')}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+
+
+TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+               "benchmark labels conversations").split()
+
+
+@query("e5_table_profile")
+def q_table_profile(spark, d):
+    p = io.table_profile(spark, {t: f"{d.rstrip('/')}/{t}.parquet" for t in TABLE_NAMES})
+    return p.select("table_name", "row_count")
