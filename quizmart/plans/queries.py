@@ -633,3 +633,88 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
 def q_table_profile(spark, d):
     p = io.table_profile(spark, {t: f"{d.rstrip('/')}/{t}.parquet" for t in TABLE_NAMES})
     return p.select("table_name", "row_count")
+
+
+# ---------------------------------------------------------------- K streaming twins (availableNow runs)
+from quizmart.streaming import streams  # noqa: E402
+
+
+def answer_stream(spark, d):
+    return sv.game_answers_from(streams.read_stream_table(spark, d, "lineitem"), sv.table(spark, d, "orders"))
+
+
+def event_stream(spark, d):
+    e = sv.events_from(streams.read_stream_table(spark, d, "events"))
+    return (e.withColumn("ts", F.col("ts").cast("timestamp"))
+            .withColumn("lobby", F.date_format("ts", "yyyy-MM-dd")))
+
+
+@query("k1_stream_answers")
+def q_stream_answers(spark, d):
+    sink, quarantine = scratch_path(spark, "k1-sink"), scratch_path(spark, "k1-quarantine")
+    w = streams.stream_answers(answer_stream(spark, d), answers_with_gaps(spark, d), sink, quarantine,
+                               order=TIE_ORDER)
+    streams.run_available_now(w, "k1", spark)
+    return spark.read.parquet(sink).select(*ANSWER_COLS)
+
+
+@query("k2_stream_scores")
+def q_stream_scores(spark, d):
+    out = scratch_path(spark, "k2-scores")
+    agg = streams.stream_scores(answer_stream(spark, d), sv.games(spark, d))
+    streams.run_available_now(streams.write_complete_snapshot(agg, out), "k2", spark)
+    return spark.read.parquet(out)
+
+
+@query("k3_stream_lobby")
+def q_stream_lobby(spark, d):
+    out = scratch_path(spark, "k3-pairs")
+    pairs = streams.stream_lobby(event_stream(spark, d))
+    streams.run_available_now(pairs.writeStream.format("parquet").outputMode("append"), "k3", spark, out)
+    return spark.read.parquet(out).withColumn("paired_at", F.col("paired_at").cast("timestamp_ntz"))
+
+
+@query("k4_stream_presence")
+def q_stream_presence(spark, d):
+    out = scratch_path(spark, "k4-presence")
+    p = streams.stream_presence(event_stream(spark, d))
+    streams.run_available_now(p.writeStream.format("parquet").outputMode("append"), "k4", spark, out)
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("k5_stream_chat")
+def q_stream_chat(spark, d):
+    out = scratch_path(spark, "k5-chat")
+    c = streams.stream_chat(event_stream(spark, d), sv.users(spark, d))
+    streams.run_available_now(c.writeStream.format("parquet").outputMode("append"), "k5", spark, out)
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("k6_stream_join_timeouts")
+def q_stream_timeouts(spark, d):
+    """Rows-only: the stream emits a timed-out request once the watermark passes its window, so
+    the input's tail stays pending at the end of an availableNow run."""
+    out = scratch_path(spark, "k6-timeouts")
+    e = event_stream(spark, d)
+    t = streams.stream_join_timeouts(e.filter(F.col("kind") == "requestJoin"), e.filter(F.col("kind") == "answer"),
+                                     "2 hours", "3 hours")
+    streams.run_available_now(t.writeStream.format("parquet").outputMode("append"), "k6", spark, out)
+    return spark.read.parquet(out).withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
+
+
+@query("k7_stream_audit")
+def q_stream_audit(spark, d):
+    target, audit = scratch_path(spark, "k7-target"), scratch_path(spark, "k7-audit")
+    old, _new = order_snapshots(spark, d)
+    old.write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    src = streams.read_stream_table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    upserts = (src.filter(F.col("o_orderkey") % 10 != 1)
+               .withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 2, F.col("o_totalprice") + 1)
+                           .otherwise(F.col("o_totalprice"))))
+    streams.run_available_now(streams.stream_audit(upserts, target, audit, ["o_orderkey"], "orders", NOW), "k7", spark)
+    a = spark.read.parquet(audit)
+    return a.select("o_orderkey", "table_name", "operation", "user_id", "timestamp",
+                    F.get_json_object("old_values", "$.o_totalprice").cast("double").alias("old_totalprice"),
+                    F.get_json_object("new_values", "$.o_totalprice").cast("double").alias("new_totalprice"),
+                    F.get_json_object("new_values", "$.o_orderstatus").alias("new_orderstatus"))

@@ -67,15 +67,7 @@ def games(spark, sf_dir) -> DataFrame:
 
 
 def game_answers(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    return j.select(
-        F.col("l_orderkey").alias("game_id"), F.col("o_custkey").alias("user_id"),
-        F.col("l_partkey").alias("answer_id"), F.col("l_linenumber").alias("round_no"),
-        (F.col("l_returnflag") == "R").alias("right_wrong"), F.col("l_shipdate").alias("answered_at"),
-        F.col("l_suppkey").alias("tie1"), F.col("l_extendedprice").alias("tie2"),
-        F.col("l_quantity").alias("tie3"))
+    return game_answers_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
 
 def game_rounds(spark, sf_dir) -> DataFrame:
@@ -105,7 +97,23 @@ def _kind(event_type: Column) -> Column:
             .otherwise("chat-message"))
 
 
-def events(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def events_from(e: DataFrame) -> DataFrame:
+    """The events projection on any frame with the driver's events schema (batch or stream)."""
     return e.select("event_id", "ts", "user_id", _kind(F.col("event_type")).alias("kind"),
                     F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+
+
+def events(spark, sf_dir) -> DataFrame:
+    return events_from(table(spark, sf_dir, "events"))
+
+
+def game_answers_from(li: DataFrame, orders: DataFrame) -> DataFrame:
+    """The game_answers projection of a lineitem frame (batch or stream) and the orders table."""
+    o = orders.select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.select(
+        F.col("l_orderkey").alias("game_id"), F.col("o_custkey").alias("user_id"),
+        F.col("l_partkey").alias("answer_id"), F.col("l_linenumber").alias("round_no"),
+        (F.col("l_returnflag") == "R").alias("right_wrong"), F.col("l_shipdate").alias("answered_at"),
+        F.col("l_suppkey").alias("tie1"), F.col("l_extendedprice").alias("tie2"),
+        F.col("l_quantity").alias("tie3"))
