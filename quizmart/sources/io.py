@@ -62,7 +62,7 @@ def _to_text(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.StringType):
         return _escape(c)
     if isinstance(dt, T.BooleanType):
-        return F.when(c, "t").otherwise("f")
+        return F.when(c, "t").when(~c, "f")  # NULL stays NULL (→ \N)
     if isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
     return c.cast("string")
