@@ -718,3 +718,20 @@ def q_stream_audit(spark, d):
                     F.get_json_object("old_values", "$.o_totalprice").cast("double").alias("old_totalprice"),
                     F.get_json_object("new_values", "$.o_totalprice").cast("double").alias("new_totalprice"),
                     F.get_json_object("new_values", "$.o_orderstatus").alias("new_orderstatus"))
+
+
+# ---------------------------------------------------------------- C18, F1 (standalone forms)
+from quizmart.functions import scalars  # noqa: E402
+
+
+@query("c18_size_pretty")
+def q_size_pretty(spark, d):
+    o = sv.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    b = F.floor(F.col("o_totalprice") * F.pow(F.lit(4), F.col("o_orderkey") % 12)).cast("bigint")
+    return o.select("o_orderkey", b.alias("bytes"), scalars.size_pretty(b).alias("size"))
+
+
+@query("f1_question_pager")
+def q_pager(spark, d):
+    return screens.question_pager(sv.questions(spark, d).select("question_id", "course_id")).select(
+        "question_id", "course_id", "position", "question_total", "pager_label", "has_prev", "has_next")
