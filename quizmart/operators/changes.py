@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmart.operators.reports import user_scores
@@ -33,15 +33,21 @@ def _fail_if_any(rejected: DataFrame, mode: str) -> None:
 
 
 # ---------------------------------------------------------------------------- D5
+def score_all(game_answers: DataFrame, answers: DataFrame) -> DataFrame:
+    """D5 lookup: every answer with ``right_wrong`` replaced by the answer table's truth (NULL
+    when the answer_id is unknown or NULL) — one left join."""
+    truth = answers.select(F.col("answer_id").alias("__aid"), F.col("right_wrong").alias("__truth"))
+    j = game_answers.join(truth, game_answers["answer_id"] == truth["__aid"], "left")
+    return j.withColumn("right_wrong", F.col("__truth")).drop("__aid", "__truth")
+
+
 def score_answers(game_answers: DataFrame, answers: DataFrame, mode: str = "quarantine"):
     """Look up ``right_wrong`` by answer_id and **override** the supplied value.
 
     Returns ``(accepted, rejected)``; an unknown or NULL answer_id yields a NULL truth, which the
     reference's NOT NULL constraint rejects (``reason = 'unknown_answer'``).
     """
-    truth = answers.select(F.col("answer_id").alias("__aid"), F.col("right_wrong").alias("__truth"))
-    j = game_answers.join(truth, game_answers["answer_id"] == truth["__aid"], "left")
-    scored = j.withColumn("right_wrong", F.col("__truth")).drop("__aid", "__truth")
+    scored = score_all(game_answers, answers)
     accepted = scored.filter(F.col("right_wrong").isNotNull())
     rejected = scored.filter(F.col("right_wrong").isNull()).withColumn("reason", F.lit("unknown_answer"))
     _fail_if_any(rejected, mode)
@@ -49,21 +55,40 @@ def score_answers(game_answers: DataFrame, answers: DataFrame, mode: str = "quar
 
 
 # ---------------------------------------------------------------------------- F5
-def first_per_key(rows: DataFrame, keys: Iterable[str], order: Iterable[str]):
+def first_per_key(rows: DataFrame, keys: Iterable[str], order: Iterable[str], null_safe: bool = True):
     """Split ``rows`` into (first row per key, the rest) — exact as multisets.
 
     "First" is the minimum of ``struct(order…, every other column)``: a total order over all
-    columns, so rows that tie on it are identical and interchangeable. The minimum is an
-    aggregate (combined map-side: a key holding a third of all rows still ships one row per task),
-    and the rest is ``exceptAll`` — multiset difference removing exactly one copy per key.
+    columns, so rows that tie on it are identical and interchangeable. The first rows come from a
+    ``rank() = 1`` filter that Spark limits map-side (WindowGroupLimit); the rest are the rows
+    above their key's first row plus all but one exact copy of it.
     """
     keys, order = list(keys), list(order)
     others = [c for c in rows.columns if c not in keys and c not in order]
-    firsts = (rows.groupBy(*keys).agg(F.min(F.struct(*order, *others)).alias("__f"))
-              .select(*keys, *[F.col(f"__f.{c}").alias(c) for c in order + others])
-              .select(*rows.columns))
-    rest = rows.exceptAll(firsts)
-    return firsts, rest
+    fields = order + others
+    # rank() = 1 keeps the first row and its exact copies. Filtering on it lets Spark apply a
+    # partial WindowGroupLimit before the shuffle: each task forwards only its own per-key top
+    # rows, so a key holding a third of all rows still ships a handful of rows per task.
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in fields])
+    tops = rows.withColumn("__rk", F.rank().over(w)).filter(F.col("__rk") == 1).drop("__rk")
+    firsts = tops.dropDuplicates(keys)  # the copies are identical: any one is the first
+    # Copies beyond the first go to the rest (already clustered by key: no further shuffle).
+    copies = (tops.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*fields)).alias("__f"))
+              .filter(F.col("__n") > 1)
+              .withColumn("__rep", F.explode(F.array_repeat(F.col("__f"), (F.col("__n") - 1).cast("int"))))
+              .select(*keys, *[F.col(f"__rep.{c}").alias(c) for c in fields]).select(*rows.columns))
+    # Rows above their key's first: equi join on the keys (one row per key on the firsts side;
+    # AQE splits a hot key on the row side).
+    if null_safe:
+        f = firsts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*fields).alias("__f"))
+        cond = F.lit(True)
+        for i, k in enumerate(keys):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        j = rows.join(f, cond)
+    else:  # keys known non-NULL: plain equi join, reusing the firsts' clustering by key
+        j = rows.join(firsts.select(*keys, F.struct(*fields).alias("__f")), keys)
+    later = j.filter(~F.struct(*fields).eqNullSafe(F.col("__f"))).select(*rows.columns)
+    return firsts, later.unionByName(copies)
 
 
 def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = None,
@@ -83,10 +108,13 @@ def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = No
     keyed = incoming.filter(nn)
     rej_existing = None
     if existing is not None:
-        ex = existing.select(*keys).filter(nn).distinct()
-        rej_existing = keyed.join(ex, keys, "left_semi").withColumn("reason", F.lit("duplicate_existing"))
-        keyed = keyed.join(ex, keys, "left_anti")
-    firsts, rest = first_per_key(keyed, keys, list(order))
+        # one left join against the stored keys splits the batch into "key exists" and "new key"
+        ex = existing.select(*keys).filter(nn).distinct().withColumn("__ex", F.lit(True))
+        flagged = keyed.join(ex, keys, "left")
+        rej_existing = (flagged.filter(F.col("__ex")).drop("__ex").select(*incoming.columns)
+                        .withColumn("reason", F.lit("duplicate_existing")))
+        keyed = flagged.filter(F.col("__ex").isNull()).drop("__ex").select(*incoming.columns)
+    firsts, rest = first_per_key(keyed, keys, list(order), null_safe=False)
     accepted = firsts.unionByName(null_key)
     rejected = rest.withColumn("reason", F.lit("duplicate_in_batch"))
     if rej_existing is not None:

@@ -73,10 +73,17 @@ def stream_answers(stream: DataFrame, answers: DataFrame, sink: str, quarantine:
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         existing = _read_previous(spark, sink, batch_id)
+        # two outputs read the scored batch: keep it for the duration of this batch only
         scored, unknown = changes.score_answers(batch, answers)
         acc, dups = changes.duplicate_round_answers(scored, existing, keys=keys, order=order)
-        acc.write.mode("overwrite").parquet(_batch_dir(sink, batch_id))
-        unknown.unionByName(dups).write.mode("overwrite").parquet(_batch_dir(quarantine, batch_id))
+        # one decision per row, computed once and kept for the two writes of this batch only
+        dec = acc.withColumn("reason", F.lit(None).cast("string")).unionByName(dups).unionByName(unknown).persist()
+        try:
+            dec.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(
+                _batch_dir(sink, batch_id))
+            dec.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(_batch_dir(quarantine, batch_id))
+        finally:
+            dec.unpersist()
 
     return stream.writeStream.foreachBatch(each)
 
