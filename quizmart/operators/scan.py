@@ -6,10 +6,9 @@ same results as the window functions with a two-phase scan instead:
 
 1. ``repartitionByRange(P, key…, order…)`` — balanced partitions; a hot key is split across
    several consecutive partitions.
-2. Per partition, a summary of its first key and its last key's total (≤ 2 rows per partition).
-   A key that started in an earlier partition can only be the *first* key of a later one, so
-   the carry-in table has at most one row per partition (≤ P rows) and is broadcast with that
-   bound.
+2. Per (partition, key) totals — an aggregate combined inside each partition. A key that
+   started in an earlier partition can only be the *first* key of a later one, so the carry-in
+   table has at most one row per partition (≤ P rows) and is broadcast with that bound.
 3. One pass per partition (Arrow batches through ``mapInPandas``) adds the carry-in to the
    in-partition cumulative sum. No second shuffle.
 
@@ -88,38 +87,6 @@ def _scan_batches(keys: list[str], out: str, out_is_long: bool):
     return fn
 
 
-def _summarize(keys: list[str], as_double: bool):
-    """Per partition: its first key, and its last key with the sum of that key's values."""
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        first = last = None
-        last_sum = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k = pdf[keys].reset_index(drop=True)
-            v = pdf[_V].fillna(0).to_numpy()
-            if first is None:
-                first = tuple(k.iloc[0].tolist())
-            tail = tuple(k.iloc[len(k) - 1].tolist())
-            same = _same_key(k, pd.DataFrame([tail] * len(k), columns=keys))
-            # rows of the tail key are a suffix of the (sorted) batch
-            tail_sum = v[same].sum()
-            cont = last is not None and all((a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(tail, last))
-            all_same = bool(same.all())
-            last_sum = (last_sum + tail_sum) if (cont and all_same) else tail_sum
-            last = tail
-        if first is None:
-            return
-        rows = [dict(zip(keys, first), **{_PID: pid, "__scan_kind": 0, _TOT: 0}),
-                dict(zip(keys, last), **{_PID: pid, "__scan_kind": 1, _TOT: last_sum})]
-        out = pd.DataFrame(rows)
-        out[_TOT] = out[_TOT].astype("float64" if as_double else "int64")
-        yield out
-    return fn
-
-
 def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value: Column, out: str,
                 num_partitions: int | None = None, as_double: bool = False) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)`` as ``out``.
@@ -148,18 +115,17 @@ def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value:
               .repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in sort_cols])
               .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in sort_cols])
               .checkpoint(eager=True))
-    key_fields = [f for f in base.schema.fields if f.name in keys]
     tot_type = T.DoubleType() if as_double else T.LongType()
-    sschema = T.StructType(key_fields + [T.StructField(_PID, T.IntegerType()),
-                                         T.StructField("__scan_kind", T.IntegerType()),
-                                         T.StructField(_TOT, tot_type)])
-    summary = ranged.mapInPandas(_summarize(keys, as_double), sschema)
-    # ≤ 2 rows per partition. A partition's first key continues the last keys of earlier
-    # partitions only; its carry is the sum of those tails (window over ≤ 2P rows).
-    w = Window.partitionBy(*keys).orderBy(_PID, "__scan_kind").rowsBetween(Window.unboundedPreceding, -1)
+    # Per (partition, key) totals: a JVM aggregate, combined inside each partition first. The
+    # checkpointed partitions are fixed, so spark_partition_id() names the same partition here
+    # and in the final pass. Only a partition's first key can continue from earlier partitions:
+    # after the window, ≤ one carry row per partition (≤ P rows) remains.
+    totals = (ranged.withColumn(_PID, F.spark_partition_id())
+              .groupBy(_PID, *keys).agg(F.sum(_V).alias(_TOT)))
+    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     cnames = {c: f"__scan_c{i}" for i, c in enumerate([_PID, *keys])}
-    carry = (summary.withColumn(_CARRY, F.sum(_TOT).over(w))
-             .filter((F.col("__scan_kind") == 0) & F.col(_CARRY).isNotNull() & (F.col(_CARRY) != 0))
+    carry = (totals.withColumn(_CARRY, F.sum(_TOT).over(w))
+             .filter(F.col(_CARRY).isNotNull() & (F.col(_CARRY) != 0))
              .select(*[F.col(c).alias(nm) for c, nm in cnames.items()], _CARRY))
     cond = F.lit(True)
     for c, nm in cnames.items():
