@@ -662,8 +662,8 @@ def q_stream_answers(spark, d):
 def q_stream_scores(spark, d):
     out = scratch_path(spark, "k2-scores")
     agg = streams.stream_scores(answer_stream(spark, d), sv.games(spark, d))
-    streams.run_available_now(streams.write_complete_snapshot(agg, out), "k2", spark)
-    return spark.read.parquet(out)
+    streams.run_available_now(streams.write_updates(agg, out), "k2", spark)
+    return streams.latest_values(out, spark, ["user_id"])
 
 
 @query("k3_stream_lobby")

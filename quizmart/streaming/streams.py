@@ -90,18 +90,27 @@ def stream_answers(stream: DataFrame, answers: DataFrame, sink: str, quarantine:
 
 # ---------------------------------------------------------------------------- K2
 def stream_scores(stream: DataFrame, games: DataFrame, points_per_right: int = 10) -> DataFrame:
-    """K2: running score per user (E3) as a streaming aggregate; write with outputMode
-    ``complete`` or ``update``."""
+    """K2: running score per user (E3) as a streaming aggregate (state store keyed by user);
+    write it with :func:`write_updates` (``update`` mode: only changed users per trigger)."""
     j = stream.join(games.select("game_id"), "game_id")  # stream-static inner join: unknown games drop
     return j.groupBy("user_id").agg(
         F.coalesce(F.sum(reports.points(F.col("right_wrong"), points_per_right)), F.lit(0)).cast("bigint")
         .alias("score"))
 
 
-def write_complete_snapshot(agg: DataFrame, path: str):
-    """Sink for a complete-mode aggregate: each trigger overwrites the snapshot."""
-    return agg.writeStream.outputMode("complete").foreachBatch(
-        lambda b, _id: b.write.mode("overwrite").parquet(path))
+def write_updates(agg: DataFrame, path: str):
+    """Sink for a streaming aggregate in ``update`` mode: each trigger writes only the keys it
+    changed into its own ``batch_id=N`` folder (overwrite, so a replay is idempotent)."""
+    return agg.writeStream.outputMode("update").foreachBatch(
+        lambda b, batch_id: b.write.mode("overwrite").parquet(_batch_dir(path, batch_id)))
+
+
+def latest_values(path: str, spark: SparkSession, keys: list[str]) -> DataFrame:
+    """Current value per key of an update log written by :func:`write_updates`."""
+    log = spark.read.parquet(path)
+    vals = [c for c in log.columns if c not in keys and c != "batch_id"]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("__v"))
+    return last.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in vals])
 
 
 # ---------------------------------------------------------------------------- K3

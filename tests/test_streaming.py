@@ -67,3 +67,18 @@ def test_answer_stream_first_wins_across_batches(spark):
     assert rows(spark.read.parquet(q), "answer_id", "reason") == [(12, "duplicate_existing"), (99, "unknown_answer")]
     batch_acc, _ = changes.duplicate_round_answers(changes.score_answers(d1.unionByName(d2), answers)[0])
     assert rows(batch_acc, "answer_id") == [(10,), (11,), (13,)]
+
+
+def test_score_updates_across_batches(spark):
+    from quizmart.operators import reports
+    schema = "game_id long, user_id long, right_wrong boolean"
+    b1 = spark.createDataFrame([(1, 1, True), (1, 2, False), (9, 1, True)], schema)
+    b2 = spark.createDataFrame([(1, 1, True), (1, 3, True)], schema)
+    games = spark.createDataFrame([(1,)], "game_id long")
+    src = _write_batches(spark, [b1, b2], "sc")
+    stream = spark.readStream.schema(b1.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = scratch_path(spark, "k2")
+    streams.run_available_now(streams.write_updates(streams.stream_scores(stream, games), out), "t-k2", spark)
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 2
+    got = rows(streams.latest_values(out, spark, ["user_id"]), "user_id", "score")
+    assert got == rows(reports.user_scores(b1.unionByName(b2), games), "user_id", "score") == [(1, 20), (2, 0), (3, 10)]
