@@ -55,39 +55,51 @@ def score_answers(game_answers: DataFrame, answers: DataFrame, mode: str = "quar
 
 
 # ---------------------------------------------------------------------------- F5
+COPY_CHUNK = 4096
+
+
+def _num_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def first_per_key(rows: DataFrame, keys: Iterable[str], order: Iterable[str], null_safe: bool = True):
     """Split ``rows`` into (first row per key, the rest) — exact as multisets.
 
     "First" is the minimum of ``struct(order…, every other column)``: a total order over all
     columns, so rows that tie on it are identical and interchangeable. The first rows come from a
-    ``rank() = 1`` filter that Spark limits map-side (WindowGroupLimit); the rest are the rows
-    above their key's first row plus all but one exact copy of it.
+    ``row_number() = 1`` filter that Spark limits map-side (WindowGroupLimit); the rest are the
+    rows above their key's first row plus all but one exact copy of it.
     """
     keys, order = list(keys), list(order)
     others = [c for c in rows.columns if c not in keys and c not in order]
     fields = order + others
-    # rank() = 1 keeps the first row and its exact copies. Filtering on it lets Spark apply a
-    # partial WindowGroupLimit before the shuffle: each task forwards only its own per-key top
-    # rows, so a key holding a third of all rows still ships a handful of rows per task.
+    # row_number() = 1: Spark applies a partial WindowGroupLimit before the shuffle, so every task
+    # forwards at most one row per key — also when a key (or a group of identical rows) holds a
+    # third of all rows.
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in fields])
-    tops = rows.withColumn("__rk", F.rank().over(w)).filter(F.col("__rk") == 1).drop("__rk")
-    firsts = tops.dropDuplicates(keys)  # the copies are identical: any one is the first
-    # Copies beyond the first go to the rest (already clustered by key: no further shuffle).
-    copies = (tops.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*fields)).alias("__f"))
-              .filter(F.col("__n") > 1)
-              .withColumn("__rep", F.explode(F.array_repeat(F.col("__f"), (F.col("__n") - 1).cast("int"))))
-              .select(*keys, *[F.col(f"__rep.{c}").alias(c) for c in fields]).select(*rows.columns))
-    # Rows above their key's first: equi join on the keys (one row per key on the firsts side;
-    # AQE splits a hot key on the row side).
+    firsts = rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
+    # Every row against its key's first: equi join on the keys (one row per key on the firsts
+    # side; AQE splits a hot key on the row side).
     if null_safe:
         f = firsts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*fields).alias("__f"))
         cond = F.lit(True)
         for i, k in enumerate(keys):
             cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        j = rows.join(f, cond)
+        j = rows.join(f, cond).drop(*[f"__k{i}" for i in range(len(keys))])
     else:  # keys known non-NULL: plain equi join, reusing the firsts' clustering by key
         j = rows.join(firsts.select(*keys, F.struct(*fields).alias("__f")), keys)
-    later = j.filter(~F.struct(*fields).eqNullSafe(F.col("__f"))).select(*rows.columns)
+    same = F.struct(*fields).eqNullSafe(F.col("__f"))
+    later = j.filter(~same).select(*rows.columns)
+    # Exact copies of the first row: all but one belong to the rest. Count them (partial
+    # aggregate) and regenerate the surplus in chunks of at most COPY_CHUNK rows, spread over the
+    # partitions — no array or task grows with the size of a group of copies.
+    counts = (j.filter(same).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("__f").alias("__f"))
+              .filter(F.col("__n") > 1))
+    chunk = F.lit(COPY_CHUNK)
+    copies = (counts.withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 2) / chunk))))
+              .repartition(_num_partitions(rows))
+              .withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(chunk, F.col("__n") - 1 - F.col("__c") * chunk))))
+              .select(*keys, *[F.col(f"__f.{c}").alias(c) for c in fields]).select(*rows.columns))
     return firsts, later.unionByName(copies)
 
 

@@ -93,3 +93,16 @@ def test_retention_and_erasure(spark):
     ids = spark.createDataFrame([(5,)], "user_id long")
     q = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "question_id long, made_by_userid long")
     assert rows(changes.erase_users(q, ids, null_cols=["made_by_userid"])) == [(1, None), (2, 6), (3, None)]
+
+
+def test_first_per_key_large_group_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(changes, "COPY_CHUNK", 7)
+    schema = "k long, t long, v string"
+    data = [(1, 5, "x")] * 1000 + [(1, 9, "y")] * 3 + [(2, 1, "z")] + [(3, 1, "w")] * 20
+    df = spark.createDataFrame(data, schema)
+    firsts, rest = changes.first_per_key(df, ["k"], ["t"])
+    assert rows(firsts) == [(1, 5, "x"), (2, 1, "z"), (3, 1, "w")]
+    counts = {}
+    for r in rest.collect():
+        counts[tuple(r)] = counts.get(tuple(r), 0) + 1
+    assert counts == {(1, 5, "x"): 999, (1, 9, "y"): 3, (3, 1, "w"): 19}
