@@ -170,9 +170,19 @@ def login_outcomes(attempts: DataFrame, credentials: DataFrame) -> DataFrame:
             .drop("__u", "__p", "__h", "__cu", "__ch"))
 
 
+WINDOW_GROUP_LIMIT = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
+
+
 def take_first_n_per_key(df: DataFrame, keys: Iterable[str], order: Iterable[str], n: int) -> DataFrame:
-    """The first ``n`` rows per key (FIFO ``splice(0, n)``), via the skew-proof position scan."""
-    return sequence_number(df, list(keys), list(order), "__pos").filter(F.col("__pos") <= n).drop("__pos")
+    """The first ``n`` rows per key (FIFO ``splice(0, n)``).
+
+    For small ``n`` a ``row_number() <= n`` filter, which Spark limits map-side (each task
+    forwards at most ``n`` rows per key); for large ``n`` the skew-proof position scan."""
+    keys, order = list(keys), list(order)
+    if n <= WINDOW_GROUP_LIMIT:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        return df.withColumn("__pos", F.row_number().over(w)).filter(F.col("__pos") <= n).drop("__pos")
+    return sequence_number(df, keys, order, "__pos").filter(F.col("__pos") <= n).drop("__pos")
 
 
 # ---------------------------------------------------------------------------- F6, E6
@@ -343,7 +353,7 @@ def lobby_pairs(events: DataFrame, lobby: str = "lobby", socket: str = "user_id"
                   True).over(w)
     summ = summ.withColumn("__cand", cand).withColumn("cand_a", F.col("__cand.a")) \
         .withColumn("cand_c", F.col("__cand.c")).drop("__cand")
-    summ = summ.persist()
+    summ = summ.checkpoint(eager=True)  # ≤ 2 rows per partition, read twice below
     # Disconnects before a piece's first request (anywhere if it has none) of candidate waiters.
     firsts = F.broadcast(summ.filter(F.col("is_first") == 1).select(
         F.col(lobby).alias("__l"), F.col("pid").alias("__p"), "has_req", "r1_ts", "r1_eid", "cand_a", "cand_c"))
