@@ -87,6 +87,16 @@ def _scan_batches(keys: list[str], out: str, out_is_long: bool):
     return fn
 
 
+def ranged_checkpoint(df: DataFrame, sort_cols: list[str], num_partitions: int | None = None) -> DataFrame:
+    """Range-partition by ``sort_cols``, sort within partitions and checkpoint (eager, reliable, in
+    the shared checkpoint folder): later passes read fixed partitions, so
+    ``spark_partition_id()`` names the same rows in every pass."""
+    checkpoint_root(df.sparkSession)
+    n = _num_partitions(df, num_partitions)
+    order = [F.col(c).asc_nulls_first() for c in sort_cols]
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+
+
 def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value: Column, out: str,
                 num_partitions: int | None = None, as_double: bool = False) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)`` as ``out``.
@@ -105,16 +115,11 @@ def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value:
         base = base.withColumn("__scan_all", F.lit(0))
         keys = ["__scan_all"]
     sort_cols = keys + order
-    n = _num_partitions(df, num_partitions)
     vt = "double" if as_double else "bigint"
-    checkpoint_root(df.sparkSession)
-    # Materialise the range-partitioned, sorted rows once (reliable checkpoint in the shared
-    # folder): both passes then read identical partitions, whatever the optimiser does to either
-    # branch, and a lost executor re-reads the checkpoint instead of re-sampling range bounds.
-    ranged = (base.withColumn(_V, value.cast(vt))
-              .repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in sort_cols])
-              .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in sort_cols])
-              .checkpoint(eager=True))
+    # Materialise the range-partitioned, sorted rows once: both passes then read identical
+    # partitions, whatever the optimiser does to either branch, and a lost executor re-reads the
+    # checkpoint instead of re-sampling range bounds.
+    ranged = ranged_checkpoint(base.withColumn(_V, value.cast(vt)), sort_cols, num_partitions)
     tot_type = T.DoubleType() if as_double else T.LongType()
     # Per (partition, key) totals: a JVM aggregate, combined inside each partition first. The
     # checkpointed partitions are fixed, so spark_partition_id() names the same partition here

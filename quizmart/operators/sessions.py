@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from quizmart.operators.changes import first_per_key
 from quizmart.operators.quality import assign_surrogate_key
-from quizmart.operators.scan import running_sum, sequence_number
+from quizmart.operators.scan import ranged_checkpoint, running_sum, sequence_number
 from quizmart.session import checkpoint_root
 
 CONNECT, DISCONNECT, REQUEST, CHAT = "requestJoin", "disconnect", "requestJoin", "chat-message"
@@ -76,26 +77,60 @@ def presence_intervals(events: DataFrame, socket: str = "user_id") -> DataFrame:
     return j.select(socket, "run", "open_ts", "open_event_id", "close_ts", "close_event_id")
 
 
+def _presence_pass(socket: str):
+    """Arrow pass over (socket, ts, event_id)-sorted rows: per-socket open/closed state machine."""
+    def fn(batches):
+        prev_key, state = None, False  # socket of the last row seen, open after it
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            n = len(pdf)
+            sock = pdf[socket].to_numpy()
+            kind = pdf["kind"].to_numpy()
+            carry = pdf["__carry"].to_numpy()
+            start = np.ones(n, dtype=bool)
+            start[1:] = sock[1:] != sock[:-1]
+            start[0] = prev_key is None or sock[0] != prev_key
+            # state entering each key run: carried from earlier partitions, or closed
+            init = np.where(start, np.where(pd.isna(carry), 0.0, carry.astype("float64")), np.nan)
+            if not start[0]:
+                init[0] = float(state)
+            gid = np.cumsum(start)
+            pres = np.where(kind == CONNECT, 1.0, np.where(kind == DISCONNECT, 0.0, np.nan))
+            after = pd.Series(pres).groupby(gid).ffill()
+            first_init = pd.Series(init).groupby(gid).transform("first")
+            after = after.fillna(first_init).to_numpy()
+            before = pd.Series(after).groupby(gid).shift(1).fillna(first_init).to_numpy()
+            o = pdf.drop(columns=["__carry", "__pid"])
+            o["delta"] = (after - before).astype("int32")
+            o["sender_open"] = (after == 1.0) & (kind != DISCONNECT)
+            prev_key, state = sock[-1], bool(after[-1] == 1.0)
+            yield o
+    return fn
+
+
 def _presence_deltas(events: DataFrame, socket: str) -> DataFrame:
-    """Each event with ``delta`` (+1 opens the socket, -1 closes it, else 0) and ``sender_open``."""
+    """Each event with ``delta`` (+1 opens the socket, -1 closes it, else 0) and ``sender_open``
+    (the socket is open at this event).
+
+    One ordered pass per socket with the skew-proof layout: range partitions by (socket, ts,
+    event_id) in a checkpoint; a partition's first socket may continue from earlier partitions,
+    and its entry state is the state after that socket's last presence event there — a
+    per-(partition, socket) aggregate and a window over it, ≤ one carry row per partition."""
     order = ["ts", "event_id"]
-    runs = _presence_runs(events, socket, order)
-    opens = _openings(runs, socket)
-    o = opens.select(F.col(socket).alias("__s"), F.col("run").alias("__r"), "open_ts", "open_event_id")
-    # Opening of the event's own run, and of the previous run (for a disconnect).
-    same = (runs[socket] == o["__s"]) & (F.col("run") == o["__r"])
-    j = runs.join(o, same, "left")
-    op = F.struct("open_ts", "open_event_id")
-    me = F.struct("ts", "event_id")
-    is_open_evt = (F.col("kind") == CONNECT) & (F.col("open_event_id") == F.col("event_id"))
-    open_now = F.col("open_event_id").isNotNull() & (op <= me)  # socket open at (after) this event
-    prev = o.select(F.col("__s").alias("__ps"), (F.col("__r") + 1).alias("__pr"))
-    j = j.join(prev, (j[socket] == prev["__ps"]) & (j["run"] == prev["__pr"]), "left")
-    closes_prev = (F.col("kind") == DISCONNECT) & F.col("__ps").isNotNull()
-    delta = F.when(is_open_evt, 1).when(closes_prev, -1).otherwise(0)
-    return (j.withColumn("delta", delta)
-            .withColumn("sender_open", F.coalesce(open_now & (F.col("kind") != DISCONNECT), F.lit(False)))
-            .drop("__s", "__r", "__ps", "__pr", "open_ts", "open_event_id", "run"))
+    ranged = ranged_checkpoint(events, [socket] + order)
+    pres = F.when(F.col("kind") == CONNECT, 1).when(F.col("kind") == DISCONNECT, 0)
+    last = (ranged.withColumn("__pid", F.spark_partition_id()).groupBy("__pid", socket)
+            .agg(F.max_by(pres, F.when(pres.isNotNull(), F.struct(*order))).alias("__last")))
+    w = Window.partitionBy(socket).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (last.withColumn("__carry", F.last("__last", True).over(w)).filter(F.col("__carry").isNotNull())
+             .select(F.col("__pid").alias("__cp"), F.col(socket).alias("__cs"), "__carry"))
+    tagged = ranged.withColumn("__pid", F.spark_partition_id())
+    j = tagged.join(F.broadcast(carry), (F.col("__pid") == F.col("__cp")) & (F.col(socket) == F.col("__cs")), "left")
+    j = j.drop("__cp", "__cs").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in [socket] + order])
+    schema = T.StructType(list(events.schema.fields) + [T.StructField("delta", T.IntegerType()),
+                                                        T.StructField("sender_open", T.BooleanType())])
+    return j.select(*events.columns, "__carry", "__pid").mapInPandas(_presence_pass(socket), schema)
 
 
 def concurrency_timeline(events: DataFrame, socket: str = "user_id") -> DataFrame:

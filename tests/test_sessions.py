@@ -104,3 +104,28 @@ def test_first_registration_wins(spark):
     acc, rej = sessions.first_registration_wins(req, users)
     assert rows(acc, "event_id", "username", "user_id") == [(1, "bob", 10), (4, "carl", 11)]
     assert rows(rej, "event_id", "reason") == [(2, "username_taken"), (3, "duplicate_in_batch")]
+
+
+def test_timeline_hot_socket_many_partitions(spark):
+    rnd = random.Random(5)
+    kinds = ["requestJoin", "disconnect", "chat-message", "page"]
+    ev = [(i, T0 + dt.timedelta(seconds=i), 1 if rnd.random() < 0.5 else rnd.randint(2, 9), rnd.choice(kinds))
+          for i in range(3000)]
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, kind string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        tl = dict(rows(sessions.concurrency_timeline(df), "event_id", "connected"))
+        rc = dict(rows(sessions.chat_recipients(df), "event_id", "recipients"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    open_, want_tl, want_rc = set(), {}, {}
+    for eid, _ts, s, k in ev:
+        if k == "requestJoin":
+            open_.add(s)
+        elif k == "disconnect":
+            open_.discard(s)
+        want_tl[eid] = len(open_)
+        if k == "chat-message":
+            want_rc[eid] = len(open_) - (1 if s in open_ else 0)
+    assert tl == want_tl and rc == want_rc
