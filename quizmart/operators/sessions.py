@@ -315,6 +315,8 @@ def _resolve_lobby(lobby: str, allow_self: bool):
 
 
 def _emit_pairs(lobby: str, socket: str, allow_self: bool):
+    """Second pass: fold every piece from its resolved entry waiter. Emits the pairs and, per
+    piece, its end state (``row_kind = 'end'``, ``player1`` = the waiter left, if any)."""
     def fn(it):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
@@ -326,39 +328,32 @@ def _emit_pairs(lobby: str, socket: str, allow_self: bool):
         ts, eid = pdf["ts"].tolist(), pdf["event_id"].tolist()
         rows = []
         for j, (key, lo, hi) in enumerate(bounds):
-            variant, incoming, offset = "A", None, 0
-            if j == 0 and not pd.isna(pdf.at[lo, "__variant"]):
-                variant, offset = pdf.at[lo, "__variant"], int(pdf.at[lo, "__offset"])
-                incoming = _none(pdf.at[lo, "__incoming"])
+            incoming, offset = None, 0
+            if j == 0 and not pd.isna(pdf.at[lo, "__offset"]):
+                offset, incoming = int(pdf.at[lo, "__offset"]), _none(pdf.at[lo, "__incoming"])
             pairs: list = []
-            if variant == "C":
-                r1 = next(i for i in range(lo, hi) if kind[i] == REQUEST)
-                pairs.append((incoming, sock[r1], ts[r1], eid[r1]))
-                _fold_rows(sock, kind, ts, eid, r1 + 1, hi, None, allow_self, pairs)
-            elif variant == "A":
-                _fold_rows(sock, kind, ts, eid, lo, hi, None, allow_self, pairs)
+            waiter = _fold_rows(sock, kind, ts, eid, lo, hi, incoming, allow_self, pairs)
             for k, (p1, p2, t, e) in enumerate(pairs):
-                rows.append({lobby: key, "group_no": offset + k + 1, "player1": p1, "player2": p2,
-                             "paired_at": t, "event_id": e})
-        if rows:
-            yield pd.DataFrame(rows)
+                rows.append({lobby: key, "row_kind": "pair", "pid": pid, "group_no": offset + k + 1,
+                             "player1": p1, "player2": p2, "paired_at": t, "event_id": e})
+            rows.append({lobby: key, "row_kind": "end", "pid": pid, "group_no": None, "player1": waiter,
+                         "player2": None, "paired_at": None, "event_id": None})
+        yield pd.DataFrame(rows, columns=[lobby, "row_kind", "pid", "group_no", "player1", "player2",
+                                          "paired_at", "event_id"])
     return fn
 
 
-def lobby_pairs(events: DataFrame, lobby: str = "lobby", socket: str = "user_id",
-                allow_self_pair: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """FIFO lobby pairing (server rule: a request waits; the next request pairs with the
-    waiter; a disconnect of the waiter empties the queue). Groups are always 2 players; the
-    group number is a stable sequence per lobby. With ``allow_self_pair=False`` a second request
-    of the waiter is ignored.
+def lobby_fold(events: DataFrame, lobby: str = "lobby", socket: str = "user_id",
+               allow_self_pair: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """The FIFO lobby rule folded over every lobby's events in (ts, event_id) order.
 
     Distributed fold: events are range-partitioned by (lobby, ts, event_id) and checkpointed; each
     partition folds its rows and summarises its first and last lobby piece under the only two
     possible entry states (empty queue, or some waiter who is paired by the piece's first
     request); membership of the actual candidate waiters among the piece's early disconnects is
     checked with a join; a per-lobby fold over the ≤ P+1 piece summaries fixes each piece's entry
-    state and pair offset; a second pass emits the pairs. Output:
-    (lobby, group_no, player1, player2, paired_at, event_id).
+    state and pair offset; a second pass folds each piece from its entry state and emits the
+    pairs (``row_kind = 'pair'``) and every piece's end state (``row_kind = 'end'``).
     """
     spark = events.sparkSession
     checkpoint_root(spark)
@@ -409,18 +404,53 @@ def lobby_pairs(events: DataFrame, lobby: str = "lobby", socket: str = "user_id"
     tagged = ranged.withColumn("__pid", F.spark_partition_id())
     tagged = tagged.join(F.broadcast(res), (tagged[lobby] == res["__l"]) & (tagged["__pid"] == res["__p"]), "left")
     tagged = tagged.drop("__l", "__p").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    oschema = T.StructType([T.StructField(lobby, lt), T.StructField("group_no", T.LongType()),
+    oschema = T.StructType([T.StructField(lobby, lt), T.StructField("row_kind", T.StringType()),
+                            T.StructField("pid", T.IntegerType()), T.StructField("group_no", T.LongType()),
                             T.StructField("player1", st), T.StructField("player2", st),
                             T.StructField("paired_at", tt), T.StructField("event_id", T.LongType())])
     return tagged.mapInPandas(_emit_pairs(lobby, socket, allow_self_pair), oschema)
 
 
-def lobby_status(events: DataFrame, pairs: DataFrame, lobby: str = "lobby") -> DataFrame:
-    """Per lobby — requests, groups formed, and sockets connected after its last event."""
-    t = concurrency_timeline(events)
-    last = t.groupBy(lobby).agg(F.max_by("connected", F.struct("ts", "event_id")).alias("connected_end"),
-                                F.count_if(F.col("kind") == REQUEST).alias("requests"))
-    g = pairs.groupBy(lobby).agg(F.count(F.lit(1)).alias("groups_formed"))
-    return last.join(g, lobby, "left").select(lobby, "requests",
-                                              F.coalesce("groups_formed", F.lit(0)).cast("bigint").alias("groups_formed"),
-                                              "connected_end")
+def lobby_pairs(events: DataFrame, lobby: str = "lobby", socket: str = "user_id",
+                allow_self_pair: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """FIFO lobby pairing (server rule: a request waits; the next request pairs with the
+    waiter; a disconnect of the waiter empties the queue). Groups are always 2 players; the
+    group number is a stable sequence per lobby. With ``allow_self_pair=False`` a second request
+    of the waiter is ignored. Output: (lobby, group_no, player1, player2, paired_at, event_id).
+
+    Computed by :func:`lobby_fold` (distributed fold, no lobby collected into one task)."""
+    f = lobby_fold(events, lobby, socket, allow_self_pair, num_partitions)
+    return f.filter(F.col("row_kind") == "pair").select(lobby, "group_no", "player1", "player2",
+                                                        "paired_at", "event_id")
+
+
+def lobby_waiting(events: DataFrame, lobby: str = "lobby", socket: str = "user_id",
+                  allow_self_pair: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """The player left waiting in each lobby after its last event (NULL: empty queue)."""
+    f = lobby_fold(events, lobby, socket, allow_self_pair, num_partitions).filter(F.col("row_kind") == "end")
+    return f.groupBy(lobby).agg(F.max_by("player1", "pid").alias("waiting_player"))
+
+
+def lobby_status(events: DataFrame, lobby: str = "lobby", socket: str = "user_id") -> DataFrame:
+    """Per lobby after its last event — players waiting (0/1), groups formed, groups still
+    active (a group is dropped once both players have disconnected after it formed), and sockets
+    connected.
+
+    "Disconnected after the group formed" compares with each player's last disconnect time (one
+    row per player), not with every disconnect."""
+    t = concurrency_timeline(events, socket)
+    last = t.groupBy(lobby).agg(F.max_by("connected", F.struct("ts", "event_id")).alias("connected_end"))
+    pairs = lobby_pairs(events, lobby, socket)
+    disc = events.filter(F.col("kind") == DISCONNECT).groupBy(socket).agg(F.max("ts").alias("last_disc"))
+    d1 = disc.select(F.col(socket).alias("__p1"), F.col("last_disc").alias("__d1"))
+    d2 = disc.select(F.col(socket).alias("__p2"), F.col("last_disc").alias("__d2"))
+    p = pairs.join(d1, pairs["player1"] == d1["__p1"], "left").join(d2, pairs["player2"] == d2["__p2"], "left")
+    gone = F.coalesce(F.col("__d1") > F.col("paired_at"), F.lit(False)) & F.coalesce(
+        F.col("__d2") > F.col("paired_at"), F.lit(False))
+    g = p.groupBy(lobby).agg(F.count(F.lit(1)).alias("groups_formed"), F.count_if(~gone).alias("active_groups"))
+    w = lobby_waiting(events, lobby, socket)
+    return (last.join(w, lobby, "left").join(g, lobby, "left")
+            .select(lobby, F.when(F.col("waiting_player").isNotNull(), 1).otherwise(0).alias("waiting"),
+                    F.coalesce("groups_formed", F.lit(0)).cast("bigint").alias("groups_formed"),
+                    F.coalesce("active_groups", F.lit(0)).cast("bigint").alias("active_groups"),
+                    "connected_end"))

@@ -510,8 +510,7 @@ def q_lobby_pairs(spark, d):
 
 @query("e6_lobby_status")
 def q_lobby_status(spark, d):
-    e = lobby_events(spark, d)
-    return sessions.lobby_status(e, sessions.lobby_pairs(e))
+    return sessions.lobby_status(lobby_events(spark, d))
 
 
 # ---------------------------------------------------------------- I nesting, E8, A sources, E5

@@ -21,12 +21,12 @@ def _events(n, lobbies, seed, sockets=12):
     return out
 
 
-def _fold(events, allow_self):
+def _fold(events, allow_self, finals=None):
     by = {}
     for e in sorted(events, key=lambda e: (e[4], e[1], e[0])):
         by.setdefault(e[4], []).append(e)
     out = []
-    for lobby, evs in by.items():
+    for lobby, evs in sorted(by.items()):
         waiter, g = None, 0
         for eid, ts, s, kind, _ in evs:
             if kind == "requestJoin":
@@ -40,6 +40,8 @@ def _fold(events, allow_self):
                     waiter = None
             elif kind == "disconnect" and waiter == s:
                 waiter = None
+        if finals is not None:
+            finals[lobby] = waiter
     return sorted(out, key=str)
 
 
@@ -49,7 +51,10 @@ def test_lobby_pairs_hot_lobby_many_partitions(spark):
     for allow in (False, True):
         got = sessions.lobby_pairs(df, allow_self_pair=allow, num_partitions=24)
         got_rows = sorted(rows(got, "lobby", "group_no", "player1", "player2", "event_id"), key=str)
-        assert got_rows == _fold(ev, allow)
+        finals = {}
+        assert got_rows == _fold(ev, allow, finals)
+        waiting = dict(rows(sessions.lobby_waiting(df, allow_self_pair=allow, num_partitions=24)))
+        assert waiting == finals
 
 
 def test_lobby_waiter_disconnect_and_self_queue(spark):
