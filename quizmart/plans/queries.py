@@ -691,8 +691,8 @@ def q_stream_chat(spark, d):
 
 @query("k6_stream_join_timeouts")
 def q_stream_timeouts(spark, d):
-    """Rows-only: the stream emits a timed-out request once the watermark passes its window, so
-    the input's tail stays pending at the end of an availableNow run."""
+    """The stream emits a timed-out request once the global watermark passes its window; the
+    input's tail stays pending at the end of an availableNow run (the oracle encodes this)."""
     out = scratch_path(spark, "k6-timeouts")
     e = event_stream(spark, d)
     t = streams.stream_join_timeouts(e.filter(F.col("kind") == "requestJoin"), e.filter(F.col("kind") == "answer"),
