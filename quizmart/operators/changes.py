@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmart.operators.reports import user_scores
+from quizmart.session import checkpoint_root
 
 
 def _fires(cond: Column) -> Column:
@@ -116,16 +117,23 @@ def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = No
     nn = F.lit(True)
     for k in keys:
         nn = nn & F.col(k).isNotNull()
-    null_key = incoming.filter(~nn)
-    keyed = incoming.filter(nn)
-    rej_existing = None
+    # Every decision below reads the batch several times (first rows, later rows, copies, stored
+    # keys); they differ in the columns they need, so Spark cannot share one exchange between them.
+    # Materialise the batch once — with the stored-key flag — instead of re-running its lineage
+    # per branch (reliable checkpoint in the shared folder).
+    checkpoint_root(incoming.sparkSession)
     if existing is not None:
-        # one left join against the stored keys splits the batch into "key exists" and "new key"
+        # one left join against the stored keys marks "key exists" rows
         ex = existing.select(*keys).filter(nn).distinct().withColumn("__ex", F.lit(True))
-        flagged = keyed.join(ex, keys, "left")
-        rej_existing = (flagged.filter(F.col("__ex")).drop("__ex").select(*incoming.columns)
+        flagged = incoming.join(ex, keys, "left").select(*incoming.columns, "__ex").checkpoint(eager=True)
+    else:
+        flagged = incoming.withColumn("__ex", F.lit(None).cast("boolean")).checkpoint(eager=True)
+    null_key = flagged.filter(~nn).drop("__ex")
+    rej_existing = None
+    if existing is not None:
+        rej_existing = (flagged.filter(nn & F.col("__ex")).drop("__ex")
                         .withColumn("reason", F.lit("duplicate_existing")))
-        keyed = flagged.filter(F.col("__ex").isNull()).drop("__ex").select(*incoming.columns)
+    keyed = flagged.filter(nn & F.col("__ex").isNull()).drop("__ex")
     firsts, rest = first_per_key(keyed, keys, list(order), null_safe=False)
     accepted = firsts.unionByName(null_key)
     rejected = rest.withColumn("reason", F.lit("duplicate_in_batch"))
