@@ -171,27 +171,31 @@ def refresh_group_scores(game_groups: DataFrame, scores: DataFrame) -> DataFrame
 
 # ---------------------------------------------------------------------------- J1, J2, J3
 def _old_new(current: DataFrame, changes: DataFrame, key: str):
-    """Join each change (one row per key) to its current row as ``old.*`` / ``new.*`` columns.
-
-    A column absent from ``changes`` is unchanged (NEW = OLD)."""
+    """Every current row with its change (``changes`` holds one row per key) as ``old_*`` /
+    ``new_*`` columns and ``__has`` = a change exists. One left join serves both the per-change
+    decisions and the new snapshot. A column absent from ``changes`` is unchanged (NEW = OLD);
+    a change for a key that does not exist updates nothing."""
     old = current.select(*[F.col(c).alias(f"old_{c}") for c in current.columns])
-    j = changes.select(*[F.col(c).alias(f"chg_{c}") for c in changes.columns]).join(
-        old, F.col(f"chg_{key}") == F.col(f"old_{key}"), "inner")
+    chg = changes.select(*[F.col(c).alias(f"chg_{c}") for c in changes.columns]).withColumn("__has", F.lit(True))
+    j = old.join(chg, F.col(f"old_{key}") == F.col(f"chg_{key}"), "left")
+    has = F.coalesce(F.col("__has"), F.lit(False))
     for c in current.columns:
-        src = f"chg_{c}" if c in changes.columns else f"old_{c}"
-        j = j.withColumn(f"new_{c}", F.col(src))
-    return j.drop(*[f"chg_{c}" for c in changes.columns])
+        new = F.when(has, F.col(f"chg_{c}")).otherwise(F.col(f"old_{c}")) if c in changes.columns else F.col(f"old_{c}")
+        j = j.withColumn(f"new_{c}", new)
+    return j.drop(*[f"chg_{c}" for c in changes.columns]).withColumn("__has", has)
 
 
 def _split(j: DataFrame, current: DataFrame, key: str, reason: Column, mode: str):
-    j = j.withColumn("reason", reason)
-    accepted = j.filter(F.col("reason").isNull()).select(*[F.col(f"new_{c}").alias(c) for c in current.columns])
-    rejected = j.filter(F.col("reason").isNotNull())
+    """(snapshot, decisions, rejected): the snapshot takes the new row where the change is
+    accepted and keeps the old row otherwise; decisions hold one row per applied change."""
+    j = j.withColumn("reason", F.when(F.col("__has"), reason))
+    decisions = j.filter(F.col("__has")).drop("__has")
+    rejected = decisions.filter(F.col("reason").isNotNull())
     _fail_if_any(rejected, mode)
-    untouched = current.join(j.select(F.col(f"old_{key}").alias(key)), key, "left_anti")
-    snapshot = untouched.unionByName(accepted).unionByName(
-        rejected.select(*[F.col(f"old_{c}").alias(c) for c in current.columns]))
-    return snapshot, j, rejected
+    take_new = F.col("__has") & F.col("reason").isNull()
+    snapshot = j.select(*[F.when(take_new, F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c)
+                          for c in current.columns])
+    return snapshot, decisions, rejected
 
 
 GAME_STATUSES = ["waiting", "active", "finished"]
@@ -244,7 +248,7 @@ def touch_updated_at(current: DataFrame, changes: DataFrame, key: str, now) -> D
     Returns the updated rows (new values)."""
     cur = current if "updated_at" in current.columns else current.withColumn(
         "updated_at", F.lit(None).cast("timestamp_ntz"))
-    j = _old_new(cur, changes, key)
+    j = _old_new(cur, changes, key).filter(F.col("__has"))
     return j.select(*[F.col(f"new_{c}").alias(c) for c in cur.columns]).withColumn("updated_at", _lit_ts(now))
 
 
