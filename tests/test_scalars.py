@@ -66,3 +66,14 @@ def test_feedback_and_forms(spark):
         None, S.MSG_SUBMISSION, S.MSG_SUBMISSION]
     marked = _one(spark, S.submission_answers("a", "c"), sub[:1], "t string, a array<string>, c int, g string")[0]
     assert [(m["text"], m["right_wrong"]) for m in marked] == [("a", False), ("b", True), ("c", False), ("d", False)]
+
+
+def test_survey_named_screen_functions(spark):
+    from quizmart.operators import screens
+    df = spark.createDataFrame([(1, "Mathe 100%"), (2, "Geo")], "id long, title string")
+    assert [r.id for r in screens.search(df, ["title"], " 100% ").collect()] == [1]
+    forms = spark.createDataFrame([("A", "B", "usr", "e@x", "12345", "avatar2.jpeg"), ("A", "B", "u", "e@x", "12345", None)],
+                                  "firstname string, surname string, username string, email string, password string, "
+                                  "avatar_file string")
+    v = screens.violations_registration(forms).collect()
+    assert len(v) == 1 and v[0].rule == S.MSG_USERNAME_3
