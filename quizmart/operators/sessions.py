@@ -388,12 +388,12 @@ def lobby_fold(events: DataFrame, lobby: str = "lobby", socket: str = "user_id",
     firsts = F.broadcast(summ.filter(F.col("is_first") == 1).select(
         F.col(lobby).alias("__l"), F.col("pid").alias("__p"), "has_req", "r1_ts", "r1_eid", "cand_a", "cand_c"))
     disc = ranged.filter(F.col("kind") == DISCONNECT).withColumn("__pid", F.spark_partition_id())
-    dj = disc.join(firsts, (disc[lobby] == firsts["__l"]) & (disc["__pid"] == firsts["__p"]))
+    dj = disc.join(firsts, disc[lobby].eqNullSafe(firsts["__l"]) & (disc["__pid"] == firsts["__p"]))
     early = dj.filter(~F.col("has_req") | (F.struct("ts", "event_id") < F.struct("r1_ts", "r1_eid")))
     mem = early.groupBy("__l", "__p").agg(
         F.max((F.col(socket) == F.col("cand_a")).cast("int")).alias("mem_a"),
         F.max((F.col(socket) == F.col("cand_c")).cast("int")).alias("mem_c"))
-    full = (summ.join(mem, (summ[lobby] == mem["__l"]) & (summ["pid"] == mem["__p"]), "left").drop("__l", "__p")
+    full = (summ.join(mem, summ[lobby].eqNullSafe(mem["__l"]) & (summ["pid"] == mem["__p"]), "left").drop("__l", "__p")
             .fillna(0, subset=["mem_a", "mem_c"]))
     rschema = T.StructType([T.StructField(lobby, lt), T.StructField("pid", T.IntegerType()),
                             T.StructField("incoming", st), T.StructField("variant", T.StringType()),
@@ -402,7 +402,7 @@ def lobby_fold(events: DataFrame, lobby: str = "lobby", socket: str = "user_id",
     res = res.select(F.col(lobby).alias("__l"), F.col("pid").alias("__p"), F.col("incoming").alias("__incoming"),
                      F.col("variant").alias("__variant"), F.col("pair_offset").alias("__offset"))
     tagged = ranged.withColumn("__pid", F.spark_partition_id())
-    tagged = tagged.join(F.broadcast(res), (tagged[lobby] == res["__l"]) & (tagged["__pid"] == res["__p"]), "left")
+    tagged = tagged.join(F.broadcast(res), tagged[lobby].eqNullSafe(res["__l"]) & (tagged["__pid"] == res["__p"]), "left")
     tagged = tagged.drop("__l", "__p").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
     oschema = T.StructType([T.StructField(lobby, lt), T.StructField("row_kind", T.StringType()),
                             T.StructField("pid", T.IntegerType()), T.StructField("group_no", T.LongType()),

@@ -216,12 +216,13 @@ def stream_audit(stream: DataFrame, target: str, audit: str, keys: list[str], ta
 
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        prev = spark.read.parquet(target).filter(F.col("batch_id") < batch_id)
         cols = [c for c in batch.columns]
-        # current version per key: the latest batch that wrote it (aggregate, not a window)
+        # only the keys this batch touches, then their current version: the latest batch that
+        # wrote them (an aggregate over the touched keys, not over the whole table)
+        prev = (spark.read.parquet(target).filter(F.col("batch_id") < batch_id)
+                .join(batch.select(*keys), keys, "left_semi"))
         cur = prev.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in cols if c not in keys]), "batch_id").alias("v"))
-        cur = cur.select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols if c not in keys]).select(*cols)
-        old = cur.join(batch.select(*keys), keys, "left_semi")  # only the keys this batch touches
+        old = cur.select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols if c not in keys]).select(*cols)
         log = changes.audit_diff(old, batch.select(*cols), keys, table_name, now)
         log.write.mode("overwrite").parquet(_batch_dir(audit, batch_id))
         batch.write.mode("overwrite").parquet(_batch_dir(target, batch_id))

@@ -134,3 +134,14 @@ def test_timeline_hot_socket_many_partitions(spark):
         if k == "chat-message":
             want_rc[eid] = len(open_) - (1 if s in open_ else 0)
     assert tl == want_tl and rc == want_rc
+
+
+def test_lobby_pairs_null_lobby(spark):
+    ev = _events(600, 2, seed=21)
+    ev = [(e[0], e[1], e[2], e[3], None if e[4] == "L0" else e[4]) for e in ev]
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, kind string, lobby string")
+    got = sorted(rows(sessions.lobby_pairs(df, num_partitions=12), "lobby", "group_no", "player1", "player2",
+                      "event_id"), key=str)
+    want = _fold([(a, b, c, d, e if e is not None else "~") for a, b, c, d, e in ev], False)
+    want = sorted([(None if w[0] == "~" else w[0],) + tuple(w[1:]) for w in want], key=str)
+    assert got == want
