@@ -82,3 +82,19 @@ def test_score_updates_across_batches(spark):
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 2
     got = rows(streams.latest_values(out, spark, ["user_id"]), "user_id", "score")
     assert got == rows(reports.user_scores(b1.unionByName(b2), games), "user_id", "score") == [(1, 20), (2, 0), (3, 10)]
+
+
+def test_audit_stream_versions_across_batches(spark):
+    schema = "id long, name string, v long"
+    target, audit = scratch_path(spark, "k7t"), scratch_path(spark, "k7a")
+    spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema).write.parquet(f"{target}/batch_id=-1")
+    b1 = spark.createDataFrame([(1, "a", 2), (2, "b", 1), (3, "c", 1)], schema)  # update 1, same 2, insert 3
+    b2 = spark.createDataFrame([(1, "a", 3)], schema)                             # update 1 again
+    src = _write_batches(spark, [b1, b2], "up")
+    stream = spark.readStream.schema(b1.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    streams.run_available_now(streams.stream_audit(stream, target, audit, ["id"], "t", "2024-02-01 00:00:00"),
+                              "t-k7", spark)
+    log = spark.read.parquet(audit).select(
+        "batch_id", "id", "operation", F.get_json_object("old_values", "$.v").alias("old_v"),
+        F.get_json_object("new_values", "$.v").alias("new_v"))
+    assert rows(log) == [(0, 1, "UPDATE", "1", "2"), (0, 3, "INSERT", None, "1"), (1, 1, "UPDATE", "2", "3")]
