@@ -106,7 +106,8 @@ def first_per_key(rows: DataFrame, keys: Iterable[str], order: Iterable[str], nu
 
 def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = None,
                             keys: Iterable[str] = ("game_id", "user_id", "round_no"),
-                            order: Iterable[str] = ("answered_at",), mode: str = "quarantine"):
+                            order: Iterable[str] = ("answered_at",), mode: str = "quarantine",
+                            materialize: bool = True):
     """first answer per (game, user, round) wins; returns ``(accepted, rejected)``.
 
     * a row with a NULL key part never counts as a duplicate (``WHERE a = NULL`` matches nothing);
@@ -121,13 +122,17 @@ def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = No
     # keys); they differ in the columns they need, so Spark cannot share one exchange between them.
     # Materialise the batch once — with the stored-key flag — instead of re-running its lineage
     # per branch (reliable checkpoint in the shared folder).
-    checkpoint_root(incoming.sparkSession)
+    # ``materialize=False`` when the caller already holds the input cheaply (a persisted
+    # micro-batch inside foreachBatch).
     if existing is not None:
         # one left join against the stored keys marks "key exists" rows
         ex = existing.select(*keys).filter(nn).distinct().withColumn("__ex", F.lit(True))
-        flagged = incoming.join(ex, keys, "left").select(*incoming.columns, "__ex").checkpoint(eager=True)
+        flagged = incoming.join(ex, keys, "left").select(*incoming.columns, "__ex")
     else:
-        flagged = incoming.withColumn("__ex", F.lit(None).cast("boolean")).checkpoint(eager=True)
+        flagged = incoming.withColumn("__ex", F.lit(None).cast("boolean"))
+    if materialize:
+        checkpoint_root(incoming.sparkSession)
+        flagged = flagged.checkpoint(eager=True)
     null_key = flagged.filter(~nn).drop("__ex")
     rej_existing = None
     if existing is not None:

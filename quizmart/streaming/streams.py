@@ -73,17 +73,22 @@ def stream_answers(stream: DataFrame, answers: DataFrame, sink: str, quarantine:
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         existing = _read_previous(spark, sink, batch_id)
-        # two outputs read the scored batch: keep it for the duration of this batch only
-        scored, unknown = changes.score_answers(batch, answers)
-        acc, dups = changes.duplicate_round_answers(scored, existing, keys=keys, order=order)
-        # one decision per row, computed once and kept for the two writes of this batch only
-        dec = acc.withColumn("reason", F.lit(None).cast("string")).unionByName(dups).unionByName(unknown).persist()
+        # The decisions read the scored micro-batch several times; keep it (and the decisions)
+        # for the duration of this batch only — the usual foreachBatch pattern.
+        scored_all = changes.score_all(batch, answers).persist()
+        dec = None
         try:
+            scored = scored_all.filter(F.col("right_wrong").isNotNull())
+            unknown = scored_all.filter(F.col("right_wrong").isNull()).withColumn("reason", F.lit("unknown_answer"))
+            acc, dups = changes.duplicate_round_answers(scored, existing, keys=keys, order=order, materialize=False)
+            dec = acc.withColumn("reason", F.lit(None).cast("string")).unionByName(dups).unionByName(unknown).persist()
             dec.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(
                 _batch_dir(sink, batch_id))
             dec.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(_batch_dir(quarantine, batch_id))
         finally:
-            dec.unpersist()
+            if dec is not None:
+                dec.unpersist()
+            scored_all.unpersist()
 
     return stream.writeStream.foreachBatch(each)
 
