@@ -248,7 +248,11 @@ def q_submission(spark, d):
                 F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise(F.col("p_type"))).alias("answers"),
         F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.col("p_type")).alias("category"),
         F.when(F.col("p_size") % 11 == 0, F.lit(None)).otherwise(F.col("p_size") % 4).cast("int").alias("correct"))
-    return screens.submission_screen(subs).select("submission_id", "rule", "status", "marked")
+    out = screens.submission_screen(subs)
+    texts = F.array_join(F.transform("marked", lambda m: m["text"]), " | ")
+    right = (F.array_position(F.transform("marked", lambda m: m["right_wrong"]), F.lit(True)) - 1).cast("int")
+    return out.select("submission_id", "rule", "status", texts.alias("marked_texts"),
+                      F.when(F.col("marked").isNotNull(), right).alias("marked_right"))
 
 
 @query("c10_profile_load")
