@@ -35,10 +35,21 @@ from quizmart.session import checkpoint_root
 _V, _PID, _CARRY, _TOT = "__scan_v", "__scan_pid", "__scan_carry", "__scan_tot"
 
 
+PARTITION_BYTES = 128 * 1024 * 1024  # target input bytes per range partition
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions for an ordered pass: about one per PARTITION_BYTES of the optimizer's
+    size estimate of ``df``, at most ``spark.sql.shuffle.partitions`` (the cluster's sizing)."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(est.toString()) if hasattr(est, "toString") else int(est)
+    except Exception:  # noqa: BLE001 - no estimate: use the cluster setting
+        return cap
+    return max(1, min(cap, -(-size // PARTITION_BYTES)))
 
 
 def _same_key(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:

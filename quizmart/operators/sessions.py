@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quizmart.operators.changes import first_per_key
 from quizmart.operators.quality import assign_surrogate_key
-from quizmart.operators.scan import ranged_checkpoint, running_sum, sequence_number
+from quizmart.operators.scan import _num_partitions, ranged_checkpoint, running_sum, sequence_number
 from quizmart.session import checkpoint_root
 
 CONNECT, DISCONNECT, REQUEST, CHAT = "requestJoin", "disconnect", "requestJoin", "chat-message"
@@ -357,7 +357,7 @@ def lobby_fold(events: DataFrame, lobby: str = "lobby", socket: str = "user_id",
     """
     spark = events.sparkSession
     checkpoint_root(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _num_partitions(events, num_partitions)
     order = [lobby, "ts", "event_id"]
     ev = events.filter(F.col("kind").isin(REQUEST, DISCONNECT)).select(lobby, "ts", "event_id", socket, "kind")
     ranged = (ev.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])

@@ -23,7 +23,7 @@ def test_running_sum_matches_pandas(spark, data, parts):
     df = spark.createDataFrame(data, "id long, k long, t long, v long")
     got = {r.id: r.rs for r in running_sum(df, ["k"], ["t", "id"], F.col("v"), "rs", num_partitions=parts).collect()}
     pdf = pd.DataFrame(data, columns=["id", "k", "t", "v"])
-    pdf["kk"] = [-1 if k is None else k for k in pdf["k"].tolist()]
+    pdf["kk"] = [-1 if pd.isna(k) else k for k in pdf["k"].tolist()]
     pdf = pdf.sort_values(["kk", "t", "id"])
     want = dict(zip(pdf["id"], pdf.groupby("kk")["v"].cumsum())) if len(pdf) else {}
     assert got == {int(k): int(v) for k, v in want.items()}
