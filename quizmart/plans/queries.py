@@ -3,6 +3,12 @@
 Every query reads the stand-in views of the driver tables (``quizmart.sources.standin``) and
 runs a library operator over the whole tables. ``ORACLE`` in :mod:`quizmart.plans.oracle` holds
 the DuckDB statement with the same column names for each key.
+
+Operators that apply a *change set* (status changes, reviews, profile patches, erasure requests,
+incoming vs. stored answers, old vs. new snapshots) need one; it is derived from the same tables
+by the fixed rules of FIXTURES.md (e.g. every third game gets a new status). These rules only
+define which rows a batch changes — the operators still read and rewrite the whole tables, and no
+rule caps or samples rows to make a check cheaper.
 """
 
 from __future__ import annotations
