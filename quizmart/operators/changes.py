@@ -107,7 +107,7 @@ def first_per_key(rows: DataFrame, keys: Iterable[str], order: Iterable[str], nu
 def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = None,
                             keys: Iterable[str] = ("game_id", "user_id", "round_no"),
                             order: Iterable[str] = ("answered_at",), mode: str = "quarantine",
-                            materialize: bool = True):
+                            materialize: bool = True, prune_existing: bool = False):
     """first answer per (game, user, round) wins; returns ``(accepted, rejected)``.
 
     * a row with a NULL key part never counts as a duplicate (``WHERE a = NULL`` matches nothing);
@@ -123,10 +123,15 @@ def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = No
     # Materialise the batch once — with the stored-key flag — instead of re-running its lineage
     # per branch (reliable checkpoint in the shared folder).
     # ``materialize=False`` when the caller already holds the input cheaply (a persisted
-    # micro-batch inside foreachBatch).
+    # micro-batch inside foreachBatch); ``prune_existing`` for a small batch against a long history.
     if existing is not None:
         # one left join against the stored keys marks "key exists" rows
-        ex = existing.select(*keys).filter(nn).distinct().withColumn("__ex", F.lit(True))
+        ex = existing.select(*keys).filter(nn)
+        if prune_existing:
+            # small batch against a long history: keep only stored keys the batch has (a semi join
+            # AQE can broadcast), so the history is filtered map-side instead of shuffled whole
+            ex = ex.join(incoming.select(*keys).filter(nn).distinct(), keys, "left_semi")
+        ex = ex.distinct().withColumn("__ex", F.lit(True))
         flagged = incoming.join(ex, keys, "left").select(*incoming.columns, "__ex")
     else:
         flagged = incoming.withColumn("__ex", F.lit(None).cast("boolean"))

@@ -80,7 +80,8 @@ def stream_answers(stream: DataFrame, answers: DataFrame, sink: str, quarantine:
         try:
             scored = scored_all.filter(F.col("right_wrong").isNotNull())
             unknown = scored_all.filter(F.col("right_wrong").isNull()).withColumn("reason", F.lit("unknown_answer"))
-            acc, dups = changes.duplicate_round_answers(scored, existing, keys=keys, order=order, materialize=False)
+            acc, dups = changes.duplicate_round_answers(scored, existing, keys=keys, order=order, materialize=False,
+                                                        prune_existing=True)
             dec = acc.withColumn("reason", F.lit(None).cast("string")).unionByName(dups).unionByName(unknown).persist()
             dec.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(
                 _batch_dir(sink, batch_id))

@@ -106,3 +106,13 @@ def test_first_per_key_large_group_of_copies(spark, monkeypatch):
     for r in rest.collect():
         counts[tuple(r)] = counts.get(tuple(r), 0) + 1
     assert counts == {(1, 5, "x"): 999, (1, 9, "y"): 3, (3, 1, "w"): 19}
+
+
+def test_prune_existing_gives_same_decisions(spark):
+    schema = "game_id long, user_id long, round_no int, answered_at timestamp_ntz, answer_id long"
+    inc = spark.createDataFrame([(1, 1, 1, T0, 5), (1, 1, 2, T0, 6), (2, 2, 1, T0, 7), (3, None, 1, T0, 8)], schema)
+    existing = spark.createDataFrame([(1, 1, 1, T0, 1), (9, 9, 9, T0, 2), (3, None, 1, T0, 3)], schema)
+    a1, r1 = changes.duplicate_round_answers(inc, existing)
+    a2, r2 = changes.duplicate_round_answers(inc, existing, materialize=False, prune_existing=True)
+    assert rows(a1) == rows(a2) and rows(r1) == rows(r2)
+    assert rows(r1, "answer_id", "reason") == [(5, "duplicate_existing")]
