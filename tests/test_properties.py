@@ -42,3 +42,41 @@ def test_first_per_key_is_exact_multiset_split(spark, data):
         key = row[0]
         best[key] = min(best.get(key, row), row, key=lambda x: (x[1], x[2]))
     assert sorted(f, key=str) == sorted(best.values(), key=str)        # one first per key (NULL is a key)
+
+
+EVENTS = st.lists(st.tuples(st.sampled_from(["requestJoin", "requestJoin", "disconnect", "page"]),
+                            st.integers(1, 4),                      # socket (few: self-queues, waiter leaves)
+                            st.sampled_from(["A", "A", "A", "B"])),  # lobby (A is hot)
+                  min_size=0, max_size=80)
+
+
+@SETTINGS
+@given(EVENTS, st.integers(1, 12), st.booleans())
+def test_lobby_fold_matches_sequential_fold(spark, evs, parts, allow_self):
+    import datetime as dt
+    from quizmart.operators import sessions
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(i, t0 + dt.timedelta(seconds=i), s, k, lob) for i, (k, s, lob) in enumerate(evs)]
+    df = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, kind string, lobby string")
+    got = sorted((r.lobby, r.group_no, r.player1, r.player2, r.event_id)
+                 for r in sessions.lobby_pairs(df, allow_self_pair=allow_self, num_partitions=parts).collect())
+    want, finals = [], {}
+    for lob in sorted({d[4] for d in data if d[3] in ("requestJoin", "disconnect")}):  # lobbies with lobby events
+        waiter, g = None, 0
+        for eid, _ts, s, k, _l in [d for d in data if d[4] == lob]:
+            if k == "requestJoin":
+                if waiter is None:
+                    waiter = s
+                elif waiter == s and not allow_self:
+                    pass
+                else:
+                    g += 1
+                    want.append((lob, g, waiter, s, eid))
+                    waiter = None
+            elif k == "disconnect" and waiter == s:
+                waiter = None
+        finals[lob] = waiter
+    assert got == sorted(want)
+    waiting = {r.lobby: r.waiting_player for r in
+               sessions.lobby_waiting(df, allow_self_pair=allow_self, num_partitions=parts).collect()}
+    assert waiting == finals
