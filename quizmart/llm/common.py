@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_root
+
 #: Code points that separate words: space and tab to carriage return.
 SPACE = b" \t\n\v\f\r"
 
@@ -22,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table in the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid4().hex}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,6 +68,10 @@ def ragged(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.n
     return values[np.repeat(offsets - at[:-1], lengths) + np.arange(at[-1])]
 
 
+#: Bytes of words that a memo holds at most before it starts anew.
+KEY_BYTES = 48 << 20
+
+
 class _Index(dict):
     """Numbers its keys in order of first use; ``new`` lists the keys not yet described."""
 
@@ -91,7 +103,7 @@ class WordTable:
         self.offsets = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
         self.uses = np.zeros(0, np.int64)
-        self.size, self.flat_size = 0, 0
+        self.size, self.flat_size, self.held = 0, 0, 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -116,7 +128,7 @@ class WordTable:
         self.size, self.flat_size = k + n, self.flat_size + total
 
     def _forget(self) -> None:
-        keep = np.flatnonzero(self.uses[: self.size] > 1)
+        keep = np.flatnonzero(self.uses[: self.size] > 1) if self.held <= KEY_BYTES else np.zeros(0, np.int64)
         if len(keep) > self.limit // 2:
             keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.limit // 2]]
         words = np.empty(self.size, object)
@@ -126,15 +138,17 @@ class WordTable:
         self._clear()
         for w in words:
             self.index[w] = len(self.index)
+            self.held += len(w)
         self._add(ids, columns)
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Row numbers of the words, valid until the next call."""
-        if self.size > self.limit:
+        if self.size > self.limit or self.held > KEY_BYTES:
             self._forget()
         out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
             new, self.index.new = self.index.new, []
+            self.held += sum(map(len, new))
             self._add(*self.describe(new))
         self.uses[: self.size] += np.bincount(out, minlength=self.size)
         return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, packing, secrets, simhash
+from . import chat, decontaminate, fertility, langid, lines, packing, repeats, secrets, simhash, wrappers
 from .common import table
 
 
@@ -16,11 +16,35 @@ def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats from smaller documents leave of every document."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every compared line of every document with its class, links and verdict."""
+    return lines.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item with a passage that aligns."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = langid.train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()), order_col="doc_id")
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests, read back from the formatted text, of every conversation and of conversation -1."""
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -45,7 +69,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokeniser_fertility, op4_benchmark_decontamination, op7_chat_formatting, op8_secret_scan, op9_best_fit_packing, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_tokeniser_fertility, op2_suffix_dedup, op3_line_dedup, op4_benchmark_decontamination, op5_language_id, op6_html_extraction, op7_chat_formatting, op8_secret_scan, op9_best_fit_packing, op10_simhash_near_dedup)
 }
 
 ORACLE: dict[str, str] = {
