@@ -333,21 +333,17 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
                     shapes = found.setdefault(host, {})
                     shape = _shape(page)
                     shapes[shape] = align(shapes[shape], page) if shape in shapes else page
-            rows = [(host, zlib.crc32(f"{host}{k}".encode()) % GROUPS, _dump(_all(shapes.values()))) for k, (host, shapes) in enumerate(found.items())]
+            rows = [(host, _dump(_all(shapes.values()))) for host, shapes in found.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "g", "wrapper"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "wrapper"])
 
-    def merge(keys: list[str]):
-        def run(rows: pa.Table) -> pa.Table:
-            first = {k: rows.column(k)[0].as_py() for k in keys}
-            whole = _all(_load(x.as_py()) for x in rows.column("wrapper"))
-            return pa.table({**{k: [v] for k, v in first.items()}, "wrapper": pa.array([_dump(whole)], pa.binary())})
+    def merge(rows: pa.Table) -> pa.Table:
+        whole = _all(_load(x.as_py()) for x in rows.column("wrapper"))
+        return pa.table({"host": rows.column("host").slice(0, 1), "wrapper": pa.array([_dump(whole)], pa.binary())})
 
-        return run
-
-    part = source.mapInArrow(learn, "host string, g int, wrapper binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
-    part = part.groupBy("host", "g").applyInArrow(merge(["host", "g"]), "host string, g int, wrapper binary")
-    return part.groupBy("host").applyInArrow(merge(["host"]), "host string, wrapper binary")
+    part = source.mapInArrow(learn, "host string, wrapper binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    part = part.groupBy("host", "g").applyInArrow(merge, "host string, wrapper binary")
+    return part.groupBy("host").applyInArrow(merge, "host string, wrapper binary")
 
 
 def _all(wrappers) -> list[list]:
