@@ -48,15 +48,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, h, fp long) of every row; h is a 64-bit hash of the text."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in common.byte_column(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -145,36 +145,38 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return small.unionByName(_bucket_links(large, ["v", "key", "u", "sub"], radius, parts))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, fingerprint (16 hex digits), component_id: the
-    smallest id reachable over links.
-
-    Null and empty texts have fingerprint zero and are linked like any other. Equal texts share a
-    fingerprint and are collapsed before the search. Null ids get rows, too, and never become a
-    component's id unless it holds nothing else (then it is null). Other columns are ignored.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, split: int) -> DataFrame:
+    """(doc_id, h, fp, root, component_id) of every row; root names the component."""
     checkpoint_root(docs.sparkSession)
     rows = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
     roots = connected_components(links(distinct.select("fp"), radius, split))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id (one of them,
-    the smallest in the order of all columns, if several rows carry that id)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    kept = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"])).drop("__id")
-    once = kept.where("__n = 1").drop("__n")
-    return once.unionByName(_first_row(kept.where("__n > 1").drop("__n"), id_col))
-
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, fingerprint (16 hex digits), component_id: the
+    smallest id reachable over links.
 
-def _first_row(rows: DataFrame, id_col: str) -> DataFrame:
-    """The smallest row of each id, by an aggregate that combines before the shuffle."""
-    others = [c for c in rows.columns if c != id_col]
-    first = rows.groupBy(id_col).agg(F.min(F.struct(*others)).alias("__r"))
-    return first.select(*[F.col(id_col) if c == id_col else F.col("__r")[c].alias(c) for c in rows.columns])
+    Null and empty texts have fingerprint zero and are linked like any other. Equal texts share a
+    fingerprint and are collapsed before the search. Null ids get rows, too, and never become a
+    component's id unless it holds nothing else (then it is null). Other columns are ignored.
+    """
+    found = _placed(docs, id_col, text_col, shingle, radius, split)
+    return found.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component: with the smallest id; of several texts
+    with that id the one with the smallest hash, of equal ones the smallest row."""
+    found = _placed(docs, id_col, text_col, shingle, radius, split).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = found.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    found = found.groupBy("root").agg(F.min(F.struct("h", "doc_id", "n")).alias("k")).select(F.col("k.h").alias("__h"), F.col("k.doc_id").alias("__id"), F.col("k.n").alias("__n"))
+    same = docs[id_col].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == found["__h"])
+    kept = docs.join(found, same).drop("__h", "__id")
+    several = kept.where("__n > 1").drop("__n")
+    first = several.groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h")).agg(F.min(F.struct(*docs.columns)).alias("__r"))
+    return kept.where("__n = 1").drop("__n").unionByName(first.select("__r.*"))
