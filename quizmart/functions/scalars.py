@@ -31,7 +31,7 @@ AVATAR_ID_DEFAULT = 31
 AVATAR_FILE_DEFAULT = "avatar1.jpeg"
 PLAYER_NAME_PREFIX = "Spieler"
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")]
-SIZE_UNITS = ["bytes", "kB", "MB", "GB", "TB"]
+SIZE_UNITS = ["bytes", "kB", "MB", "GB", "TB", "PB"]
 # ---------------------------------------------------------------------------------------------
 
 
@@ -172,14 +172,14 @@ def profile_rule(password, confirm, username) -> Column:
             .when(F.char_length(F.coalesce(_c(username), F.lit(""))) < 3, F.lit(MSG_PROFILE_USERNAME_3)))
 
 
-def submission_rule(text, answers, correct, category) -> Column:
-    """C17: the question form's check — trimmed text and category given, all answers non-empty,
-    right index present. ``answers`` is ``array<string>``, ``correct`` the 0-based index."""
-    a = _c(answers)
-    bad_answer = F.exists(F.coalesce(a, F.array().cast("array<string>")),
-                          lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
-    return F.when(~_nonempty(text) | bad_answer | _c(correct).isNull() | ~_nonempty(category),
-                  F.lit(MSG_SUBMISSION))
+def submission_rule(text, answers, correct, category, n_answers: int = 4) -> Column:
+    """C17: the question form's check — trimmed text and category given, exactly ``n_answers``
+    answers and all of them non-empty, a right index that names one of them. ``answers`` is
+    ``array<string>``, ``correct`` the 0-based index; NULLs fail."""
+    a = F.coalesce(_c(answers), F.array().cast("array<string>"))
+    bad_answer = (F.size(a) != n_answers) | F.exists(a, lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
+    bad_index = ~F.coalesce(_c(correct).between(0, n_answers - 1), F.lit(False))
+    return F.when(~_nonempty(text) | bad_answer | bad_index | ~_nonempty(category), F.lit(MSG_SUBMISSION))
 
 
 def submission_answers(answers, correct) -> Column:
@@ -188,19 +188,20 @@ def submission_answers(answers, correct) -> Column:
                                                          (i == _c(correct)).alias("right_wrong")))
 
 
-def size_pretty(nbytes) -> Column:
-    """Human-readable size: the largest unit (bytes, kB, MB, GB, TB; 1024 steps) in which the
-    value is at least 10, rounded half away from zero — e.g. 10239 → "10239 bytes", 10240 → "10 kB"."""
-    b = _c(nbytes).cast("bigint")
-    e = F.concat(b.cast("string"), F.lit(" " + SIZE_UNITS[0]))
-    # Wrap from the smallest unit up, so the outermost test is the largest unit.
-    for i in range(1, len(SIZE_UNITS)):
-        limit = 10 * 1024 ** i
-        val = F.round(b / F.lit(1024 ** i), 0).cast("bigint")
-        e = F.when(F.abs(b) >= F.lit(limit), F.concat(val.cast("string"), F.lit(" " + SIZE_UNITS[i]))).otherwise(e)
-    return e
+SIZE_BYTES_LIMIT = 10 * 1024  # below: plain bytes
+SIZE_HALF_LIMIT = 20 * 1024 - 1  # below, in half units: this unit
 
 
-def points(right_wrong, n: int = 1) -> Column:
-    """``CASE WHEN right_wrong THEN n ELSE 0 END``."""
-    return F.when(_c(right_wrong), F.lit(n)).otherwise(F.lit(0))
+def size_pretty(nbytes) -> Column:
+    """Human-readable size. Under 10240 bytes as they are; otherwise the value in half units
+    (integer division, towards zero), moved up a unit while it has 20479 halves or more, and
+    rounded half away from zero — e.g. 10239 → "10239 bytes", 10240 → "10 kB", 10485247 →
+    "10239 kB", 10485248 → "10 MB". The last unit takes all larger values."""
+    b = _c(nbytes).cast("bigint")
+    size, sign = F.abs(b), F.when(b < 0, F.lit("-")).otherwise(F.lit(""))
+    out = None
+    for i in range(len(SIZE_UNITS) - 1, 0, -1):
+        halves = F.shiftright(size, 10 * i - 1)
+        text = F.concat(sign, F.shiftright(halves + 1, 1).cast("string"), F.lit(" " + SIZE_UNITS[i]))
+        out = text if out is None else F.when(halves < SIZE_HALF_LIMIT, text).otherwise(out)
+    return F.when(size < SIZE_BYTES_LIMIT, F.concat(b.cast("string"), F.lit(" " + SIZE_UNITS[0]))).otherwise(out)

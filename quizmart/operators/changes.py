@@ -56,104 +56,88 @@ def score_answers(game_answers: DataFrame, answers: DataFrame, mode: str = "quar
 
 
 # ---------------------------------------------------------------------------- F5
-COPY_CHUNK = 4096
-
-
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def mark_first(rows: DataFrame, keys: Iterable[str], order: Iterable[str], eligible: Column | None = None,
+               null_safe: bool = True, out: str = "__first") -> DataFrame:
+    """``rows`` with ``out``: the row is its key's first among the ``eligible`` rows (NULL where the
+    key has none). "First" is the minimum by ``order``, then by all other columns, so rows that tie
+    are identical and any one of them is taken.
+
+    The rows get a number in a checkpoint; a key's first number is one aggregate, combined in each
+    task before the shuffle (a hot key or a group of copies sends one row per task), and comes back
+    by one join, whose row side AQE splits at a hot key.
+    """
+    keys, order = list(keys), list(order)
+    checkpoint_root(rows.sparkSession)
+    numbered = rows.withColumn("__id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    others = [c for c in rows.columns if c not in keys and c not in order]
+    chosen = numbered if eligible is None else numbered.filter(eligible)
+    first = chosen.groupBy(*keys).agg(F.min(F.struct(*order, *others, "__id")).alias("__m"))
+    first = first.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__m.__id").alias("__min"))
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & (F.col(k).eqNullSafe(F.col(f"__k{i}")) if null_safe else F.col(k) == F.col(f"__k{i}"))
+    j = numbered.join(first, cond, "left")
+    return j.withColumn(out, F.col("__id") == F.col("__min")).drop("__id", "__min", *[f"__k{i}" for i in range(len(keys))])
 
 
 def first_per_key(rows: DataFrame, keys: Iterable[str], order: Iterable[str], null_safe: bool = True):
-    """Split ``rows`` into (first row per key, the rest) — exact as multisets.
+    """Split ``rows`` into (first row per key, the rest) — exact as multisets (:func:`mark_first`)."""
+    marked = mark_first(rows, keys, order, null_safe=null_safe)
+    first = F.coalesce(F.col("__first"), F.lit(False))
+    return marked.filter(first).drop("__first"), marked.filter(~first).drop("__first")
 
-    "First" is the minimum of ``struct(order…, every other column)``: a total order over all
-    columns, so rows that tie on it are identical and interchangeable. The first rows come from a
-    ``row_number() = 1`` filter that Spark limits map-side (WindowGroupLimit); the rest are the
-    rows above their key's first row plus all but one exact copy of it.
-    """
-    keys, order = list(keys), list(order)
-    others = [c for c in rows.columns if c not in keys and c not in order]
-    fields = order + others
-    # row_number() = 1: Spark applies a partial WindowGroupLimit before the shuffle, so every task
-    # forwards at most one row per key — also when a key (or a group of identical rows) holds a
-    # third of all rows.
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in fields])
-    firsts = rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
-    # Every row against its key's first: equi join on the keys (one row per key on the firsts
-    # side; AQE splits a hot key on the row side).
-    if null_safe:
-        f = firsts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*fields).alias("__f"))
-        cond = F.lit(True)
-        for i, k in enumerate(keys):
-            cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        j = rows.join(f, cond).drop(*[f"__k{i}" for i in range(len(keys))])
-    else:  # keys known non-NULL: plain equi join, reusing the firsts' clustering by key
-        j = rows.join(firsts.select(*keys, F.struct(*fields).alias("__f")), keys)
-    same = F.struct(*fields).eqNullSafe(F.col("__f"))
-    later = j.filter(~same).select(*rows.columns)
-    # Exact copies of the first row: all but one belong to the rest. Count them (partial
-    # aggregate) and regenerate the surplus in chunks of at most COPY_CHUNK rows, spread over the
-    # partitions — no array or task grows with the size of a group of copies.
-    counts = (j.filter(same).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("__f").alias("__f"))
-              .filter(F.col("__n") > 1))
-    chunk = F.lit(COPY_CHUNK)
-    copies = (counts.withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 2) / chunk))))
-              .repartition(_num_partitions(rows))
-              .withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(chunk, F.col("__n") - 1 - F.col("__c") * chunk))))
-              .select(*keys, *[F.col(f"__f.{c}").alias(c) for c in fields]).select(*rows.columns))
-    return firsts, later.unionByName(copies)
 
+def round_answer_decisions(incoming: DataFrame, existing: DataFrame | None = None,
+                           keys: Iterable[str] = ("game_id", "user_id", "round_no"),
+                           order: Iterable[str] = ("answered_at",), scored: bool = False,
+                           prune_existing: bool = False) -> DataFrame:
+    """Every incoming row with its ``reason`` (NULL = accepted):
 
-def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = None,
-                            keys: Iterable[str] = ("game_id", "user_id", "round_no"),
-                            order: Iterable[str] = ("answered_at",), mode: str = "quarantine",
-                            materialize: bool = True, prune_existing: bool = False):
-    """first answer per (game, user, round) wins; returns ``(accepted, rejected)``.
+    * ``unknown_answer`` (only with ``scored``): the looked-up ``right_wrong`` is NULL;
+    * ``duplicate_existing``: the key is present in ``existing``;
+    * ``duplicate_in_batch``: another row of the key comes first by ``order``, then all columns;
+    * a row with a NULL key part never counts as a duplicate (``WHERE a = NULL`` matches nothing).
 
-    * a row with a NULL key part never counts as a duplicate (``WHERE a = NULL`` matches nothing);
-    * a key already present in ``existing`` rejects every incoming row with that key;
-    * within the batch, the first row by ``order`` (then all other columns) is accepted.
+    ``prune_existing`` (a small batch against a long history) restricts the stored keys to those of
+    the batch by a semi join that AQE can broadcast, instead of shuffling the history whole.
     """
     keys = list(keys)
     nn = F.lit(True)
     for k in keys:
         nn = nn & F.col(k).isNotNull()
-    # Every decision below reads the batch several times (first rows, later rows, copies, stored
-    # keys); they differ in the columns they need, so Spark cannot share one exchange between them.
-    # Materialise the batch once — with the stored-key flag — instead of re-running its lineage
-    # per branch (reliable checkpoint in the shared folder).
-    # ``materialize=False`` when the caller already holds the input cheaply (a persisted
-    # micro-batch inside foreachBatch); ``prune_existing`` for a small batch against a long history.
+    flagged = incoming.withColumn("__ex", F.lit(None).cast("boolean"))
     if existing is not None:
-        # one left join against the stored keys marks "key exists" rows
         ex = existing.select(*keys).filter(nn)
         if prune_existing:
-            # small batch against a long history: keep only stored keys the batch has (a semi join
-            # AQE can broadcast), so the history is filtered map-side instead of shuffled whole
             ex = ex.join(incoming.select(*keys).filter(nn).distinct(), keys, "left_semi")
-        ex = ex.distinct().withColumn("__ex", F.lit(True))
-        flagged = incoming.join(ex, keys, "left").select(*incoming.columns, "__ex")
-    else:
-        flagged = incoming.withColumn("__ex", F.lit(None).cast("boolean"))
-    if materialize:
-        checkpoint_root(incoming.sparkSession)
-        flagged = flagged.checkpoint(eager=True)
-    null_key = flagged.filter(~nn).drop("__ex")
-    rej_existing = None
-    if existing is not None:
-        rej_existing = (flagged.filter(nn & F.col("__ex")).drop("__ex")
-                        .withColumn("reason", F.lit("duplicate_existing")))
-    keyed = flagged.filter(nn & F.col("__ex").isNull()).drop("__ex")
-    firsts, rest = first_per_key(keyed, keys, list(order), null_safe=False)
-    accepted = firsts.unionByName(null_key)
-    rejected = rest.withColumn("reason", F.lit("duplicate_in_batch"))
-    if rej_existing is not None:
-        rejected = rejected.unionByName(rej_existing)
+        flagged = incoming.join(ex.distinct().withColumn("__ex", F.lit(True)), keys, "left").select(*incoming.columns, "__ex")
+    known = F.col("right_wrong").isNotNull() if scored else F.lit(True)
+    marked = mark_first(flagged, keys, list(order), eligible=nn & known & F.col("__ex").isNull(), null_safe=False)
+    reason = (F.when(~known, F.lit("unknown_answer")).when(nn & F.col("__ex"), F.lit("duplicate_existing"))
+              .when(nn & ~F.col("__first"), F.lit("duplicate_in_batch")))
+    return marked.withColumn("reason", reason).select(*incoming.columns, "reason")
+
+
+def duplicate_round_answers(incoming: DataFrame, existing: DataFrame | None = None,
+                            keys: Iterable[str] = ("game_id", "user_id", "round_no"),
+                            order: Iterable[str] = ("answered_at",), mode: str = "quarantine",
+                            prune_existing: bool = False):
+    """first answer per (game, user, round) wins; returns ``(accepted, rejected)``, the two
+    sides of :func:`round_answer_decisions`."""
+    dec = round_answer_decisions(incoming, existing, keys, order, prune_existing=prune_existing)
+    rejected = dec.filter(F.col("reason").isNotNull())
     _fail_if_any(rejected, mode)
-    return accepted, rejected
+    return dec.filter(F.col("reason").isNull()).drop("reason"), rejected
 
 
 # ---------------------------------------------------------------------------- J4, J5
+def ingest_decisions(existing: DataFrame, incoming: DataFrame, answers: DataFrame,
+                     order: Iterable[str] = ("answered_at",)) -> DataFrame:
+    """Every incoming row scored (D5) with its ``reason`` (NULL = accepted): one lookup join, one
+    duplicate check."""
+    return round_answer_decisions(score_all(incoming, answers), existing, order=order, scored=True)
+
+
 def ingest_answers(existing: DataFrame, incoming: DataFrame, answers: DataFrame, games: DataFrame,
                    order: Iterable[str] = ("answered_at",), points_per_right: int = 10,
                    mode: str = "quarantine"):
@@ -162,9 +146,8 @@ def ingest_answers(existing: DataFrame, incoming: DataFrame, answers: DataFrame,
 
     Returns ``(accepted, rejected, scores)``.
     """
-    scored, unknown = score_answers(incoming, answers)
-    accepted, dups = duplicate_round_answers(scored, existing, order=order)
-    rejected = unknown.unionByName(dups)
+    dec = ingest_decisions(existing, incoming, answers, order)
+    accepted, rejected = dec.filter(F.col("reason").isNull()).drop("reason"), dec.filter(F.col("reason").isNotNull())
     _fail_if_any(rejected, mode)
     table = existing.unionByName(accepted.select(*existing.columns))
     scores = user_scores(table, games, points_per_right)
@@ -181,7 +164,7 @@ def refresh_group_scores(game_groups: DataFrame, scores: DataFrame) -> DataFrame
 
 # ---------------------------------------------------------------------------- J1, J2, J3
 def _old_new(current: DataFrame, changes: DataFrame, key: str):
-    """Every current row with its change (``changes`` holds one row per key) as ``old_*`` /
+    """Every current row with its change (``changes`` holds one row per key here) as ``old_*`` /
     ``new_*`` columns and ``__has`` = a change exists. One left join serves both the per-change
     decisions and the new snapshot. A column absent from ``changes`` is unchanged (NEW = OLD);
     a change for a key that does not exist updates nothing."""
@@ -208,17 +191,42 @@ def _split(j: DataFrame, current: DataFrame, key: str, reason: Column, mode: str
     return snapshot, decisions, rejected
 
 
+def _one_change(changes: DataFrame, key: str, order: Iterable[str]):
+    """(first change of each key, the later ones): a key's changes after its first one in ``order``
+    (then by all columns) cannot be applied in the same pass and are quarantined."""
+    first, later = first_per_key(changes, [key], list(order))
+    return first.drop(*order), later.drop(*order)
+
+
+def _with_later(decisions: DataFrame, rejected: DataFrame, later: DataFrame, current: DataFrame, key: str, mode: str):
+    """Adds the later changes of a key as decisions with reason ``duplicate_change``."""
+    old = current.select(*[F.col(c).alias(f"old_{c}") for c in current.columns])
+    new = later.select(*[F.col(c).alias(f"chg_{c}") for c in later.columns])
+    j = old.join(new, F.col(f"old_{key}") == F.col(f"chg_{key}"))
+    dup = j.select(*[F.col(c) for c in old.columns],
+                   *[(F.col(f"chg_{c}") if c in later.columns else F.col(f"old_{c}")).alias(f"new_{c}") for c in current.columns],
+                   F.lit("duplicate_change").alias("reason"))
+    _fail_if_any(dup, mode)
+    return decisions.unionByName(dup), rejected.unionByName(dup)
+
+
 GAME_STATUSES = ["waiting", "active", "finished"]
 QUESTION_STATUSES = ["pending", "approved", "rejected"]
 
 
-def apply_game_status(games: DataFrame, changes: DataFrame, now, mode: str = "quarantine"):
+def apply_game_status(games: DataFrame, changes: DataFrame, now, mode: str = "quarantine",
+                      order: Iterable[str] = ()):
     """Validate status transitions, stamp start/finish dates, then the status CHECK.
 
     Returns ``(snapshot, decisions, rejected)``; ``decisions`` has one row per change with
-    ``old_*``, ``new_*`` and ``reason`` (NULL = applied). ``changes`` holds one row per game_id.
+    ``old_*``, ``new_*`` and ``reason`` (NULL = applied). With ``order`` (columns of ``changes``) a
+    game may have several changes: the first is applied, later ones are ``duplicate_change``;
+    without it ``changes`` holds one row per game_id.
     """
     now = _lit_ts(now)
+    later = None
+    if order:
+        changes, later = _one_change(changes, "game_id", order)
     j = _old_new(games, changes, "game_id")
     o, n = F.col("old_status"), F.col("new_status")
     reason = (F.when(_fires(o.isNotNull() & (o == "waiting") & ~n.isin("waiting", "active", "finished")),
@@ -231,13 +239,20 @@ def apply_game_status(games: DataFrame, changes: DataFrame, now, mode: str = "qu
           .withColumn("new_finish_date", F.when(_fires((n == "finished") & (o != "finished")
                                                        & F.col("new_finish_date").isNull()), now)
                       .otherwise(F.col("new_finish_date"))))
-    return _split(j, games, "game_id", reason, mode)
+    snapshot, decisions, rejected = _split(j, games, "game_id", reason, mode)
+    if later is not None:
+        decisions, rejected = _with_later(decisions, rejected, later, games, "game_id", mode)
+    return snapshot, decisions, rejected
 
 
-def apply_question_review(questions: DataFrame, changes: DataFrame, now, mode: str = "quarantine"):
+def apply_question_review(questions: DataFrame, changes: DataFrame, now, mode: str = "quarantine",
+                          order: Iterable[str] = ()):
     """Pending → approved/rejected needs an admin (else rejected) and stamps check_date if
-    NULL; other transitions are not checked. Then the status CHECK."""
+    NULL; other transitions are not checked. Then the status CHECK. ``order``: as in J1."""
     now = _lit_ts(now)
+    later = None
+    if order:
+        changes, later = _one_change(changes, "question_id", order)
     j = _old_new(questions, changes, "question_id")
     o, n = F.col("old_status"), F.col("new_status")
     reviewed = _fires(n.isin("approved", "rejected") & (o == "pending"))
@@ -250,12 +265,22 @@ def apply_question_review(questions: DataFrame, changes: DataFrame, now, mode: s
                      .otherwise(F.col("new_check_date")))
     if "check_date" not in questions.columns:
         questions = questions.withColumn("check_date", F.lit(None).cast("timestamp_ntz"))
-    return _split(j, questions, "question_id", reason, mode)
+    snapshot, decisions, rejected = _split(j, questions, "question_id", reason, mode)
+    if later is not None:
+        decisions, rejected = _with_later(decisions, rejected, later, questions, "question_id", mode)
+    return snapshot, decisions, rejected
 
 
-def touch_updated_at(current: DataFrame, changes: DataFrame, key: str, now) -> DataFrame:
+def touch_updated_at(current: DataFrame, changes: DataFrame, key: str, now, order: Iterable[str] = ()) -> DataFrame:
     """Every updated row gets ``updated_at = now`` — even when the values are unchanged.
-    Returns the updated rows (new values)."""
+    Returns the updated rows (new values). With ``order`` a key may have several changes; applied
+    one after another, the last one's values remain (an aggregate before the join)."""
+    order = list(order)
+    if order:
+        given = [c for c in changes.columns if c != key and c not in order]
+        values = F.struct(*[F.col(c) for c in given])
+        last = changes.groupBy(key).agg(F.max(F.struct(*order, values.alias("__v"))).alias("__m"))
+        changes = last.select(key, *[F.col(f"__m.__v.{c}").alias(c) for c in given])
     cur = current if "updated_at" in current.columns else current.withColumn(
         "updated_at", F.lit(None).cast("timestamp_ntz"))
     j = _old_new(cur, changes, key).filter(F.col("__has"))
@@ -273,16 +298,24 @@ def set_status(df: DataFrame, updates: DataFrame, key: str, ts: str = "ts", tie:
     j = df.join(last, df[key] == last["__k"], "left")
     out = j.withColumn("status", F.coalesce(F.col("__u.status"), F.col("status")))
     if "reason" in vals:
-        out = out.withColumn("reason", F.col("__u.reason"))
+        stored = F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")
+        out = out.withColumn("reason", F.when(F.col("__k").isNotNull(), F.col("__u.reason")).otherwise(stored))
     return out.drop("__k", "__u")
 
 
 def patch_profile(profiles: DataFrame, patches: DataFrame, key: str,
-                  fields: Iterable[str], password_field: str = "password") -> DataFrame:
+                  fields: Iterable[str], password_field: str = "password", order: Iterable[str] = ()) -> DataFrame:
     """A given field (empty string counts as given) overrides, an absent (NULL) one keeps the
-    stored value; the password only changes when non-empty. Profiles without a patch stay."""
-    fields = list(fields)
-    p = patches.select(F.col(key).alias("__k"), *[F.col(f).alias(f"__p_{f}") for f in fields if f in patches.columns])
+    stored value; the password only changes when non-empty. Profiles without a patch stay. With
+    ``order`` a user may have several patches, applied one after another: of each field the last
+    given value remains (one aggregate per user before the join)."""
+    fields, order = list(fields), list(order)
+    given = [f for f in fields if f in patches.columns]
+    value = {f: F.nullif(F.col(f), F.lit("")) if f == password_field else F.col(f) for f in given}
+    if order:
+        last = [F.max(F.when(value[f].isNotNull(), F.struct(*order, value[f].alias("__v")))).alias(f) for f in given]
+        patches = patches.groupBy(key).agg(*last).select(key, *[F.col(f"{f}.__v").alias(f) for f in given])
+    p = patches.select(F.col(key).alias("__k"), *[F.col(f).alias(f"__p_{f}") for f in given])
     j = profiles.join(p, profiles[key] == p["__k"], "left")
     for f in fields:
         if f"__p_{f}" not in j.columns:
@@ -353,3 +386,14 @@ def erase_users(rows: DataFrame, user_ids: DataFrame, user_col: str = "user_id",
         out = out.join(e, out[c] == e[f"__e_{c}"], "left")
         out = out.withColumn(c, F.when(F.col(f"__e_{c}").isNull(), F.col(c))).drop(f"__e_{c}")
     return out
+
+
+def erase_everywhere(tables: dict[str, tuple[DataFrame, str | None, Iterable[str]]], user_ids: DataFrame) -> dict[str, DataFrame]:
+    """J10 over all user-keyed tables: name → (rows, owner column or None, reference columns).
+
+    Rows owned by an erased user are dropped; then reference columns that name one become NULL."""
+    out = {}
+    for name, (rows, owner, refs) in tables.items():
+        kept = erase_users(rows, user_ids, owner) if owner else rows
+        out[name] = erase_users(kept, user_ids, null_cols=refs) if list(refs) else kept
+    return out

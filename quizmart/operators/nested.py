@@ -4,7 +4,9 @@ Shape B (course → questions[] → answers[]{text, right_wrong} + explanation,
 built in *pages*: a course's questions are numbered with the skew-proof scan and grouped
 ``page_size`` at a time, so no document — and no task building one — grows with the largest
 course. ``question_count`` is the course total on every page. Answers are nested per question the
-same way (``answers_page_size`` per question, default large enough for any real quiz).
+same way: a question with more than ``answers_page_size`` answers is continued by further entries
+whose ``answer_start`` says at which of its answers they begin, so counts and positions do not
+depend on the page sizes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from quizmart.operators.scan import sequence_number
 ANSWER = T.StructType([T.StructField("text", T.StringType()), T.StructField("right_wrong", T.BooleanType())])
 QUESTION = T.StructType([T.StructField("question_id", T.LongType()), T.StructField("text", T.StringType()),
                          T.StructField("answers", T.ArrayType(ANSWER)),
-                         T.StructField("explanation", T.StringType())])
+                         T.StructField("explanation", T.StringType()),
+                         T.StructField("answer_start", T.LongType())])
 CATALOGUE_PAGE = T.StructType([T.StructField("course_id", T.IntegerType()),
                                T.StructField("course_name", T.StringType()),
                                T.StructField("question_count", T.LongType()),
@@ -48,7 +51,8 @@ def nest_catalogue(courses: DataFrame, questions: DataFrame, answers: DataFrame,
     """Relational courses/questions/answers → shape-B catalogue pages.
 
     Questions keep their answers in answer_id order; questions are ordered by question_id.
-    A question with more than ``answers_page_size`` answers appears once per answer page.
+    A question with more than ``answers_page_size`` answers is continued in further entries
+    (``answer_start`` > 0).
     """
     a = nest_in_pages(answers, ["question_id"], ["answer_id"],
                       F.struct(F.col("text"), F.col("right_wrong")), answers_page_size, "answers")
@@ -58,7 +62,9 @@ def nest_catalogue(courses: DataFrame, questions: DataFrame, answers: DataFrame,
     qs = nest_in_pages(q, ["course_id"], ["question_id", "answer_page"],
                        F.struct(F.col("question_id").cast("bigint").alias("question_id"), F.col("text"),
                                 F.coalesce(F.col("answers"), F.array().cast(T.ArrayType(ANSWER))).alias("answers"),
-                                F.col("explanation")), page_size, "questions")
+                                F.col("explanation"),
+                                (F.coalesce(F.col("answer_page"), F.lit(0)) * answers_page_size).cast("bigint").alias("answer_start")),
+                       page_size, "questions")
     counts = questions.groupBy("course_id").agg(F.count(F.lit(1)).alias("question_count"))
     c = courses.select("course_id", "course_name")
     return (c.join(counts, "course_id", "left").join(qs, "course_id", "left")
@@ -75,18 +81,29 @@ def flatten_catalogue(pages: DataFrame) -> DataFrame:
     a = q.select("course_id", "course_name", "page", "q_pos_in_page",
                  F.col("q.question_id").alias("question_id"), F.col("q.text").alias("question_text"),
                  F.col("q.explanation").alias("explanation"),
-                 F.posexplode_outer("q.answers").alias("a_pos", "a"))
+                 F.coalesce(F.col("q.answer_start"), F.lit(0)).alias("answer_start"),
+                 F.posexplode_outer("q.answers").alias("__a", "a"))
     return a.select("course_id", "course_name", "page", "q_pos_in_page", "question_id", "question_text",
-                    "explanation", "a_pos", F.col("a.text").alias("answer_text"),
+                    "explanation", (F.col("answer_start") + F.col("__a")).cast("int").alias("a_pos"), F.col("a.text").alias("answer_text"),
                     F.col("a.right_wrong").alias("right_wrong"))
 
 
-def to_indexed_form(answers_col: Column) -> tuple[Column, Column]:
-    """Shape-B answers → (array of texts, 0-based index of the first right answer or NULL)."""
+def to_indexed_form(answers_col: Column, start: Column | int = 0) -> tuple[Column, Column]:
+    """Shape-B answers → (array of texts, 0-based index of the first right answer or NULL).
+    ``start``: number of the question's answers before this page of them."""
     texts = F.transform(answers_col, lambda a: a["text"])
     pos = F.array_position(F.transform(answers_col, lambda a: F.coalesce(a["right_wrong"], F.lit(False))),
                            F.lit(True))
-    return texts, F.when(pos > 0, (pos - 1).cast("int"))
+    return texts, F.when(pos > 0, (pos - 1 + start).cast("int"))
+
+
+def catalogue_from_shape_a(docs: DataFrame) -> DataFrame:
+    """A3 shape A (id, question, answers as texts, index of the right one) → one row per answer in
+    the form of :func:`flatten_catalogue`'s question and answer columns."""
+    marked = docs.select(F.col("id").alias("question_id"), F.col("question").alias("question_text"),
+                         F.posexplode_outer(from_indexed_form(F.col("answers"), F.col("correct"))).alias("a_pos", "a"))
+    return marked.select("question_id", "question_text", "a_pos", F.col("a.text").alias("answer_text"),
+                         F.col("a.right_wrong").alias("right_wrong"))
 
 
 def from_indexed_form(answers_col: Column, correct: Column) -> Column:
@@ -97,9 +114,10 @@ def from_indexed_form(answers_col: Column, correct: Column) -> Column:
 
 def catalogue_count_mismatch(pages: DataFrame) -> DataFrame:
     """Courses whose declared ``question_count`` differs from the questions present in their
-    pages (sum of page sizes)."""
+    pages (continued entries of a question do not count again)."""
     s = pages.groupBy("course_id", "course_name").agg(
         F.max("question_count").alias("declared"),
-        F.coalesce(F.sum(F.when(F.col("questions").isNull(), 0).otherwise(F.size("questions"))), F.lit(0))
+        F.coalesce(F.sum(F.when(F.col("questions").isNull(), 0).otherwise(
+            F.size(F.filter("questions", lambda q: F.coalesce(q["answer_start"], F.lit(0)) == 0)))), F.lit(0))
         .cast("bigint").alias("present"))
     return s.filter(F.col("declared") != F.col("present"))

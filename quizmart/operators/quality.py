@@ -99,10 +99,11 @@ def assign_surrogate_key(df: DataFrame, key: str, order_by: Iterable[str], start
 
 
 def violations_quiz_shape(games: DataFrame, rounds: DataFrame, questions: DataFrame,
-                          answers: DataFrame, groups: DataFrame, rounds_per_game: int = 5,
+                          answers: DataFrame, players: DataFrame, rounds_per_game: int = 5,
                           answers_per_question: int = 4, max_players: int = 5) -> DataFrame:
     """Quiz rules stated by the reference — 5 rounds per finished game, 4 answers per question
-    with exactly one right, at most 5 players per group. Output: (rule, entity_id, n)."""
+    with exactly one right, at most 5 players in a game (a player is a user who answered in it or is
+    in one of its groups). Output: (rule, entity_id, n)."""
     r = rounds.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
     fin = games.filter(F.col("status") == "finished").select("game_id")
     bad_rounds = (fin.join(r, "game_id", "left")
@@ -120,9 +121,9 @@ def violations_quiz_shape(games: DataFrame, rounds: DataFrame, questions: DataFr
     bad_right = qa.select(F.lit("one_right_answer").alias("rule"),
                           F.col("question_id").cast("bigint").alias("entity_id"),
                           F.coalesce("nr", F.lit(0)).cast("bigint").alias("n")).filter(F.col("n") != 1)
-    bad_group = (groups.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
+    bad_group = (players.select("game_id", "user_id").distinct().groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
                  .filter(F.col("n") > max_players)
-                 .select(F.lit("players_per_group").alias("rule"),
+                 .select(F.lit("players_per_game").alias("rule"),
                          F.col("game_id").cast("bigint").alias("entity_id"), F.col("n").cast("bigint")))
     return bad_rounds.unionByName(bad_answers).unionByName(bad_right).unionByName(bad_group)
 

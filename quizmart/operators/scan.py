@@ -25,7 +25,8 @@ from __future__ import annotations
 from typing import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,63 +39,93 @@ _V, _PID, _CARRY, _TOT = "__scan_v", "__scan_pid", "__scan_carry", "__scan_tot"
 PARTITION_BYTES = 128 * 1024 * 1024  # target input bytes per range partition
 
 
+def input_partitions(df: DataFrame, bytes_per_task: int | None = None) -> int:
+    """About one partition per ``bytes_per_task`` (PARTITION_BYTES) of the data that ``df`` reads: the
+    sizes of its plan's leaves (files, tables) summed. Where a leaf has no size, at least
+    ``spark.sql.shuffle.partitions``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total, least = 0, 1
+    for i in range(leaves.size()):
+        size = int(str(leaves.apply(i).stats().sizeInBytes()))
+        if size < 1 << 60:
+            total += size
+        else:  # the default of plans without statistics
+            least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-total // (bytes_per_task or PARTITION_BYTES)))
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions for an ordered pass: about one per PARTITION_BYTES of the optimizer's
-    size estimate of ``df``, at most ``spark.sql.shuffle.partitions`` (the cluster's sizing)."""
-    if num_partitions:
-        return int(num_partitions)
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(est.toString()) if hasattr(est, "toString") else int(est)
-    except Exception:  # noqa: BLE001 - no estimate: use the cluster setting
-        return cap
-    return max(1, min(cap, -(-size // PARTITION_BYTES)))
-
-
-def _same_key(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    eq = np.ones(len(a), dtype=bool)
-    for c in a.columns:
-        x, y = a[c], b[c]
-        eq &= ((x == y) | (x.isna() & y.isna())).to_numpy(dtype=bool)
-    return eq
+    """Range partitions of an ordered pass: by the size of its input, without an upper bound (what
+    is broadcast per partition are a few numbers)."""
+    return int(num_partitions) if num_partitions else input_partitions(df)
+
+
+def _starts(columns: list[pa.Array], n: int) -> np.ndarray:
+    """Where a key differs from the row before (NULL equals NULL); the first row is True."""
+    start = np.zeros(n, dtype=bool)
+    start[0] = True
+    for c in columns:
+        if isinstance(c, pa.DictionaryArray):
+            c = c.dictionary_decode()
+        same = pc.fill_null(pc.equal(c.slice(1), c.slice(0, n - 1)), False)
+        both_null = pc.and_(c.slice(1).is_null(), c.slice(0, n - 1).is_null())
+        start[1:] |= ~np.asarray(pc.or_(same, both_null))
+    return start
 
 
 def _scan_batches(keys: list[str], out: str, out_is_long: bool):
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev_key = None  # key tuple of the last row seen in this partition
-        run = 0          # running value at that row
-        for pdf in batches:
-            if pdf.empty:
+    """Arrow pass: only keys, value and carry are looked at; the other columns go through as they
+    are."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key of the last row seen in this partition
+        run = 0      # running value at that row
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            v = pdf[_V].fillna(0).to_numpy()
-            carry = pdf[_CARRY].fillna(0).to_numpy()
-            n = len(pdf)
-            if keys:
-                k = pdf[keys].reset_index(drop=True)
-                start = np.ones(n, dtype=bool)
-                if n > 1:
-                    start[1:] = ~_same_key(k.iloc[1:].reset_index(drop=True), k.iloc[:-1].reset_index(drop=True))
-                first = tuple(k.iloc[0].tolist())
-                cont = prev_key is not None and all(
-                    (a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(first, prev_key))
-                start[0] = not cont
-                prev_key = tuple(k.iloc[n - 1].tolist())
-            else:
-                start = np.zeros(n, dtype=bool)
-                start[0] = prev_key is None
-                prev_key = ()
-            gid = np.cumsum(start)  # group ordinal within the batch (0 = continues previous batch)
-            cs = pd.Series(v).groupby(gid).cumsum().to_numpy()
-            base = np.where(start, carry, 0)
-            if not start[0]:
-                base[0] = run
-            base_by_group = pd.Series(base).groupby(gid).transform("first").to_numpy()
-            res = cs + base_by_group
+            names = batch.schema.names
+            columns = [batch.column(names.index(k)) for k in keys]
+            v = np.asarray(pc.fill_null(batch.column(names.index(_V)), 0))
+            carry = np.asarray(pc.fill_null(batch.column(names.index(_CARRY)), 0))
+            start = _starts(columns, n)
+            first = [c[0].as_py() for c in columns]
+            continues = last is not None and first == last
+            last = [c[n - 1].as_py() for c in columns]
+            at = np.flatnonzero(start)
+            sums = np.cumsum(v)
+            before = np.where(at > 0, sums[at - 1], 0)
+            base = carry[at] - before  # what a group adds to the batch's running sum
+            if continues:
+                base[0] = run - before[0]
+            res = sums + np.repeat(base, np.diff(np.append(at, n)))
             run = res[-1]
-            o = pdf.drop(columns=[_V, _CARRY, _PID])
-            o[out] = res.astype("int64") if out_is_long else res.astype("float64")
-            yield o
+            kept = [i for i, x in enumerate(names) if x not in (_V, _CARRY, _PID)]
+            result = pa.array(res.astype("int64") if out_is_long else res.astype("float64"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], result], names=[*[names[i] for i in kept], out])
+    return fn
+
+
+def _last_key_totals(keys: list[str], value: str, out: str):
+    """Arrow pass over a sorted partition: the total of ``value`` over its last key."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, row = None, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names = batch.schema.names
+            columns = [batch.column(names.index(k)) for k in keys]
+            at = int(np.flatnonzero(_starts(columns, n))[-1])
+            whole = at == 0 and [c[0].as_py() for c in columns] == last
+            v = pc.sum(batch.column(names.index(value)).slice(at)).as_py() or 0
+            total = total + v if whole else v
+            last = [c[n - 1].as_py() for c in columns]
+            row = batch.slice(n - 1, 1)
+        if row is not None:
+            kind = row.column(row.schema.names.index(value)).type
+            kept = [i for i, x in enumerate(row.schema.names) if x != value]
+            yield pa.RecordBatch.from_arrays([*[row.column(i) for i in kept], pa.array([total], kind)],
+                                             names=[*[row.schema.names[i] for i in kept], out])
     return fn
 
 
@@ -132,17 +163,24 @@ def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value:
     # checkpoint instead of re-sampling range bounds.
     ranged = ranged_checkpoint(base.withColumn(_V, value.cast(vt)), sort_cols, num_partitions)
     tot_type = T.DoubleType() if as_double else T.LongType()
-    # Per (partition, key) totals: a JVM aggregate, combined inside each partition first. The
-    # checkpointed partitions are fixed, so spark_partition_id() names the same partition here
-    # and in the final pass. Only a partition's first key can continue from earlier partitions:
-    # after the window, ≤ one carry row per partition (≤ P rows) remains.
-    totals = (ranged.withColumn(_PID, F.spark_partition_id())
-              .groupBy(_PID, *keys).agg(F.sum(_V).alias(_TOT)))
-    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    # Only a partition's last key can go on in later partitions: its total, one row per partition,
+    # is all that has to be known of it. The checkpointed partitions are fixed, so
+    # spark_partition_id() names the same partition here and in the final pass.
+    totals = ranged.select(F.spark_partition_id().alias(_PID), *keys, _V).mapInArrow(
+        _last_key_totals(keys, _V, _TOT), T.StructType(
+            [T.StructField(_PID, T.IntegerType()), *[ranged.schema[k] for k in keys], T.StructField(_TOT, tot_type)]))
+    # P rows in one order: the carry into partition p for key k is the sum over the earlier
+    # partitions that end with k. A partition that begins with k but does not end with it is not in
+    # the totals of k, so the sums are taken per key and looked up by the next partition.
+    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
     cnames = {c: f"__scan_c{i}" for i, c in enumerate([_PID, *keys])}
-    carry = (totals.withColumn(_CARRY, F.sum(_TOT).over(w))
-             .filter(F.col(_CARRY).isNotNull() & (F.col(_CARRY) != 0))
-             .select(*[F.col(c).alias(nm) for c, nm in cnames.items()], _CARRY))
+    # A key's partitions are consecutive, so the sum up to partition p is the carry into p + 1; empty
+    # partitions in between are bridged by the key's next partition number.
+    ids = Window.orderBy(_PID)
+    after = totals.withColumn("__next", F.lead(_PID).over(ids))
+    carry = (after.withColumn(_CARRY, F.sum(_TOT).over(w))
+             .filter(F.col("__next").isNotNull() & (F.col(_CARRY) != 0))
+             .select(F.col("__next").alias(cnames[_PID]), *[F.col(k).alias(cnames[k]) for k in keys], _CARRY))
     cond = F.lit(True)
     for c, nm in cnames.items():
         cond = cond & F.col(c).eqNullSafe(F.col(nm))
@@ -152,7 +190,7 @@ def running_sum(df: DataFrame, keys: Iterable[str], order: Iterable[str], value:
     # sort as redundant when the ordering is known.
     ordered = joined.sortWithinPartitions(*[F.col(x).asc_nulls_first() for x in sort_cols])
     schema = T.StructType(list(base.schema.fields) + [T.StructField(out, tot_type, True)])
-    res = ordered.mapInPandas(_scan_batches(keys, out, not as_double), schema)
+    res = ordered.mapInArrow(_scan_batches(keys, out, not as_double), schema)
     return res.select(*out_cols, out)
 
 

@@ -62,11 +62,10 @@ def q_users_with_avatars(spark, d):
 
 @query("d2_game_chat")
 def q_game_chat(spark, d):
-    # Stand-in chats carry the sender name and a turn number instead of user_id/time.
-    chats = sv.chats(spark, d).withColumnRenamed("seq", "time")
-    names = chats.select("username").distinct().withColumn("display_name", F.upper("username"))
-    return reports.game_chat(chats, names, user_key="username").select(
-        "game_id", "chat_id", "display_name", "text", "time", "position")
+    # Stand-in chats carry a turn number instead of a time; the conversation's number is its user.
+    chats = sv.chats(spark, d).withColumnRenamed("seq", "time").drop("username").withColumn("user_id", F.col("game_id"))
+    return reports.game_chat(chats, sv.users(spark, d).select("user_id", "username")).select(
+        "game_id", "chat_id", "username", "text", "time", "position")
 
 
 @query("e3_user_scores")
@@ -114,6 +113,12 @@ def q_fk2(spark, d):
     return v.select("answer_id", "question_id", "rule")
 
 
+@query("b3_fk_questions_answers")
+def q_fk3(spark, d):
+    v = quality.violations_fk(sv.questions(spark, d).drop("text"), "question_id", sv.answers(spark, d), "question_id")
+    return v.select("question_id", "status", "rule")
+
+
 def game_status_changes(spark, d):
     """J1 change set (FIXTURES.md): every third game gets a new status by game_id % 4."""
     g = sv.games(spark, d).filter(F.col("game_id") % 3 == 0)
@@ -152,7 +157,13 @@ def q_surrogate(spark, d):
 @query("b8_quiz_shape")
 def q_shape(spark, d):
     return quality.violations_quiz_shape(sv.games(spark, d), sv.game_rounds(spark, d), sv.questions(spark, d),
-                                         sv.answers(spark, d), sv.game_groups(spark, d))
+                                         sv.answers(spark, d), day_players(spark, d))
+
+
+def day_players(spark, d):
+    """Players that share a game: everyone who asked to join on a day plays the day's game."""
+    e = sv.events(spark, d).filter(F.col("kind") == "requestJoin")
+    return e.select(F.date_format("ts", "yyyyMMdd").cast("bigint").alias("game_id"), "user_id")
 
 
 @query("d8_unapproved_in_play")
@@ -250,10 +261,12 @@ def q_submission(spark, d):
     p = sv.table(spark, d, "part")
     subs = p.select(
         F.col("p_partkey").alias("submission_id"), F.col("p_name").alias("text"),
-        F.array("p_brand", "p_type", "p_name",
-                F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise(F.col("p_type"))).alias("answers"),
+        F.when(F.col("p_size") % 23 == 0, F.lit(None)).when(F.col("p_size") % 19 == 0, F.array("p_brand", "p_type", "p_name"))
+         .otherwise(F.array("p_brand", "p_type", "p_name", F.when(F.col("p_size") % 5 == 0, F.lit(" "))
+                            .otherwise(F.col("p_type")))).alias("answers"),
         F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.col("p_type")).alias("category"),
-        F.when(F.col("p_size") % 11 == 0, F.lit(None)).otherwise(F.col("p_size") % 4).cast("int").alias("correct"))
+        F.when(F.col("p_size") % 11 == 0, F.lit(None)).when(F.col("p_size") % 13 == 0, F.lit(7))
+         .when(F.col("p_size") % 17 == 0, F.lit(-1)).otherwise(F.col("p_size") % 4).cast("int").alias("correct"))
     out = screens.submission_screen(subs)
     texts = F.array_join(F.transform("marked", lambda m: m["text"]), " | ")
     right = (F.array_position(F.transform("marked", lambda m: m["right_wrong"]), F.lit(True)) - 1).cast("int")
@@ -273,40 +286,38 @@ TIE_ORDER = ["answered_at", "tie1", "tie2", "tie3"]
 ANSWER_COLS = ["game_id", "user_id", "answer_id", "round_no", "right_wrong", "tie1", "tie2", "tie3"]
 
 
-def answers_with_gaps(spark, d):
-    """Answer table with every 50th answer missing (FIXTURES: D5 rejects)."""
-    return sv.answers(spark, d).filter(F.col("answer_id") % 50 != 49)
+def with_unknown(game_answers):
+    """Incoming answers of which every 50th answer id names no answer (D5 rejects those)."""
+    a = F.col("answer_id")
+    return game_answers.withColumn("answer_id", F.when(a % 50 == 49, -a).otherwise(a))
 
 
 @query("d5_score_answers")
 def q_score(spark, d):
-    acc, rej = changes.score_answers(sv.game_answers(spark, d), answers_with_gaps(spark, d))
+    acc, rej = changes.score_answers(with_unknown(sv.game_answers(spark, d)), sv.answers(spark, d))
     return acc.withColumn("reason", F.lit(None).cast("string")).unionByName(rej).select(*ANSWER_COLS, "reason")
 
 
 @query("f5_duplicate_round_answers")
 def q_dups(spark, d):
-    acc, rej = changes.duplicate_round_answers(sv.game_answers(spark, d), order=TIE_ORDER)
-    return acc.withColumn("reason", F.lit(None).cast("string")).unionByName(rej).select(*ANSWER_COLS, "reason")
+    return changes.round_answer_decisions(sv.game_answers(spark, d), order=TIE_ORDER).select(*ANSWER_COLS, "reason")
 
 
-def _ingest(spark, d):
+def _ingest_input(spark, d):
     ga = sv.game_answers(spark, d)
-    existing = ga.filter(F.col("tie1") % 2 == 0)
-    incoming = ga.filter(F.col("tie1") % 2 == 1)
-    return changes.ingest_answers(existing, incoming, answers_with_gaps(spark, d), sv.games(spark, d),
-                                  order=TIE_ORDER)
+    return ga.filter(F.col("tie1") % 2 == 0), with_unknown(ga.filter(F.col("tie1") % 2 == 1))
 
 
 @query("j4_ingest_answers")
 def q_ingest(spark, d):
-    acc, rej, _ = _ingest(spark, d)
-    return acc.withColumn("reason", F.lit(None).cast("string")).unionByName(rej).select(*ANSWER_COLS, "reason")
+    existing, incoming = _ingest_input(spark, d)
+    return changes.ingest_decisions(existing, incoming, sv.answers(spark, d), TIE_ORDER).select(*ANSWER_COLS, "reason")
 
 
 @query("j4_ingest_scores")
 def q_ingest_scores(spark, d):
-    return _ingest(spark, d)[2]
+    existing, incoming = _ingest_input(spark, d)
+    return changes.ingest_answers(existing, incoming, sv.answers(spark, d), sv.games(spark, d), order=TIE_ORDER)[2]
 
 
 @query("j5_refresh_group_scores")
@@ -328,6 +339,16 @@ def q_game_snapshot(spark, d):
     return snap
 
 
+@query("j1_repeated_changes")
+def q_repeated_changes(spark, d):
+    """Games with two changes in one set: the first applies, the second is quarantined."""
+    first = game_status_changes(spark, d).withColumn("seq", F.lit(1))
+    second = sv.games(spark, d).filter(F.col("game_id") % 2 == 0).select(
+        "game_id", F.lit("active").alias("status"), F.lit(2).alias("seq"))
+    _snap, dec, _rej = changes.apply_game_status(sv.games(spark, d), first.unionByName(second), NOW, order=["seq"])
+    return dec.select(F.col("old_game_id").alias("game_id"), "old_status", "new_status", "reason")
+
+
 def question_review_changes(spark, d):
     q = sv.questions(spark, d).filter(F.col("question_id") % 2 == 0)
     return q.select("question_id", F.when(F.col("question_id") % 4 == 0, "approved").otherwise("rejected")
@@ -342,6 +363,20 @@ def q_review(spark, d):
                       "new_checked_by_adminid", "reason", "new_check_date")
 
 
+@query("j2_question_snapshot")
+def q_review_snapshot(spark, d):
+    snap, _dec, _rej = changes.apply_question_review(sv.questions(spark, d), question_review_changes(spark, d), NOW)
+    return snap.select("question_id", "status", "check_date", "text")
+
+
+@query("j3_repeated_touch")
+def q_touch_repeated(spark, d):
+    u = sv.users(spark, d)
+    one = u.filter(F.col("user_id") % 5 == 0).select("user_id", F.upper("username").alias("username"), F.lit(1).alias("seq"))
+    two = u.filter(F.col("user_id") % 10 == 0).select("user_id", F.lower("username").alias("username"), F.lit(2).alias("seq"))
+    return changes.touch_updated_at(u, one.unionByName(two), "user_id", NOW, order=["seq"])
+
+
 @query("j3_touch_updated_at")
 def q_touch(spark, d):
     u = sv.users(spark, d)
@@ -363,11 +398,13 @@ def q_set_status(spark, d):
 
 def order_snapshots(spark, d):
     o = sv.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    old = o.filter(F.col("o_orderkey") % 10 != 0)
-    new = (o.filter(F.col("o_orderkey") % 10 != 1)
-           .withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 2, F.col("o_totalprice") + 1)
-                       .otherwise(F.col("o_totalprice"))))
-    return old, new
+    k = F.col("o_orderkey")
+    new = (o.withColumn("o_totalprice", F.when(k % 10 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+           .withColumn("o_orderkey", F.when(k % 10 == 1, k + NEW_KEYS).otherwise(k)))
+    return o, new
+
+
+NEW_KEYS = 10 ** 12  # orders whose key is shifted by this are new, and their old key is gone
 
 
 @query("j7_audit_diff")
@@ -398,6 +435,19 @@ def q_patch(spark, d):
     return changes.patch_profile(profiles(spark, d), patches, "user_id", ["username", "segment", "password"])
 
 
+@query("j8_repeated_patches")
+def q_patch_repeated(spark, d):
+    c = sv.table(spark, d, "customer")
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    one = c.filter(k % 3 == 0).select(k.alias("user_id"), F.lower("c_name").alias("username"), F.lit("A").alias("segment"),
+                                      F.lit("first").alias("password"), F.lit(1).alias("seq"))
+    two = c.filter(k % 2 == 0).select(k.alias("user_id"), none.alias("username"), F.lit("B").alias("segment"),
+                                      F.lit("").alias("password"), F.lit(2).alias("seq"))
+    return changes.patch_profile(profiles(spark, d), one.unionByName(two), "user_id", ["username", "segment", "password"],
+                                 order=["seq"])
+
+
 @query("j9_retention_tier")
 def q_retention(spark, d):
     return changes.retention_tier(sv.events(spark, d).select("event_id", "ts"), "2024-01-31 00:00:00")
@@ -419,10 +469,31 @@ def q_erase_questions(spark, d):
                                erased_users(spark, d), null_cols=["made_by_userid"])
 
 
+@query("j10_erase_all_tables")
+def q_erase_all(spark, d):
+    """Every user-keyed table in one call; rows left and references set to NULL per table."""
+    out = changes.erase_everywhere({
+        "users": (sv.users(spark, d).select("user_id"), "user_id", []),
+        "games": (sv.games(spark, d).select("user_id"), "user_id", []),
+        "game_groups": (sv.game_groups(spark, d).select("user_id"), "user_id", []),
+        "game_answers": (sv.game_answers(spark, d).select("user_id"), "user_id", []),
+        "events": (sv.events(spark, d).select("user_id"), "user_id", []),
+        "questions": (sv.questions(spark, d).select("made_by_userid", "checked_by_adminid"), None,
+                      ["made_by_userid", "checked_by_adminid"]),
+    }, erased_users(spark, d))
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(df.columns[0]).isNull()).alias("n_null"))
+             .select(F.lit(name).alias("table_name"), "n_rows", "n_null") for name, df in out.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 # ---------------------------------------------------------------- F sessions, D6, D7, D10, E4, E6, G3
 from quizmart.operators import sessions  # noqa: E402
 
 EVENT_COLS = ["event_id", "ts", "user_id", "kind", "k"]
+OPENS = "requestJoin"  # the stand-in feed has no connect events: a join request opens the socket
 
 
 def coin_events(spark, d):
@@ -443,17 +514,17 @@ def q_coin_totals(spark, d):
 
 @query("f4_presence_intervals")
 def q_presence(spark, d):
-    return sessions.presence_intervals(sv.events(spark, d))
+    return sessions.presence_intervals(sv.events(spark, d), connect=OPENS)
 
 
 @query("f7_concurrency_timeline")
 def q_timeline(spark, d):
-    return sessions.concurrency_timeline(sv.events(spark, d)).select(*EVENT_COLS, "connected")
+    return sessions.concurrency_timeline(sv.events(spark, d), connect=OPENS).select(*EVENT_COLS, "connected")
 
 
 @query("d7_chat_recipients")
 def q_recipients(spark, d):
-    return sessions.chat_recipients(sv.events(spark, d))
+    return sessions.chat_recipients(sv.events(spark, d), connect=OPENS)
 
 
 @query("d10_join_request_timeouts")
@@ -520,11 +591,12 @@ def q_lobby_pairs(spark, d):
 
 @query("e6_lobby_status")
 def q_lobby_status(spark, d):
-    return sessions.lobby_status(lobby_events(spark, d))
+    return sessions.lobby_status(lobby_events(spark, d), connect=OPENS)
 
 
 # ---------------------------------------------------------------- I nesting, E8, A sources, E5
 from quizmart.operators import nested  # noqa: E402
+from quizmart.operators.scan import input_partitions  # noqa: E402
 from quizmart.session import scratch_path  # noqa: E402
 from quizmart.sources import io  # noqa: E402
 
@@ -532,8 +604,9 @@ FLAT_COLS = ["course_id", "course_name", "page", "q_pos_in_page", "question_id",
              "explanation", "a_pos", "answer_text", "right_wrong"]
 
 
-def catalogue_pages(spark, d):
-    return nested.nest_catalogue(sv.courses(spark, d), sv.questions(spark, d), sv.answers(spark, d), page_size=50)
+def catalogue_pages(spark, d, answers_page_size=1000):
+    return nested.nest_catalogue(sv.courses(spark, d), sv.questions(spark, d), sv.answers(spark, d), page_size=50,
+                                 answers_page_size=answers_page_size)
 
 
 @query("i1_i2_catalogue_roundtrip")
@@ -553,18 +626,22 @@ def q_catalogue_pages(spark, d):
 def q_count_mismatch(spark, d):
     approved = sv.questions(spark, d).filter(F.col("status") == "approved").groupBy("course_id").agg(
         F.count(F.lit(1)).alias("question_count"))
-    pages = catalogue_pages(spark, d).drop("question_count").join(approved, "course_id", "left") \
+    pages = catalogue_pages(spark, d, answers_page_size=ANSWERS_PAGE).drop("question_count").join(approved, "course_id", "left") \
         .withColumn("question_count", F.coalesce("question_count", F.lit(0)).cast("bigint"))
     return nested.catalogue_count_mismatch(pages)
 
 
+ANSWERS_PAGE = 3  # smaller than a question's answers, so that pages are continued
+
+
 @query("i3_indexed_form")
 def q_indexed(spark, d):
     a = nested.nest_in_pages(sv.answers(spark, d), ["question_id"], ["answer_id"],
-                             F.struct(F.col("text"), F.col("right_wrong")), 1000, "answers")
-    texts, correct = nested.to_indexed_form(F.col("answers"))
-    back = nested.from_indexed_form(texts, correct)
-    return a.select("question_id", F.array_join(texts, " | ").alias("answers_text"),
+                             F.struct(F.col("text"), F.col("right_wrong")), ANSWERS_PAGE, "answers")
+    texts, local = nested.to_indexed_form(F.col("answers"))
+    _, correct = nested.to_indexed_form(F.col("answers"), F.col("page") * ANSWERS_PAGE)
+    back = nested.from_indexed_form(texts, local)
+    return a.select("question_id", "page", F.array_join(texts, " | ").alias("answers_text"),
                     F.size(texts).cast("bigint").alias("n_answers"), correct.alias("correct"),
                     (back == F.transform("answers", lambda x: F.struct(
                         x["text"].alias("text"),
@@ -605,6 +682,38 @@ def q_json_roundtrip(spark, d):
     return nested.flatten_catalogue(io.read_catalogue_json(spark, path)).select(*FLAT_COLS)
 
 
+@query("a1_dump_block")
+def q_copy_block(spark, d):
+    """A dump's COPY block: header, lines (some without their last field, some with a bad number), end
+    mark; fitting lines are read, the others are quarantined."""
+    g = sv.games(spark, d)
+    lines = io.copy_text_lines(g).withColumn("n", F.substring_index("value", "\t", 1).cast("bigint"))
+    lines = lines.select(F.when(F.col("n") % 97 == 0, F.regexp_replace("value", "\t[^\t]*$", ""))
+                         .when(F.col("n") % 89 == 0, F.regexp_replace("value", "^([^\t]*)\t[^\t]*", "$1\tx")).otherwise(F.col("value")).alias("value"))
+    frame = spark.range(1).select(F.explode(F.array(
+        F.lit("COPY public.games (" + ", ".join(g.columns) + ") FROM stdin;"), F.lit(io.COPY_END))).alias("value"))
+    path = scratch_path(spark, "copy-block")
+    lines.unionAll(frame).write.text(path)
+    good = io.read_copy_text(spark, path, g.schema).select("game_id", F.lit(None).cast("string").alias("reason"))
+    bad = io.read_copy_quarantine(spark, path, g.schema).select(
+        F.substring_index("line", "\t", 1).cast("bigint").alias("game_id"), "reason")
+    return good.unionAll(bad)
+
+
+@query("a3_shape_a")
+def q_shape_a(spark, d):
+    """Catalogue documents with answers as texts and the right one's index: written, read with the
+    declared schema, turned into answer rows."""
+    a = nested.nest_in_pages(sv.answers(spark, d), ["question_id"], ["answer_id"],
+                             F.struct(F.col("text"), F.col("right_wrong")), 1000, "answers")
+    texts, correct = nested.to_indexed_form(F.col("answers"))
+    docs = a.select(F.col("question_id").alias("id"), F.concat(F.lit("Frage "), F.col("question_id").cast("string")).alias("question"),
+                    texts.alias("answers"), correct.alias("correct"))
+    path = scratch_path(spark, "shape-a")
+    io.write_json_snapshot(docs, path)
+    return nested.catalogue_from_shape_a(io.read_catalogue_json(spark, path, nested.QUESTION_A))
+
+
 @query("a4_with_fallback")
 def q_fallback(spark, d):
     u = sv.users(spark, d).select("user_id", "username")
@@ -629,6 +738,25 @@ def q_layout(spark, d):
         "question_id", "course_id", "status", F.char_length("text").alias("n_chars"))
 
 
+@query("a7_layout_rewrite")
+def q_layout_rewrite(spark, d):
+    """The whole table back after a second overwrite without the approved questions: nothing of the
+    first write remains."""
+    path = scratch_path(spark, "questions-rewrite")
+    q = sv.questions(spark, d)
+    io.write_layout(q, path, ["status"], ["course_id", "question_id"])
+    io.write_layout(q.filter(F.col("status") != "approved"), path, ["status"], ["course_id", "question_id"])
+    return spark.read.parquet(path).select("question_id", "course_id", "status", "text")
+
+
+@query("a8_read_events_stream")
+def q_read_events_stream(spark, d):
+    out = scratch_path(spark, "a8-events")
+    e = io.read_events(spark, feed(spark, d, "events", "ts"), streaming=True, max_files_per_trigger=1)
+    streams.run_available_now(e.writeStream.format("parquet").outputMode("append"), "a8", spark, out)
+    return spark.read.parquet(out).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
+
+
 @query("a8_read_events")
 def q_read_events(spark, d):
     return io.read_events(spark, f"{d.rstrip('/')}/events.parquet").select("event_id", "ts", "user_id", "event_type")
@@ -648,12 +776,40 @@ def q_table_profile(spark, d):
 from quizmart.streaming import streams  # noqa: E402
 
 
+PART_BYTES = 128 << 20
+
+
+def feed(spark, d, name, order_col):
+    """A table as a feed: files in the order of ``order_col``, written one after another, so that a
+    stream of one file a trigger takes them in that order over at least three micro-batches."""
+    t = sv.table(spark, d, name)
+    n = max(3, input_partitions(t, PART_BYTES))
+    cuts = t.agg(F.percentile_approx(order_col, [k / n for k in range(1, n)], 10000)).first()[0] or []
+    root = scratch_path(spark, f"feed-{name}")
+    for k in range(len(cuts) + 1):
+        part = t
+        if k > 0:
+            part = part.filter(F.col(order_col) > F.lit(cuts[k - 1]))
+        if k < len(cuts):
+            below = F.col(order_col) <= F.lit(cuts[k])
+            part = part.filter(below | F.col(order_col).isNull() if k == 0 else below)
+        part.coalesce(1).write.parquet(f"{root}/{k}")
+    return root
+
+
+def feed_stream(spark, d, name, order_col):
+    schema = sv.table(spark, d, name).schema
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return r.parquet(feed(spark, d, name, order_col))
+
+
 def answer_stream(spark, d):
-    return sv.game_answers_from(streams.read_stream_table(spark, d, "lineitem"), sv.table(spark, d, "orders"))
+    return sv.game_answers_from(feed_stream(spark, d, "lineitem", "l_shipdate"), sv.table(spark, d, "orders"))
 
 
 def event_stream(spark, d):
-    e = sv.events_from(streams.read_stream_table(spark, d, "events"))
+    raw = feed_stream(spark, d, "events", "ts")
+    e = sv.events_from(raw, "props").withColumnRenamed("props", "text")
     return (e.withColumn("ts", F.col("ts").cast("timestamp"))
             .withColumn("lobby", F.date_format("ts", "yyyy-MM-dd")))
 
@@ -661,10 +817,13 @@ def event_stream(spark, d):
 @query("k1_stream_answers")
 def q_stream_answers(spark, d):
     sink, quarantine = scratch_path(spark, "k1-sink"), scratch_path(spark, "k1-quarantine")
-    w = streams.stream_answers(answer_stream(spark, d), answers_with_gaps(spark, d), sink, quarantine,
+    w = streams.stream_answers(with_unknown(answer_stream(spark, d)), sv.answers(spark, d), sink, quarantine,
                                order=TIE_ORDER)
     streams.run_available_now(w, "k1", spark)
-    return spark.read.parquet(sink).select(*ANSWER_COLS)
+    kept = spark.read.parquet(sink).select(*ANSWER_COLS, F.lit(None).cast("string").alias("reason"))
+    # which of the two reasons a duplicate gets depends on the micro-batches, so both read "duplicate"
+    return kept.unionByName(spark.read.parquet(quarantine).select(
+        *ANSWER_COLS, F.regexp_replace("reason", "duplicate_.*", "duplicate").alias("reason")))
 
 
 @query("k2_stream_scores")
@@ -686,7 +845,7 @@ def q_stream_lobby(spark, d):
 @query("k4_stream_presence")
 def q_stream_presence(spark, d):
     out = scratch_path(spark, "k4-presence")
-    p = streams.stream_presence(event_stream(spark, d))
+    p = streams.stream_presence(event_stream(spark, d), connect=OPENS, join="page")
     streams.run_available_now(p.writeStream.format("parquet").outputMode("append"), "k4", spark, out)
     return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -701,27 +860,31 @@ def q_stream_chat(spark, d):
 
 @query("k6_stream_join_timeouts")
 def q_stream_timeouts(spark, d):
-    """The stream emits a timed-out request once the global watermark passes its window; the
-    input's tail stays pending at the end of an availableNow run (the oracle encodes this)."""
+    """The stream's timeouts and, at the end of the input, those of the requests still pending."""
     out = scratch_path(spark, "k6-timeouts")
-    e = event_stream(spark, d)
+    e = event_stream(spark, d).drop("text")
     t = streams.stream_join_timeouts(e.filter(F.col("kind") == "requestJoin"), e.filter(F.col("kind") == "answer"),
                                      "2 hours", "3 hours")
-    streams.run_available_now(t.writeStream.format("parquet").outputMode("append"), "k6", spark, out)
-    return spark.read.parquet(out).withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
+    q = streams.run_available_now(t.writeStream.format("parquet").outputMode("append"), "k6", spark, out)
+    emitted = spark.read.schema(t.schema).parquet(out)
+    whole = sv.events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = streams.flush_join_timeouts(whole.filter(F.col("kind") == "requestJoin"), whole.filter(F.col("kind") == "answer"),
+                                       emitted, "2 hours", streams.last_watermark(q))
+    return emitted.unionByName(rest).withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
 
 
 @query("k7_stream_audit")
 def q_stream_audit(spark, d):
+    """Row versions of the orders: shifted keys are new, some keys are deleted, the others updated."""
     target, audit = scratch_path(spark, "k7-target"), scratch_path(spark, "k7-audit")
-    old, _new = order_snapshots(spark, d)
-    old.write.mode("overwrite").parquet(f"{target}/batch_id=-1")
-    src = streams.read_stream_table(spark, d, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    upserts = (src.filter(F.col("o_orderkey") % 10 != 1)
-               .withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 2, F.col("o_totalprice") + 1)
-                           .otherwise(F.col("o_totalprice"))))
-    streams.run_available_now(streams.stream_audit(upserts, target, audit, ["o_orderkey"], "orders", NOW), "k7", spark)
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    sv.table(spark, d, "orders").select(*cols).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    k = F.col("o_orderkey")
+    versions = feed_stream(spark, d, "orders", "o_orderkey").select(
+        F.when(k % 10 == 0, k + NEW_KEYS).otherwise(k).alias("o_orderkey"), "o_custkey", "o_orderstatus",
+        F.when(k % 10 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
+        F.when(k % 10 == 1, "DELETE").otherwise("UPSERT").alias("op"))
+    streams.run_available_now(streams.stream_audit(versions, target, audit, ["o_orderkey"], "orders", NOW, op_col="op"), "k7", spark)
     a = spark.read.parquet(audit)
     return a.select("o_orderkey", "table_name", "operation", "user_id", "timestamp",
                     F.get_json_object("old_values", "$.o_totalprice").cast("double").alias("old_totalprice"),

@@ -8,25 +8,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quizmart.operators.nested import CATALOGUE_PAGE
+from quizmart.operators.scan import input_partitions
 from quizmart.functions.scalars import size_pretty
 
 # Fixed values of the COPY text format.
 COPY_NULL = "\\N"
 COPY_END = "\\."
 COPY_ESCAPES = [("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\b", "\\b"), ("\f", "\\f"), ("\v", "\\v")]
-_HOLD = "\ue000"  # private-use placeholder for an escaped backslash while decoding
+COPY_HEADER = r"^COPY [^\t]+ \([^\t]*\) FROM stdin;$"  # first line of a block in a dump
 
 
 def _unescape(c: Column) -> Column:
-    out = F.replace(c, F.lit("\\\\"), F.lit(_HOLD))
-    for raw, esc in COPY_ESCAPES:
-        out = F.replace(out, F.lit(esc), F.lit(raw))
-    return F.replace(out, F.lit(_HOLD), F.lit("\\"))
+    """Decodes escapes in one pass: the pieces between escaped backslashes hold no other backslash
+    pairs, so each is decoded by itself."""
+    def piece(x: Column) -> Column:
+        for raw, esc in COPY_ESCAPES:
+            x = F.replace(x, F.lit(esc), F.lit(raw))
+        return x
+
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), piece), "\\")
 
 
 def _escape(c: Column) -> Column:
@@ -46,16 +51,36 @@ def _from_text(c: Column, dt: T.DataType) -> Column:
     return c.try_cast(dt)
 
 
-def read_copy_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A1: read a COPY text block/file into ``schema`` (explicit types, no inference)."""
-    lines = spark.read.text(path).filter(F.col("value") != COPY_END)
-    parts = F.split(F.col("value"), "\t", -1)
+def read_copy_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A1: every data line of a COPY text file or of a dump's COPY block (its header line, end mark
+    and empty lines around them are no data) as ``schema`` columns, ``__line`` and ``__reason``:
+    ``field_count`` or ``bad_value(column)`` for lines that do not fit, else NULL."""
+    value = F.col("value")
+    lines = spark.read.text(path).filter((value != COPY_END) & ~value.rlike(COPY_HEADER))
+    if len(schema.fields) > 1:
+        lines = lines.filter(value != "")
+    parts = F.split(value, "\t", -1)
+    reason = F.when(F.size(parts) != len(schema.fields), F.lit("field_count"))
     cols = []
     for i, f in enumerate(schema.fields):
-        raw = F.element_at(parts, i + 1)
-        cols.append(F.when(raw == COPY_NULL, F.lit(None).cast(f.dataType))
-                    .otherwise(_from_text(raw, f.dataType)).alias(f.name))
-    return lines.select(*cols)
+        raw = F.get(parts, F.lit(i))
+        parsed = _from_text(raw, f.dataType)
+        given = raw.isNotNull() & (raw != COPY_NULL)
+        cols.append(F.when(given, parsed).alias(f.name))
+        reason = reason.when(given & parsed.isNull(), F.lit(f"bad_value({f.name})"))
+    return lines.select(*cols, value.alias("__line"), reason.alias("__reason"))
+
+
+def read_copy_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A1: the lines that fit ``schema`` (explicit types, no inference). The others are in
+    :func:`read_copy_quarantine`."""
+    return read_copy_lines(spark, path, schema).filter(F.col("__reason").isNull()).drop("__line", "__reason")
+
+
+def read_copy_quarantine(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A1: (line, reason) of the lines that do not fit ``schema``."""
+    bad = read_copy_lines(spark, path, schema).filter(F.col("__reason").isNotNull())
+    return bad.select(F.col("__line").alias("line"), F.col("__reason").alias("reason"))
 
 
 def _to_text(c: Column, dt: T.DataType) -> Column:
@@ -102,12 +127,18 @@ def parse_json_column(df: DataFrame, col: str, schema: T.DataType | str, out: st
 
 
 def write_layout(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str],
-                 mode: str = "overwrite") -> None:
+                 mode: str = "overwrite", bytes_per_task: int = 256 << 20) -> None:
     """Physical layout from the reference's composite access paths — partition directories by
     ``partition_by`` (pruned on read) and rows sorted by ``sort_by`` inside each file (Parquet
-    min/max statistics then skip row groups for range predicates)."""
-    (df.repartition(*[F.col(c) for c in partition_by]).sortWithinPartitions(*partition_by, *sort_by)
-     .write.mode(mode).partitionBy(*partition_by).parquet(path))
+    min/max statistics then skip row groups for range predicates).
+
+    Tasks are ranges of (partition columns, sort columns), so a value that holds most rows is
+    written by many tasks; an overwrite replaces the whole table, also directories that have no
+    rows any more."""
+    order = [F.col(c) for c in [*partition_by, *sort_by]]
+    n = max(input_partitions(df, bytes_per_task), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+     .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path))
 
 
 EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -121,27 +152,28 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False,
     to TIMESTAMP, which watermarks require."""
     if not streaming:
         return spark.read.schema(schema).parquet(path)
-    r = spark.readStream.schema(schema)
+    r = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def table_profile(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """E5: rows per table (exact), data bytes on disk and a readable size, biggest first.
+    """Rows per table (exact), data bytes on disk, a readable size and the rank by size
+    (biggest first, then by name).
 
-    Row counts come from Parquet footers (``count()`` reads no column data); file sizes from
-    ``binaryFile`` metadata with the content column pruned away.
+    Row counts read no column data, file sizes come from ``binaryFile`` metadata; each is one union
+    and one aggregate over all tables.
     """
-    parts = []
+    rows, files = None, None
     for name, path in paths.items():
-        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
-        size = (spark.read.format("binaryFile").load(path).select("length")
-                .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("data_bytes")))
         t = F.lit(name).alias("table_name")
-        parts.append(rows.select(t, "row_count").join(size.select(t, "data_bytes"), "table_name"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("table_size", size_pretty(F.col("data_bytes"))).orderBy(F.desc("data_bytes"),
-                                                                                  "table_name")
+        r, f = spark.read.parquet(path).select(t), spark.read.format("binaryFile").load(path).select(t, "length")
+        rows, files = (r, f) if rows is None else (rows.unionAll(r), files.unionAll(f))
+    counts = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
+    sizes = files.groupBy("table_name").agg(F.sum("length").alias("data_bytes"))
+    out = sizes.join(counts, "table_name", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
+    # as many rows as tables: one small window
+    w = Window.orderBy(F.desc("data_bytes"), "table_name")
+    return (out.withColumn("table_size", size_pretty(F.col("data_bytes"))).withColumn("size_rank", F.row_number().over(w))
+            .select("table_name", "row_count", "data_bytes", "table_size", "size_rank").orderBy("size_rank"))

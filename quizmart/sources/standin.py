@@ -97,10 +97,10 @@ def _kind(event_type: Column) -> Column:
             .otherwise("chat-message"))
 
 
-def events_from(e: DataFrame) -> DataFrame:
+def events_from(e: DataFrame, *more: str) -> DataFrame:
     """The events projection on any frame with the driver's events schema (batch or stream)."""
     return e.select("event_id", "ts", "user_id", _kind(F.col("event_type")).alias("kind"),
-                    F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+                    F.get_json_object("props", "$.k").try_cast("int").alias("k"), *more)
 
 
 def events(spark, sf_dir) -> DataFrame:

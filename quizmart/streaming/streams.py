@@ -18,13 +18,14 @@ from __future__ import annotations
 from typing import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quizmart.operators import changes, reports
-from quizmart.operators.sessions import CONNECT, DISCONNECT, REQUEST, _fold_rows
+from quizmart.operators.sessions import CHAT, CONNECT, DISCONNECT, JOIN, REQUEST, _fold_rows, join_request_timeouts
 from quizmart.session import scratch_path
 
 
@@ -41,7 +42,11 @@ def read_stream_table(spark: SparkSession, folder: str, name: str, max_files_per
 
 def run_available_now(writer, name: str, spark: SparkSession, path: str | None = None):
     """Start ``writer`` (a DataStreamWriter) with an availableNow trigger and a fresh checkpoint
-    under the shared folder; block until all available input is processed."""
+    under the shared folder; block until all available input is processed. State lives in RocksDB
+    with changelog checkpoints, so it may outgrow the heap and a trigger uploads its changes only."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     w = writer.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True)
     q = w.start(path) if path else w.start()
     q.awaitTermination()
@@ -54,10 +59,14 @@ def _batch_dir(root: str, batch_id: int) -> str:
 
 def _read_previous(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
     """Sink rows of earlier batches (a replayed batch never sees its own earlier attempt)."""
+    if batch_id == 0:
+        return None
     try:
         df = spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+    except AnalysisException as e:  # no batch has written rows yet; any other failure is an error
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     return df.filter(F.col("batch_id") < batch_id).drop("batch_id")
 
 
@@ -73,23 +82,16 @@ def stream_answers(stream: DataFrame, answers: DataFrame, sink: str, quarantine:
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         existing = _read_previous(spark, sink, batch_id)
-        # The decisions read the scored micro-batch several times; keep it (and the decisions)
-        # for the duration of this batch only — the usual foreachBatch pattern.
-        scored_all = changes.score_all(batch, answers).persist()
-        dec = None
+        scored = changes.score_all(batch, answers)
+        # the decisions are written to two places: keep them for the duration of this batch
+        dec = changes.round_answer_decisions(scored, existing, keys=keys, order=order, scored=True,
+                                             prune_existing=True).persist()
         try:
-            scored = scored_all.filter(F.col("right_wrong").isNotNull())
-            unknown = scored_all.filter(F.col("right_wrong").isNull()).withColumn("reason", F.lit("unknown_answer"))
-            acc, dups = changes.duplicate_round_answers(scored, existing, keys=keys, order=order, materialize=False,
-                                                        prune_existing=True)
-            dec = acc.withColumn("reason", F.lit(None).cast("string")).unionByName(dups).unionByName(unknown).persist()
             dec.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(
                 _batch_dir(sink, batch_id))
             dec.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(_batch_dir(quarantine, batch_id))
         finally:
-            if dec is not None:
-                dec.unpersist()
-            scored_all.unpersist()
+            dec.unpersist()
 
     return stream.writeStream.foreachBatch(each)
 
@@ -155,43 +157,53 @@ def stream_lobby(stream: DataFrame, lobby: str = "lobby", allow_self_pair: bool
 PRESENCE_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
                                 T.StructField("user_id", T.LongType()), T.StructField("kind", T.StringType()),
                                 T.StructField("delta", T.IntegerType()), T.StructField("notice", T.StringType())])
-PRESENCE_STATE = T.StructType([T.StructField("open", T.BooleanType())])
-
-
-def _presence_step(key, batches: Iterator[pd.DataFrame], state):
-    is_open = bool(state.get[0]) if state.exists else False
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    deltas, notices = [], []
-    for k in pdf["kind"].tolist():
-        if k == CONNECT and not is_open:
-            is_open, d, n = True, 1, "player-joined"
-        elif k == DISCONNECT and is_open:
-            is_open, d, n = False, -1, "player-left"
-        else:
+PRESENCE_STATE = T.StructType([T.StructField("open", T.BooleanType()), T.StructField("joined", T.BooleanType())])
+
+
+def _presence_step(connect: str, join: str):
+    def fn(key, batches: Iterator[pd.DataFrame], state):
+        is_open, joined = (bool(x) for x in state.get) if state.exists else (False, False)
+        # one socket's rows of this micro-batch, in event order
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        deltas, notices = [], []
+        for k in pdf["kind"].tolist():
             d, n = 0, None
-        deltas.append(d)
-        notices.append(n)
-    state.update((is_open,))
-    out = pdf[["event_id", "ts", "user_id", "kind"]].copy()
-    out["delta"] = pd.Series(deltas, dtype="int32")
-    out["notice"] = notices
-    yield out
-
-
-def stream_presence(stream: DataFrame) -> DataFrame:
-    """K4: per-socket open/closed state → one row per presence event with its gauge ``delta``
-    (+1 opens, -1 closes, 0 repeats) and the joined/left notice; the connected gauge is the
-    running sum of ``delta`` (F7)."""
-    ev = stream.filter(F.col("kind").isin(CONNECT, DISCONNECT)).select("event_id", "ts", "user_id", "kind")
+            if k == connect and not is_open:
+                is_open, d = True, 1
+            elif k == DISCONNECT:
+                d, n = (-1 if is_open else 0), ("player-left" if joined else None)
+                is_open, joined = False, False
+            if k == join:
+                joined, n = True, "player-joined"
+            deltas.append(d)
+            notices.append(n)
+        if is_open or joined:
+            state.update((is_open, joined))
+        elif state.exists:  # a closed socket needs no state
+            state.remove()
+        out = pdf[["event_id", "ts", "user_id", "kind"]].copy()
+        out["delta"] = pd.Series(deltas, dtype="int32")
+        out["notice"] = notices
+        yield out
+    return fn
+
+
+def stream_presence(stream: DataFrame, connect: str = CONNECT, join: str = JOIN) -> DataFrame:
+    """K4: per-socket state → one row per connect, join and disconnect event with its gauge ``delta``
+    (+1 opens, -1 closes, 0 repeats) and its notice: joined at a ``join`` event, left at a
+    disconnect of a socket that had joined. The connected gauge is the running sum of ``delta`` (F7)."""
+    ev = stream.filter(F.col("kind").isin(connect, join, DISCONNECT)).select("event_id", "ts", "user_id", "kind")
     return ev.groupBy("user_id").applyInPandasWithState(
-        _presence_step, PRESENCE_SCHEMA, PRESENCE_STATE, "append", GroupStateTimeout.NoTimeout)
+        _presence_step(connect, join), PRESENCE_SCHEMA, PRESENCE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ---------------------------------------------------------------------------- K5
-def stream_chat(stream: DataFrame, users: DataFrame) -> DataFrame:
-    """K5: chat messages with the sender's name and time (stream-static join), ready to append to
-    ``chats``; the recipients per message are D7 on the batch table."""
-    m = stream.filter(F.col("kind") == "chat-message").select("event_id", "ts", "user_id")
+def stream_chat(stream: DataFrame, users: DataFrame, kind: str = CHAT) -> DataFrame:
+    """K5: chat messages with the sender's name, time and (where the feed has it) text
+    (stream-static join), ready to append to ``chats``; the recipients per message are D7 on the
+    batch table."""
+    text = ["text"] if "text" in stream.columns else []
+    m = stream.filter(F.col("kind") == kind).select("event_id", "ts", "user_id", *text)
     return m.join(users.select("user_id", "username"), "user_id", "inner")
 
 
@@ -200,8 +212,8 @@ def stream_join_timeouts(requests: DataFrame, responses: DataFrame, limit: str,
     """K6: requests without a response of the same user within ``limit`` (D10 on streams).
 
     Stream-stream left outer join with watermarks on both sides; a request is emitted as timed
-    out once the watermark passes its window — the tail of the input stays pending until later
-    events arrive (it is not emitted by a run that stops at the end of the data)."""
+    out once the watermark passes its window. A run that ends with its input leaves the last
+    requests pending; :func:`flush_join_timeouts` gives those."""
     r = requests.select(F.col("user_id").alias("r_user"), F.col("ts").alias("request_ts"), "event_id") \
         .withWatermark("request_ts", watermark)
     s = responses.select(F.col("user_id").alias("s_user"), F.col("ts").alias("response_ts")) \
@@ -212,25 +224,74 @@ def stream_join_timeouts(requests: DataFrame, responses: DataFrame, limit: str,
     return j.filter(F.col("response_ts").isNull()).select(F.col("r_user").alias("user_id"), "request_ts", "event_id")
 
 
+def flush_join_timeouts(requests: DataFrame, responses: DataFrame, emitted: DataFrame, limit: str,
+                        watermark: str | None) -> DataFrame:
+    """K6 at the end of the input: the timeouts (D10) among the requests that the stream has not
+    emitted. ``watermark``: the query's last watermark; requests whose window closed well before it
+    are settled and not looked at again."""
+    late = requests
+    if watermark:
+        late = late.filter(F.col("ts") + F.expr(f"INTERVAL {limit}") >= F.lit(watermark).cast("timestamp") - F.expr("INTERVAL 1 SECOND"))
+    late = late.join(emitted.select("event_id"), "event_id", "left_anti")
+    out = join_request_timeouts(late, responses, limit)
+    return out.select("user_id", "request_ts", "event_id")
+
+
+def last_watermark(query) -> str | None:
+    """The watermark that a finished query reached."""
+    p = query.lastProgress
+    return None if not p else (p.get("eventTime") or {}).get("watermark")
+
+
 # ---------------------------------------------------------------------------- K7
-def stream_audit(stream: DataFrame, target: str, audit: str, keys: list[str], table_name: str, now):
-    """K7: a stream of upserts (new row versions) against a target table kept as versioned
-    folders; every micro-batch appends its change records (J7: INSERT / UPDATE of rows that
-    differ) to ``audit`` and its versions to ``target`` — both under ``batch_id=N``, so a
-    replayed batch rewrites the same folders. The target's ``batch_id=-1`` holds the initial
-    snapshot. A micro-batch holds at most one version per key. Returns a DataStreamWriter."""
+def stream_audit(stream: DataFrame, target: str, audit: str, keys: list[str], table_name: str, now,
+                 op_col: str | None = None):
+    """K7: a stream of row versions against a target table kept as versioned folders. Every
+    micro-batch appends its change records to ``audit``: INSERT for a new key, UPDATE for a stored
+    one (also with equal values, as the row trigger logs every update), and DELETE where ``op_col``
+    says ``DELETE`` and the key is stored. Its versions go to ``target`` (deletions as marks); both
+    under ``batch_id=N``, so a replayed batch rewrites the same folders. The target's
+    ``batch_id=-1`` holds the initial snapshot. A micro-batch holds at most one version per key.
+    Returns a DataStreamWriter."""
 
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        cols = [c for c in batch.columns]
-        # only the keys this batch touches, then their current version: the latest batch that
-        # wrote them (an aggregate over the touched keys, not over the whole table)
-        prev = (spark.read.parquet(target).filter(F.col("batch_id") < batch_id)
-                .join(batch.select(*keys), keys, "left_semi"))
-        cur = prev.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in cols if c not in keys]), "batch_id").alias("v"))
-        old = cur.select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols if c not in keys]).select(*cols)
-        log = changes.audit_diff(old, batch.select(*cols), keys, table_name, now)
-        log.write.mode("overwrite").parquet(_batch_dir(audit, batch_id))
-        batch.write.mode("overwrite").parquet(_batch_dir(target, batch_id))
+        cols = [c for c in batch.columns if c != op_col]
+        rest = [c for c in cols if c not in keys]
+        gone = F.coalesce(F.col(op_col) == "DELETE", F.lit(False)) if op_col else F.lit(False)
+        versions = batch.select(*cols, gone.alias("__deleted")).persist()
+        try:
+            # only the keys this batch touches, then their current version: the latest batch that
+            # wrote them (an aggregate over the touched keys, not over the whole table)
+            stored = spark.read.option("mergeSchema", "true").parquet(target).filter(F.col("batch_id") < batch_id)
+            deleted = F.col("__deleted") if "__deleted" in stored.columns else F.lit(False)
+            stored = stored.withColumn("__deleted", F.coalesce(deleted, F.lit(False)))
+            stored = stored.join(versions.select(*keys), keys, "left_semi")
+            cur = stored.groupBy(*keys).agg(F.max_by(F.struct(*rest, "__deleted"), "batch_id").alias("__v")).filter("NOT __v.__deleted")
+            j = versions.join(cur, keys, "left")
+            had = F.col("__v").isNotNull()
+            op = F.when(F.col("__deleted"), F.when(had, "DELETE")).otherwise(F.when(had, "UPDATE").otherwise("INSERT"))
+            opts = {"ignoreNullFields": "false"}
+            old = F.to_json(F.struct(*[(F.col(c) if c in keys else F.col(f"__v.{c}")).alias(c) for c in cols]), opts)
+            new = F.to_json(F.struct(*[F.col(c) for c in cols]), opts)
+            log = j.withColumn("operation", op).filter(F.col("operation").isNotNull()).select(
+                *keys, F.lit(table_name).alias("table_name"), "operation", F.lit(None).cast("int").alias("user_id"),
+                F.when(F.col("operation") != "INSERT", old).alias("old_values"),
+                F.when(F.col("operation") != "DELETE", new).alias("new_values"),
+                changes._lit_ts(now).alias("timestamp"))
+            log.write.mode("overwrite").parquet(_batch_dir(audit, batch_id))
+            versions.write.mode("overwrite").parquet(_batch_dir(target, batch_id))
+        finally:
+            versions.unpersist()
 
     return stream.writeStream.foreachBatch(each)
+
+
+def compact_versions(spark: SparkSession, target: str, keys: list[str], through: int) -> DataFrame:
+    """The current rows of a versioned target through batch ``through``: what a compaction writes as
+    a new initial snapshot."""
+    v = spark.read.option("mergeSchema", "true").parquet(target).filter(F.col("batch_id") <= through)
+    rest = [c for c in v.columns if c not in keys and c != "batch_id"]
+    last = v.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("__v"))
+    out = last.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in rest])
+    return out.filter(~F.coalesce(F.col("__deleted"), F.lit(False))).drop("__deleted") if "__deleted" in rest else out

@@ -95,8 +95,7 @@ def test_retention_and_erasure(spark):
     assert rows(changes.erase_users(q, ids, null_cols=["made_by_userid"])) == [(1, None), (2, 6), (3, None)]
 
 
-def test_first_per_key_large_group_of_copies(spark, monkeypatch):
-    monkeypatch.setattr(changes, "COPY_CHUNK", 7)
+def test_first_per_key_large_group_of_copies(spark):
     schema = "k long, t long, v string"
     data = [(1, 5, "x")] * 1000 + [(1, 9, "y")] * 3 + [(2, 1, "z")] + [(3, 1, "w")] * 20
     df = spark.createDataFrame(data, schema)
@@ -113,6 +112,34 @@ def test_prune_existing_gives_same_decisions(spark):
     inc = spark.createDataFrame([(1, 1, 1, T0, 5), (1, 1, 2, T0, 6), (2, 2, 1, T0, 7), (3, None, 1, T0, 8)], schema)
     existing = spark.createDataFrame([(1, 1, 1, T0, 1), (9, 9, 9, T0, 2), (3, None, 1, T0, 3)], schema)
     a1, r1 = changes.duplicate_round_answers(inc, existing)
-    a2, r2 = changes.duplicate_round_answers(inc, existing, materialize=False, prune_existing=True)
+    a2, r2 = changes.duplicate_round_answers(inc, existing, prune_existing=True)
     assert rows(a1) == rows(a2) and rows(r1) == rows(r2)
     assert rows(r1, "answer_id", "reason") == [(5, "duplicate_existing")]
+
+
+def test_set_status_keeps_the_reason_of_untouched_rows(spark):
+    df = spark.createDataFrame([(1, "rejected", "spam"), (2, "pending", None)], "id long, status string, reason string")
+    upd = spark.createDataFrame([(2, "rejected", "rude", T0)], "id long, status string, reason string, ts timestamp_ntz")
+    assert rows(changes.set_status(df, upd, "id")) == [(1, "rejected", "spam"), (2, "rejected", "rude")]
+
+
+def test_several_changes_of_one_key(spark):
+    games = spark.createDataFrame([(1, "waiting", None, None), (2, "active", T0, None)],
+                                  "game_id long, status string, start_date timestamp_ntz, finish_date timestamp_ntz")
+    chg = spark.createDataFrame([(1, "active", 1), (1, "finished", 2), (2, "finished", 1)], "game_id long, status string, n int")
+    snap, dec, rej = changes.apply_game_status(games, chg, "2024-02-01 00:00:00", order=["n"])
+    assert rows(snap, "game_id", "status") == [(1, "active"), (2, "finished")]
+    assert rows(dec, "old_game_id", "new_status", "reason") == [(1, "active", None), (1, "finished", "duplicate_change"), (2, "finished", None)]
+    assert rows(rej, "old_game_id") == [(1,)]
+    users = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "user_id long, username string, password string")
+    pat = spark.createDataFrame([(1, "c", "", 1), (1, None, "p", 2), (1, "d", "", 3)], "user_id long, username string, password string, n int")
+    assert rows(changes.patch_profile(users, pat, "user_id", ["username", "password"], order=["n"])) == [(1, "d", "p"), (2, "b", "y")]
+    t = changes.touch_updated_at(users, pat.select("user_id", "username", "n"), "user_id", "2024-02-01 00:00:00", order=["n"])
+    assert rows(t, "user_id", "username") == [(1, "d")]
+
+
+def test_erase_everywhere(spark):
+    a = spark.createDataFrame([(1, 2), (2, 3)], "user_id long, v long")
+    b = spark.createDataFrame([(7, 2), (8, 3)], "id long, author long")
+    out = changes.erase_everywhere({"a": (a, "user_id", []), "b": (b, None, ["author"])}, spark.createDataFrame([(2,)], "user_id long"))
+    assert rows(out["a"]) == [(1, 2)] and rows(out["b"], "id", "author") == [(7, None), (8, 3)]

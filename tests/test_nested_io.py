@@ -49,3 +49,41 @@ def test_json_roundtrip_and_parse(spark):
     prim = spark.createDataFrame([(1, "p")], "id long, v string")
     fb = spark.createDataFrame([(1, "f"), (2, "f")], "id long, v string")
     assert rows(io.with_fallback(prim, fb, ["id"])) == [(1, "p"), (2, "f")]
+
+
+def test_answer_pages_do_not_change_results(spark):
+    courses = spark.createDataFrame([(1, "Mathe")], "course_id int, course_name string")
+    qs = spark.createDataFrame([(i, 1, f"Frage {i}") for i in range(1, 4)], "question_id long, course_id int, text string")
+    ans = spark.createDataFrame([(100 * q + a, q, f"A{a}", a == 6) for q in range(1, 4) for a in range(7)],
+                                "answer_id long, question_id long, text string, right_wrong boolean")
+    whole, cut = (nested.nest_catalogue(courses, qs, ans, page_size=p, answers_page_size=a) for p, a in ((50, 1000), (2, 3)))
+    cols = ["question_id", "question_text", "a_pos", "answer_text", "right_wrong"]
+    assert rows(nested.flatten_catalogue(whole).select(*cols)) == rows(nested.flatten_catalogue(cut).select(*cols))
+    assert nested.catalogue_count_mismatch(cut).count() == 0
+
+
+def test_copy_block_and_quarantine(spark):
+    path = scratch_path(spark, "t-block")
+    text = ["COPY public.t (id, txt, ok) FROM stdin;", "1\ta\\tb\ue000c\\\\\\n\tt", "x\tbad id\tf", "3\tshort", "4\t\\N\t\\N", "\\.", ""]
+    spark.createDataFrame([(x,) for x in text], "value string").coalesce(1).write.text(path)
+    schema = spark.createDataFrame([], "id long, txt string, ok boolean").schema
+    assert rows(io.read_copy_text(spark, path, schema)) == [(1, "a\tb\ue000c\\\n", True), (4, None, None)]
+    assert rows(io.read_copy_quarantine(spark, path, schema), "line", "reason") == [("3\tshort", "field_count"), ("x\tbad id\tf", "bad_value(id)")]
+
+
+def test_layout_overwrite_and_skew(spark):
+    path = scratch_path(spark, "t-layout")
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 50 == 0).cast("int").alias("s"))
+    io.write_layout(df, path, ["s"], ["id"])
+    assert len([f for f in spark.read.parquet(path).filter("s = 0").inputFiles()]) > 3
+    io.write_layout(df.filter("s = 0"), path, ["s"], ["id"])
+    assert spark.read.parquet(path).filter("s = 1").count() == 0 and spark.read.parquet(path).count() == 3920
+
+
+def test_table_profile_order(spark):
+    a, b = scratch_path(spark, "small"), scratch_path(spark, "large")
+    spark.range(10).write.parquet(a)
+    spark.range(100_000).write.parquet(b)
+    got = io.table_profile(spark, {"a": a, "b": b}).collect()
+    assert [(r.table_name, r.row_count, r.size_rank) for r in got] == [("b", 100_000, 1), ("a", 10, 2)]
+    assert got[0].data_bytes > got[1].data_bytes > 0 and got[0].table_size.endswith("kB")

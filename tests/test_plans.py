@@ -33,15 +33,15 @@ def test_layout_partition_pruning(spark):
     assert "PartitionFilters: [isnotnull(status" in plan and "(status#" in plan and "= approved)" in plan
 
 
-def test_first_per_key_limits_map_side(spark):
+def test_first_per_key_combines_map_side(spark):
     ga = sv.game_answers(spark, SF)
     firsts, _rest = changes.first_per_key(ga, ["game_id", "user_id", "round_no"], ["answered_at"])
     plan = firsts._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "partial_min" in plan and "Window" not in plan
 
 
 def test_scan_carry_is_broadcast(spark):
     e = sv.events(spark, SF)
     plan = _plan(running_sum(e, ["user_id"], ["ts", "event_id"], F.lit(1), "n"))
-    assert "BroadcastHashJoin" in plan and "MapInPandas" in plan
+    assert "BroadcastHashJoin" in plan and "MapInArrow" in plan
     assert "Window" not in plan.split("BroadcastExchange")[0]  # no window over the fact rows

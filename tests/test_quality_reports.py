@@ -77,6 +77,6 @@ def test_rounds_alignment_and_approval(spark):
                                                         "answer_id long, question_id long, right_wrong boolean"),
         spark.createDataFrame([(1, u) for u in range(6)], "game_id long, user_id long"))
     got = rows(shape, "rule", "entity_id", "n")
-    assert ("rounds_per_finished_game", 1, 3) in got and ("players_per_group", 1, 6) in got
+    assert ("rounds_per_finished_game", 1, 3) in got and ("players_per_game", 1, 6) in got
     assert ("answers_per_question", 100, 2) in got and ("one_right_answer", 100, 2) in got
     assert ("answers_per_question", 101, 0) in got

@@ -77,3 +77,22 @@ def test_survey_named_screen_functions(spark):
                                   "avatar_file string")
     v = screens.violations_registration(forms).collect()
     assert len(v) == 1 and v[0].rule == S.MSG_USERNAME_3
+
+
+def test_size_pretty_unit_limits(spark):
+    """Fixed value table at the limits of every unit."""
+    table = [(0, "0 bytes"), (10239, "10239 bytes"), (10240, "10 kB"), (10485247, "10239 kB"), (10485248, "10 MB"),
+             (10736893951, "10239 MB"), (10736893952, "10 GB"), (10994579406847, "10239 GB"), (10994579406848, "10 TB"),
+             (11258449312612351, "10239 TB"), (11258449312612352, "10 PB"), (9000000000000000000, "7994 PB"),
+             (-10239, "-10239 bytes"), (-10240, "-10 kB"), (-10485248, "-10 MB"), (None, None)]
+    df = spark.createDataFrame([(b,) for b, _ in table], "b long")
+    got = {r.b: r.s for r in df.select("b", S.size_pretty("b").alias("s")).collect()}
+    assert got == dict(table)
+
+
+def test_submission_rule_needs_four_answers_and_a_valid_index(spark):
+    four = ["a", "b", "c", "d"]
+    data = [(1, four, 0), (2, four, 4), (3, four, -1), (4, four[:1], 0), (5, None, 0), (6, [*four[:3], None], 0), (7, four, None), (8, [*four, "e"], 0)]
+    df = spark.createDataFrame(data, "id long, answers array<string>, correct int")
+    got = {r.id: r.r for r in df.select("id", S.submission_rule(F.lit("t"), "answers", "correct", F.lit("c")).alias("r")).collect()}
+    assert {k for k, v in got.items() if v is None} == {1}

@@ -51,3 +51,13 @@ def test_previous_in_key(spark):
     exp["prev"] = exp.groupby("kk")["id"].shift(1)
     want = {i: (None if pd.isna(p) else int(p)) for i, p in zip(exp["id"], exp["prev"])}
     assert got == want
+
+
+def test_scan_passes_far_timestamps_through(spark):
+    import datetime as dt
+    far = dt.datetime(9999, 12, 31)
+    df = spark.createDataFrame([(k, i, far) for k in (1, None) for i in range(20)], "k long, id long, t timestamp_ntz")
+    got = rows(running_sum(df, ["k"], ["id"], F.col("id"), "s", num_partitions=7), "k", "id", "s")
+    got = sorted(got, key=lambda x: x[1])
+    assert [x[2] for x in got if x[0] == 1] == [sum(range(i + 1)) for i in range(20)]
+    assert [x[2] for x in got if x[0] is None] == [sum(range(i + 1)) for i in range(20)]

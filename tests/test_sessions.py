@@ -67,15 +67,16 @@ def test_lobby_waiter_disconnect_and_self_queue(spark):
 
 
 def test_presence_and_timeline(spark):
-    ev = [(1, T0, 1, "requestJoin"), (2, T0 + dt.timedelta(seconds=1), 1, "requestJoin"),
-          (3, T0 + dt.timedelta(seconds=2), 2, "requestJoin"), (4, T0 + dt.timedelta(seconds=3), 1, "chat-message"),
+    ev = [(1, T0, 1, "connect"), (2, T0 + dt.timedelta(seconds=1), 1, "connect"),
+          (3, T0 + dt.timedelta(seconds=2), 2, "connect"), (4, T0 + dt.timedelta(seconds=3), 1, "chat-message"),
           (5, T0 + dt.timedelta(seconds=4), 1, "disconnect"), (6, T0 + dt.timedelta(seconds=5), 1, "disconnect"),
-          (7, T0 + dt.timedelta(seconds=6), 2, "chat-message")]
+          (7, T0 + dt.timedelta(seconds=6), 2, "chat-message"), (8, T0 + dt.timedelta(seconds=7), 3, "requestJoin"),
+          (9, T0 + dt.timedelta(seconds=8), 2, "join-chat")]
     df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, kind string")
     iv = rows(sessions.presence_intervals(df), "user_id", "open_event_id", "close_event_id")
     assert iv == [(1, 1, 5), (2, 3, None)]
     tl = dict(rows(sessions.concurrency_timeline(df), "event_id", "connected"))
-    assert tl == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: 1, 7: 1}
+    assert tl == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1}
     rc = rows(sessions.chat_recipients(df), "event_id", "recipients")
     assert rc == [(4, 1), (7, 0)]
 
@@ -113,7 +114,7 @@ def test_first_registration_wins(spark):
 
 def test_timeline_hot_socket_many_partitions(spark):
     rnd = random.Random(5)
-    kinds = ["requestJoin", "disconnect", "chat-message", "page"]
+    kinds = ["connect", "disconnect", "chat-message", "page"]
     ev = [(i, T0 + dt.timedelta(seconds=i), 1 if rnd.random() < 0.5 else rnd.randint(2, 9), rnd.choice(kinds))
           for i in range(3000)]
     df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, kind string")
@@ -126,7 +127,7 @@ def test_timeline_hot_socket_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     open_, want_tl, want_rc = set(), {}, {}
     for eid, _ts, s, k in ev:
-        if k == "requestJoin":
+        if k == "connect":
             open_.add(s)
         elif k == "disconnect":
             open_.discard(s)

@@ -41,9 +41,9 @@ def test_lobby_and_presence_streams_match_batch(spark):
     want = rows(sessions.lobby_pairs(df), "group_no", "player1", "player2", "event_id")
     assert got == want and len(got) > 5
     out4 = scratch_path(spark, "presence")
-    streams.run_available_now(streams.stream_presence(stream).writeStream.format("parquet"), "t-k4", spark, out4)
+    streams.run_available_now(streams.stream_presence(stream, connect="requestJoin").writeStream.format("parquet"), "t-k4", spark, out4)
     deltas = dict(rows(spark.read.parquet(out4), "event_id", "delta"))
-    tl = dict(rows(sessions.concurrency_timeline(df), "event_id", "connected"))
+    tl = dict(rows(sessions.concurrency_timeline(df, connect="requestJoin"), "event_id", "connected"))
     running, ok = 0, True
     for eid in sorted(tl):
         running += deltas.get(eid, 0)
@@ -97,4 +97,50 @@ def test_audit_stream_versions_across_batches(spark):
     log = spark.read.parquet(audit).select(
         "batch_id", "id", "operation", F.get_json_object("old_values", "$.v").alias("old_v"),
         F.get_json_object("new_values", "$.v").alias("new_v"))
-    assert rows(log) == [(0, 1, "UPDATE", "1", "2"), (0, 3, "INSERT", None, "1"), (1, 1, "UPDATE", "2", "3")]
+    assert rows(log) == [(0, 1, "UPDATE", "1", "2"), (0, 2, "UPDATE", "1", "1"), (0, 3, "INSERT", None, "1"),
+                         (1, 1, "UPDATE", "2", "3")]
+    assert rows(streams.compact_versions(spark, target, ["id"], 1)) == [(1, "a", 3), (2, "b", 1), (3, "c", 1)]
+
+
+def test_audit_stream_logs_deletions(spark):
+    schema = "id long, v long, op string"
+    target, audit = scratch_path(spark, "k7t"), scratch_path(spark, "k7a")
+    spark.createDataFrame([(1, 1), (2, 1)], "id long, v long").write.parquet(f"{target}/batch_id=-1")
+    frames = [spark.createDataFrame(b, schema) for b in ([(1, 1, "DELETE"), (9, 1, "DELETE")], [(1, 5, "UPSERT")], [(1, 0, "DELETE")])]
+    src = _write_batches(spark, frames, "del")
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(src)
+    streams.run_available_now(streams.stream_audit(stream, target, audit, ["id"], "t", "2024-02-01 00:00:00", op_col="op"),
+                              "t-k7d", spark)
+    assert rows(spark.read.parquet(audit), "batch_id", "id", "operation") == [(0, 1, "DELETE"), (1, 1, "INSERT"), (2, 1, "DELETE")]
+    assert rows(streams.compact_versions(spark, target, ["id"], 2)) == [(2, 1)]
+
+
+def test_presence_notices_need_a_join(spark):
+    ev = [(1, 1, "connect"), (2, 2, "connect"), (3, 1, "join-chat"), (4, 1, "disconnect"), (5, 2, "disconnect"), (6, 1, "disconnect"),
+          (7, 1, "requestJoin")]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(minutes=i), u, k) for i, u, k in ev],
+                               "event_id long, ts timestamp_ntz, user_id long, kind string")
+    src = _write_batches(spark, [df.filter("event_id <= 3"), df.filter("event_id > 3 and event_id < 6"), df.filter("event_id >= 6")], "n")
+    stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+              .withColumn("ts", F.col("ts").cast("timestamp")))
+    out = scratch_path(spark, "notices")
+    streams.run_available_now(streams.stream_presence(stream).writeStream.format("parquet"), "t-k4n", spark, out)
+    assert rows(spark.read.parquet(out), "event_id", "delta", "notice") == [
+        (1, 1, None), (2, 1, None), (3, 0, "player-joined"), (4, -1, "player-left"), (5, -1, None), (6, 0, None)]
+
+
+def test_damaged_history_is_an_error(spark):
+    import os
+
+    import pytest
+    root = scratch_path(spark, "hist")
+    assert streams._read_previous(spark, root, 3) is None
+    spark.createDataFrame([(1,)], "a long").write.parquet(f"{root}/batch_id=0")
+    assert streams._read_previous(spark, root, 3).count() == 1
+    for d, _, files in os.walk(root):
+        for f in files:
+            if f.endswith(".parquet"):
+                with open(os.path.join(d, f), "wb") as w:
+                    w.write(b"damaged")
+    with pytest.raises(Exception):
+        streams._read_previous(spark, root, 3).count()
