@@ -26,10 +26,11 @@ COMMON = 32
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, place, line, h): the lines to compare, without white space at their ends; h is an even
-    64-bit hash of the line. A null text has no lines."""
+    """(doc, place, line, n, h): the lines to compare, without white space at their ends, their lengths
+    and an even 64-bit hash of each. A null text has no lines."""
     cut = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("place", "raw"))
-    cut = cut.select("doc", "place", F.btrim("raw", F.lit(" \t\r\v\f")).alias("line")).where(F.length("line") >= min_chars)
+    cut = cut.select("doc", "place", F.btrim("raw", F.lit(" \t\r\v\f")).alias("line"))
+    cut = cut.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
     return cut.withColumn("h", F.xxhash64("line").bitwiseAND(F.lit(-2).cast("long")))
 
 
@@ -46,26 +47,38 @@ def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _meets(line: Column, tau: int, delta: int, salt: Column, rests: bool) -> Column:
-    """The probes of a line against lines that are ``delta`` characters shorter: structs of key, own
-    (the probe is also an index entry of the line) and, if asked, the rest without the substring."""
-    length = F.length(line)
+def _probes(tau: int, delta: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the substrings of a line that can be segments of one ``delta`` shorter."""
+    return [(i, s) for i in range(tau + 1) for s in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)]
+
+
+def _owned(tau: int, deltas: list[int]) -> list[bool]:
+    """Of the probes of all ``deltas`` in order: whether the probe is the line's own segment, an index
+    entry."""
+    return [d == 0 and s == 0 for d in deltas for _, s in _probes(tau, d)]
+
+
+def _places(length: Column, tau: int, delta: int) -> list[tuple[int, Column, Column, Column]]:
+    """(segment, start, length, key part) of the probes; the start is NULL where it does not fit."""
     target = length - delta
+    cut = _segments(target, tau)
     out = []
-    for i, (start, size) in enumerate(_segments(target, tau)):
-        for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-            at = start + shift
-            inside = (at >= 1) & (at + size - 1 <= length) & (target >= 1)
-            key = F.when(inside, F.xxhash64(salt, target, F.lit(i), F.substr(line, at, size)))
-            fields = [key.alias("key"), F.lit(delta == 0 and shift == 0).alias("own")]
-            if rests:
-                fields += [F.lit(delta).alias("delta"), F.concat(F.substr(line, F.lit(1), at - 1), F.substr(line, at + size)).alias("rest")]
-            out.append(F.struct(*fields))
-    return F.array(*out)
+    for i, shift in _probes(tau, delta):
+        start, size = cut[i]
+        at = start + shift
+        out.append((i, F.when((at >= 1) & (at + size - 1 <= length) & (target >= 1), at), size, target))
+    return out
 
 
-def _all_meets(line: Column, tau: int, rests: bool = False) -> Column:
-    return F.concat(*[_meets(line, tau, d, F.lit(0), rests) for d in range(tau + 1)])
+def _keys(line: Column, length: Column, tau: int, deltas: list[int], salt: Column) -> Column:
+    """The keys of a line's probes against lines shorter by ``deltas``; NULL where one does not fit."""
+    return F.array(*[F.when(at.isNotNull(), F.xxhash64(salt, target, F.lit(i), F.substr(line, at, size))) for d in deltas for i, at, size, target in _places(length, tau, d)])
+
+
+def _rests(line: Column, length: Column, tau: int) -> Column:
+    """For all probes, in the order of :func:`_keys`: how much shorter the other line is, and the line
+    without the substring."""
+    return F.array(*[F.struct(F.lit(d).alias("delta"), F.when(at.isNotNull(), F.concat(F.substr(line, F.lit(1), at - 1), F.substr(line, at + size))).alias("rest")) for d in range(tau + 1) for _, at, size, _ in _places(length, tau, d)])
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -75,9 +88,6 @@ def within(a: Column, b: Column, tau: int) -> Column:
     ``b`` holding at most e. A character moves all diagonals of the band at once.
     """
     band = (1 << (2 * tau + 1)) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    places = F.sequence(F.lit(0), F.length(a) - 1)
-    equal = F.transform(places, lambda i: sum((F.when(F.get(x, i) == F.get(y, i + d), 1 << (d + tau)).otherwise(0) for d in range(-tau, tau + 1)), F.lit(0)))
 
     def step(s: Column, eq: Column) -> Column:
         new: list[Column] = []
@@ -90,49 +100,74 @@ def within(a: Column, b: Column, tau: int) -> Column:
         return F.when(s[f"r{tau}"] == 0, s).otherwise(F.struct(*[c.alias(f"r{e}") for e, c in enumerate(new)]))
 
     first = F.struct(*[F.lit(((1 << (e + 1)) - 1) << tau).alias(f"r{e}") for e in range(tau + 1)])
-    last = F.aggregate(equal, first, step, lambda s: s[f"r{tau}"])
-    goal = F.length(b) - F.length(a)
-    return F.when(F.abs(goal) > tau, False).otherwise(last.bitwiseAND(F.call_function("shiftleft", F.lit(1), goal + tau)) > 0)
+
+    def run(s: Column) -> Column:
+        equal = F.transform(s["x"], lambda c, i: sum((F.when(F.get(s["y"], i + d) == c, 1 << (d + tau)).otherwise(0) for d in range(-tau, tau + 1)), F.lit(0)))
+        last = F.aggregate(equal, first, step, lambda r: r[f"r{tau}"])
+        goal = F.size(s["y"]) - F.size(s["x"])
+        return F.when(F.abs(goal) > tau, False).otherwise(last.bitwiseAND(F.call_function("shiftleft", F.lit(1), goal + tau)) > 0)
+
+    # a transform of one element binds the characters, which are then split once
+    return F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), run)[0]
+
+
+def _met(entries: DataFrame, common: int) -> DataFrame:
+    """Entries (key, id; the lowest bit of id tells index entries) with ``owners``: the index entries'
+    lines of their key, or its first ``common`` + 1 if it has more."""
+    ranked = Window.partitionBy("key").orderBy(F.col("id").bitwiseAND(F.lit(1)).desc(), "id")
+    whole = Window.partitionBy("key").orderBy(F.col("id").bitwiseAND(F.lit(1)).desc(), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.col("id").bitwiseAND(F.lit(1)) == 1
+    met = entries.withColumn("rank", F.row_number().over(ranked))
+    met = met.withColumn("owners", F.collect_list(F.when(own & (F.col("rank") <= common + 1), F.col("id") - 1)).over(whole))
+    return met.select("key", F.col("id").bitwiseAND(F.lit(-2).cast("long")).alias("h"), "owners").where(F.size("owners") > 0)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of an entry and the index entries of its key."""
+    met = met.select("h", F.explode("owners").alias("x")).where("x <> h")
+    return met.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
+
+
+def _entries(h: Column, keys: Column, owned: list[bool], source: DataFrame) -> DataFrame:
+    own = F.col("place").isin([i for i, o in enumerate(owned) if o])
+    rows = source.select(h.alias("h"), F.posexplode(keys).alias("place", "key")).where("key IS NOT NULL")
+    return rows.select("key", (F.col("h") + own.cast("long")).alias("id"))
 
 
 def candidates(texts: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
     """Pairs (a, b), a < b, of line hashes that share a segment at fitting places."""
-    entries = texts.select("h", F.explode(_all_meets(F.col("line"), tau)).alias("m")).where("m.key IS NOT NULL")
-    # the lowest bit of the line's hash tells index entries
-    entries = entries.select(F.col("m.key").alias("key"), (F.col("h") + F.col("m.own").cast("long")).alias("id"))
-    same = Window.partitionBy("key")
-    counted = entries.withColumn("n", F.count("*").over(same)).withColumn("n_own", F.sum(F.col("id").bitwiseAND(F.lit(1))).over(same))
-    shared = counted.where("n > 1 AND n_own > 0")
-    line = F.col("id").bitwiseAND(F.lit(-2).cast("long"))
-    few = shared.where(F.col("n_own") <= common).select("key", "id")
-    near = _met(few.select("key", line.alias("h"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("own")))
-    # refinement: the hot entries get their rests back, which are cut and met in turn
-    many = shared.where(F.col("n_own") > common).select("key", line.alias("h")).distinct()
-    hot = many.join(texts, "h").select("key", "h", F.explode(F.filter(_all_meets(F.col("line"), tau, rests=True), lambda m: m["key"] == F.col("key"))).alias("m"))
+    deltas = list(range(tau + 1))
+    met = _met(_entries(F.col("h"), _keys(F.col("line"), F.col("n"), tau, deltas, F.lit(0)), _owned(tau, deltas), texts), common)
+    near = _pairs(met.where(F.size("owners") <= common))
+    # refinement: entries of common keys get their rests back, which are cut and met in turn
+    many = met.where(F.size("owners") > common).select("key", "h").distinct()
+    owned = _owned(tau, deltas)
+    probes = F.arrays_zip(_keys(F.col("line"), F.col("n"), tau, deltas, F.lit(0)).alias("key"), _rests(F.col("line"), F.col("n"), tau).alias("rest"))
+    hot = many.withColumnRenamed("key", "k").join(texts, "h").select("h", "k", F.posexplode(probes).alias("place", "m")).where("m.key = k")
+    hot = hot.select("h", "k", F.col("place").isin([i for i, o in enumerate(owned) if o]).alias("own"), F.col("m.rest.delta").alias("delta"), F.col("m.rest.rest").alias("rest")).withColumn("n", F.length("rest"))
     parts = None
-    for delta in range(tau + 1):
-        rows = hot.where(F.col("m.delta") == delta).select("h", F.col("m.own").alias("indexed"), F.explode(_meets(F.col("m.rest"), tau, delta, F.col("key"), False)).alias("s"))
-        if delta == 0:
-            rows = rows.select("h", (F.col("indexed") & F.col("s.own")).alias("own"), F.col("s.key").alias("key"))
-        else:
-            rows = rows.select("h", F.lit(False).alias("own"), F.col("s.key").alias("key"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return near.unionByName(_met(parts.where("key IS NOT NULL").distinct())).distinct()
-
-
-def _met(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of an index entry and any entry with its key."""
-    left = entries.where("own").select("key", F.col("h").alias("x"))
-    right = entries.select("key", F.col("h").alias("y"))
-    return left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    for delta in deltas:
+        rows = hot.where(F.col("delta") == delta)
+        if delta == 0:  # rows of the line's own segments also have the index entries
+            indexed = _entries(F.col("h"), _keys(F.col("rest"), F.col("n"), tau, [0], F.col("k")), _owned(tau, [0]), rows.where("own"))
+            rows = rows.where("NOT own")
+            parts = indexed
+        free = _entries(F.col("h"), _keys(F.col("rest"), F.col("n"), tau, [delta], F.col("k")), [False], rows)
+        parts = parts.unionByName(free)
+    # what still shares a key agrees in two segments out of two cuts: all of it is verified
+    finer = parts.distinct()
+    left = finer.where(F.col("id").bitwiseAND(F.lit(1)) == 1).select("key", (F.col("id") - 1).alias("x"))
+    right = finer.select("key", F.col("id").bitwiseAND(F.lit(-2).cast("long")).alias("y"))
+    far = left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return near.unionByName(far).distinct()
 
 
 def links(found: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
     """Pairs (a, b), a < b, of hashes of different lines (column line, h) within ``tau`` edits."""
-    texts = found.groupBy("h").agg(F.first("line").alias("line"))
+    texts = found.groupBy("h").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     met = candidates(texts, tau, common)
-    met = met.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return met.where(within(F.col("x"), F.col("y"), tau)).select("a", "b")
+    met = met.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b")
+    return met.where(F.abs(F.col("nx") - F.col("ny")) <= tau).where(within(F.col("x"), F.col("y"), tau)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
