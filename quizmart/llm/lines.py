@@ -34,51 +34,31 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     return cut.withColumn("h", F.xxhash64("line").bitwiseAND(F.lit(-2).cast("long")))
 
 
-def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the tau + 1 segments of a line of that length; the last ones take
-    the characters that remain."""
-    n = tau + 1
-    base, rest = F.floor(length / n).cast("int"), length % n
-    out, start = [], F.lit(1)
-    for i in range(n):
-        size = base + F.when(rest >= n - i, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
-
-
 def _probes(tau: int, delta: int) -> list[tuple[int, int]]:
     """(segment, shift) of the substrings of a line that can be segments of one ``delta`` shorter."""
     return [(i, s) for i in range(tau + 1) for s in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)]
 
 
-def _owned(tau: int, deltas: list[int]) -> list[bool]:
-    """Of the probes of all ``deltas`` in order: whether the probe is the line's own segment, an index
-    entry."""
-    return [d == 0 and s == 0 for d in deltas for _, s in _probes(tau, d)]
-
-
-def _places(length: Column, tau: int, delta: int) -> list[tuple[int, Column, Column, Column]]:
-    """(segment, start, length, key part) of the probes; the start is NULL where it does not fit."""
-    target = length - delta
-    cut = _segments(target, tau)
-    out = []
-    for i, shift in _probes(tau, delta):
-        start, size = cut[i]
-        at = start + shift
-        out.append((i, F.when((at >= 1) & (at + size - 1 <= length) & (target >= 1), at), size, target))
-    return out
+def _meets(rows: DataFrame, tau: int, delta: Column | None = None) -> DataFrame:
+    """``rows`` (line, n, salt and any others) with a row for every probe of the line: key; own (the
+    probe is a segment of the line itself, an index entry); ``delta``, how much shorter the other
+    line is (all up to tau, or the one given); at and size of the substring.
 
-
-def _keys(line: Column, length: Column, tau: int, deltas: list[int], salt: Column) -> Column:
-    """The keys of a line's probes against lines shorter by ``deltas``; NULL where one does not fit."""
-    return F.array(*[F.when(at.isNotNull(), F.xxhash64(salt, target, F.lit(i), F.substr(line, at, size))) for d in deltas for i, at, size, target in _places(length, tau, d)])
-
-
-def _rests(line: Column, length: Column, tau: int) -> Column:
-    """For all probes, in the order of :func:`_keys`: how much shorter the other line is, and the line
-    without the substring."""
-    return F.array(*[F.struct(F.lit(d).alias("delta"), F.when(at.isNotNull(), F.concat(F.substr(line, F.lit(1), at - 1), F.substr(line, at + size))).alias("rest")) for d in range(tau + 1) for _, at, size, _ in _places(length, tau, d)])
+    A line of n characters has tau + 1 segments of n // (tau + 1) characters, the last n % (tau + 1)
+    of them one longer.
+    """
+    parts = tau + 1
+    table = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d in range(parts) for i, s in _probes(tau, d)])
+    if delta is not None:
+        table = F.filter(table, lambda p: p["delta"] == delta)
+    out = rows.withColumn("p", F.explode(table)).withColumns({"delta": F.col("p.delta"), "i": F.col("p.i"), "shift": F.col("p.shift")}).drop("p")
+    out = out.withColumn("target", F.col("n") - F.col("delta")).withColumn("over", parts - F.col("target") % parts)
+    out = out.withColumn("size", ((F.col("target") - F.col("target") % parts) / parts).cast("int"))
+    out = out.withColumn("at", 1 + F.col("i") * F.col("size") + F.greatest(F.lit(0), F.col("i") - F.col("over")) + F.col("shift"))
+    out = out.withColumn("size", F.col("size") + (F.col("i") >= F.col("over")).cast("int"))
+    out = out.where("target >= 1 AND at >= 1 AND at + size - 1 <= n")
+    out = out.withColumn("key", F.xxhash64("salt", "target", "i", F.substr("line", F.col("at"), F.col("size"))))
+    return out.withColumn("own", (F.col("delta") == 0) & (F.col("shift") == 0)).drop("i", "shift", "target", "over", "salt")
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -88,8 +68,9 @@ def within(a: Column, b: Column, tau: int) -> Column:
     ``b`` holding at most e. A character moves all diagonals of the band at once.
     """
     band = (1 << (2 * tau + 1)) - 1
+    first = F.struct(*[F.lit(((1 << (e + 1)) - 1) << tau).alias(f"r{e}") for e in range(tau + 1)])
 
-    def step(s: Column, eq: Column) -> Column:
+    def moved(s: Column, eq: Column) -> Column:
         new: list[Column] = []
         for e in range(tau + 1):
             state = s[f"r{e}"].bitwiseAND(eq)
@@ -97,18 +78,24 @@ def within(a: Column, b: Column, tau: int) -> Column:
                 low = s[f"r{e - 1}"]
                 state = state.bitwiseOR(low).bitwiseOR(F.shiftright(low, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(band))
             new.append(state)
-        return F.when(s[f"r{tau}"] == 0, s).otherwise(F.struct(*[c.alias(f"r{e}") for e, c in enumerate(new)]))
-
-    first = F.struct(*[F.lit(((1 << (e + 1)) - 1) << tau).alias(f"r{e}") for e in range(tau + 1)])
+        return F.struct(*[c.alias(f"r{e}") for e, c in enumerate(new)])
 
     def run(s: Column) -> Column:
-        equal = F.transform(s["x"], lambda c, i: sum((F.when(F.get(s["y"], i + d) == c, 1 << (d + tau)).otherwise(0) for d in range(-tau, tau + 1)), F.lit(0)))
-        last = F.aggregate(equal, first, step, lambda r: r[f"r{tau}"])
+        def step(r: Column, p: Column) -> Column:
+            equal = sum((F.when(F.get(s["y"], p["i"] + d) == p["c"], 1 << (d + tau)).otherwise(0) for d in range(-tau, tau + 1)), F.lit(0))
+            return F.when(r[f"r{tau}"] == 0, r).otherwise(bound(equal, lambda eq: moved(r, eq)))
+
+        marked = F.transform(s["x"], lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+        last = F.aggregate(marked, first, step, lambda r: r[f"r{tau}"])
         goal = F.size(s["y"]) - F.size(s["x"])
         return F.when(F.abs(goal) > tau, False).otherwise(last.bitwiseAND(F.call_function("shiftleft", F.lit(1), goal + tau)) > 0)
 
-    # a transform of one element binds the characters, which are then split once
-    return F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), run)[0]
+    return bound(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), run)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a transform of one element binds it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _met(entries: DataFrame, common: int) -> DataFrame:
@@ -128,34 +115,19 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
 
 
-def _entries(h: Column, keys: Column, owned: list[bool], source: DataFrame) -> DataFrame:
-    own = F.col("place").isin([i for i, o in enumerate(owned) if o])
-    rows = source.select(h.alias("h"), F.posexplode(keys).alias("place", "key")).where("key IS NOT NULL")
-    return rows.select("key", (F.col("h") + own.cast("long")).alias("id"))
-
-
 def candidates(texts: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
     """Pairs (a, b), a < b, of line hashes that share a segment at fitting places."""
-    deltas = list(range(tau + 1))
-    met = _met(_entries(F.col("h"), _keys(F.col("line"), F.col("n"), tau, deltas, F.lit(0)), _owned(tau, deltas), texts), common)
+    probes = _meets(texts.withColumn("salt", F.lit(0).cast("long")), tau)
+    met = _met(probes.select("key", (F.col("h") + F.col("own").cast("long")).alias("id")), common)
     near = _pairs(met.where(F.size("owners") <= common))
     # refinement: entries of common keys get their rests back, which are cut and met in turn
-    many = met.where(F.size("owners") > common).select("key", "h").distinct()
-    owned = _owned(tau, deltas)
-    probes = F.arrays_zip(_keys(F.col("line"), F.col("n"), tau, deltas, F.lit(0)).alias("key"), _rests(F.col("line"), F.col("n"), tau).alias("rest"))
-    hot = many.withColumnRenamed("key", "k").join(texts, "h").select("h", "k", F.posexplode(probes).alias("place", "m")).where("m.key = k")
-    hot = hot.select("h", "k", F.col("place").isin([i for i, o in enumerate(owned) if o]).alias("own"), F.col("m.rest.delta").alias("delta"), F.col("m.rest.rest").alias("rest")).withColumn("n", F.length("rest"))
-    parts = None
-    for delta in deltas:
-        rows = hot.where(F.col("delta") == delta)
-        if delta == 0:  # rows of the line's own segments also have the index entries
-            indexed = _entries(F.col("h"), _keys(F.col("rest"), F.col("n"), tau, [0], F.col("k")), _owned(tau, [0]), rows.where("own"))
-            rows = rows.where("NOT own")
-            parts = indexed
-        free = _entries(F.col("h"), _keys(F.col("rest"), F.col("n"), tau, [delta], F.col("k")), [False], rows)
-        parts = parts.unionByName(free)
-    # what still shares a key agrees in two segments out of two cuts: all of it is verified
-    finer = parts.distinct()
+    many = met.where(F.size("owners") > common).select(F.col("key").alias("found"), "h").distinct()
+    again = _meets(texts.join(many, "h").withColumn("salt", F.lit(0).cast("long")), tau).where("key = found")
+    hot = again.withColumnRenamed("found", "salt")
+    rest = F.concat(F.substr("line", F.lit(1), F.col("at") - 1), F.substr("line", F.col("at") + F.col("size")))
+    hot = hot.select("h", "salt", F.col("own").alias("first_own"), F.col("delta").alias("d"), rest.alias("line")).withColumn("n", F.length("line"))
+    finer = _meets(hot, tau, F.col("d")).select("key", (F.col("h") + (F.col("own") & F.col("first_own")).cast("long")).alias("id")).distinct()
+    # what still shares a key agrees in segments of two cuts: all of it is verified
     left = finer.where(F.col("id").bitwiseAND(F.lit(1)) == 1).select("key", (F.col("id") - 1).alias("x"))
     right = finer.select("key", F.col("id").bitwiseAND(F.lit(-2).cast("long")).alias("y"))
     far = left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
