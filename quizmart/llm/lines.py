@@ -26,10 +26,10 @@ COMMON = 32
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, place, line, n, h): the lines to compare, without white space at their ends, their lengths
-    and an even 64-bit hash of each. A null text has no lines."""
-    cut = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("place", "raw"))
-    cut = cut.select("doc", "place", F.btrim("raw", F.lit(" \t\r\v\f")).alias("line"))
+    """(doc, t, place, line, n, h): the lines to compare, without white space at their ends, their
+    lengths and an even 64-bit hash of each; t is a hash of the whole text. A null text has no lines."""
+    cut = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("place", "raw"))
+    cut = cut.select("doc", "t", "place", F.btrim("raw", F.lit(" \t\r\v\f")).alias("line"))
     cut = cut.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
     return cut.withColumn("h", F.xxhash64("line").bitwiseAND(F.lit(-2).cast("long")))
 
@@ -162,21 +162,26 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed (the same or a linked line occurs earlier).
 
     Null and empty texts have no lines; lines under ``min_chars`` are not compared and have no row;
-    a null id sorts first; rows that repeat an id and text count as one occurrence each, of which
-    only the first place counts as first. Other columns are ignored.
+    a null id sorts first. Rows that share an id share its places: a line at the same place of
+    several of them is one occurrence. Other columns are ignored.
     """
+    return _occurrences(docs, id_col, text_col, tau, min_chars, common).withColumnsRenamed({"doc": id_col, "place": "line"}).drop("t")
+
+
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, tau: int, min_chars: int, common: int) -> DataFrame:
     classes = line_classes(docs, id_col, text_col, tau, min_chars, common)
-    found = lines(docs, id_col, text_col, min_chars).select("doc", "place", "h").join(classes, "h")
+    found = lines(docs, id_col, text_col, min_chars).select("doc", "t", "place", "h").join(classes, "h")
     here = F.struct("doc", "place")
-    return found.select(F.col("doc").alias(id_col), F.col("place").alias("line"), F.col("first.doc").alias("class_doc"), F.col("first.place").alias("class_line"), "n_links", (F.col("removed") | (here != F.col("first"))).alias("removed"))
+    return found.select("doc", "t", "place", F.col("first.doc").alias("class_doc"), F.col("first.place").alias("class_line"), "n_links", (F.col("removed") | (here != F.col("first"))).alias("removed"))
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
     """``docs`` with the removed lines cut out of the texts; all rows and columns stay. A text that
     keeps no line is empty."""
-    gone = duplicate_lines(docs, id_col, text_col, tau, min_chars, common).where("removed")
-    gone = gone.groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    gone = _occurrences(docs, id_col, text_col, tau, min_chars, common).where("removed")
+    gone = gone.groupBy(F.col("doc").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("place").alias("__gone"))
     text = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(text, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
+    same = docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__t"])
+    joined = docs.join(gone, same, "left")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

@@ -28,6 +28,8 @@ from . import common
 BROADCAST_BYTES = 32 << 20
 #: Partial wrappers of a host meet in so many groups first.
 GROUPS = 32
+#: A wrapper describes the outermost levels of a page; what is deeper belongs to the level above.
+DEPTH = 48
 #: Longest repeated group, in elements, that a page is searched for.
 PERIOD = 4
 
@@ -200,18 +202,20 @@ def fold(items: list[list]) -> list[list]:
     return items
 
 
-def elements(node: Node) -> list[list]:
+def elements(node: Node, depth: int = DEPTH) -> list[list]:
     """A node's children as wrapper elements; text parts that inline tags cut count as one text."""
     out: list[list] = []
+    if not depth:
+        return out
     for c in node.children:
         if isinstance(c, str):
             if c.isspace():
                 continue
             item = ["#text", 1, 1, [], zlib.crc32(c.strip().encode("utf-8", "replace"))]
         elif c.tag in BLOCK or c.tag in FURNITURE:
-            item = [c.sig, 1, 1, [] if c.tag in RAW else elements(c), 0]
+            item = [c.sig, 1, 1, [] if c.tag in RAW else elements(c, depth - 1), 0]
         else:
-            inner = elements(c)
+            inner = elements(c, depth - 1)
             for x in inner:
                 if x[0] != "#text":
                     out.append(x)
@@ -254,13 +258,16 @@ def region(wrapper: list[list]) -> list[str]:
         items = best[3]
 
 
-def _mains(node: Node, least: int, out: list[Node]) -> None:
-    for c in node.children:
-        if isinstance(c, Node) and not c.furniture:
-            if c.main >= least:
-                out.append(c)
-            else:
-                _mains(c, least, out)
+def _mains(node: Node, least: int) -> list[Node]:
+    """The outermost elements below that are marked as main at least so much, in page order."""
+    out, open_nodes = [], [node]
+    while open_nodes:
+        x = open_nodes.pop()
+        if x is not node and x.main >= least:
+            out.append(x)
+            continue
+        open_nodes += [c for c in reversed(x.children) if isinstance(c, Node) and not c.furniture]
+    return out
 
 
 def _at(node: Node, path: list[str]) -> list[Node]:
@@ -273,17 +280,22 @@ def _at(node: Node, path: list[str]) -> list[Node]:
     return nodes
 
 
-def _text(node: Node, out: list[str], inside: bool) -> None:
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif not (c.furniture or c.header and not inside):
-            block = c.tag in BLOCK
-            if block:
-                out.append("\n")
-            _text(c, out, inside)
-            if block:
-                out.append("\n")
+def _text(node: Node, inside: bool) -> str:
+    """The text below, with line feeds where blocks begin and end."""
+    out: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        if x is not node and (x.furniture or x.header and not inside):
+            continue
+        if x.tag in BLOCK:
+            out.append("\n")
+            todo.append("\n")
+        todo += reversed(x.children)
+    return "".join(out)
 
 
 def main_text(page: str, path: list[str]) -> str:
@@ -292,15 +304,9 @@ def main_text(page: str, path: list[str]) -> str:
     root = parse(page)
     found: list[Node] = []
     for least in (3, 2):
-        _mains(root, least, found)
-        if found:
-            break
-    inside = bool(found)
-    out: list[str] = []
-    for node in found or _at(root, path):
-        _text(node, out, inside)
-        out.append("\n")
-    return " ".join(html.unescape("".join(out)).split())
+        found = found or _mains(root, least)
+    texts = [_text(node, bool(found)) for node in found or _at(root, path)]
+    return " ".join(html.unescape("\n".join(texts)).split())
 
 
 def host_of(url: F.Column) -> F.Column:

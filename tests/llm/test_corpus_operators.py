@@ -167,6 +167,14 @@ def test_drop_duplicate_lines(spark):
     assert lines.duplicate_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    a, b, c = "first line of the text", "second line of the text, longer", "third one, unlike the others"
+    df = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{c}\n{a}"), (2, f"{b}\n{c}"), (None, c)], "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in lines.drop_duplicate_lines(df, min_chars=6).collect()}
+    # the null id sorts first; both rows with id 2 lose what occurs before
+    assert got == {(1, f"{a}\n{b}"), (2, ""), (None, c)}
+
+
 def brute_fingerprint(text):
     import re
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))

@@ -136,7 +136,7 @@ def test_language_without_labels():
     assert langid.fit([]).languages == ["und"] and langid.fit([("a b", "xx")]).languages == ["xx"]
 
 
-PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><body><header><a href=/>Site</a></header><nav><ul><li>m</ul></nav>
+PAGE = """<!doctype html><html><head><title>t</title><style>p{{}}</style></head><body><header><a href=/>Site</a></header><nav><ul><li>m</ul></nav>
 <div class="cookie-notice">We use</div><div id=wrap><div class="post-body"><h1>Title {i}</h1><p>one&nbsp;{i} &amp; <b>tw</b>o<br>three<p>four {i}</p>{more}<div class="share-buttons">Share</div>
 <form><p>Mail</p></form></div><div id="comments"><p>nice {i}</p></div></div><aside>More</aside><script>var t="</p>{i}";</script><footer>f</footer></body>"""
 
@@ -168,7 +168,7 @@ def test_pages_with_article(spark):
 
 
 def test_odd_pages(spark):
-    rows = [(1, None, None), (2, "", ""), (3, "not a url", "plain text < 3 & more"), (3, "not a url", "<p>unclosed <b>x <!-- c"), (None, "http://h/", "<article>a<script>b</article>"), (5, "http://h/", "<div>" * 400 + "deep")]
+    rows = [(1, None, None), (2, "", ""), (3, "not a url", "plain text < 3 & more"), (3, "not a url", "<p>unclosed <b>x <!-- c"), (None, "http://h/", "<article>a<script>b</article>"), (5, "http://h/", "<div>" * 20_000 + "deep")]
     got = wrappers.extract(spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert len(got) == len(rows)
     assert {r.text for r in got if r.page_id in (1, 2)} == {""}
