@@ -6,13 +6,15 @@ lengths of both narrow down. Segments are indexed by (length, segment number, co
 probes the index with the substrings that its length allows; what meets is verified by a banded
 edit distance whose band is held in the bits of one integer for each number of edits.
 
-Segments that many lines share would make all pairs of them meet. For these, the rest of the line
-(which must agree within TAU edits, too) is cut into TAU + 1 segments again, and lines meet only if
-one of those agrees as well.
+Segments that many lines share would make all pairs of them meet. Lines with such a segment meet
+there only if they also have the same characters in four of 2 TAU + 4 classes of characters, which
+lines within TAU edits always have.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from ..session import checkpoint_root
 TAU = 2
 #: Lines under this length (in code points, without white space at the ends) are not compared.
 MIN_CHARS = 32
-#: A segment in more lines than this is refined by segments of the rest.
+#: Lines that share a segment with more lines than this meet by their characters, too.
 COMMON = 32
 
 
@@ -39,26 +41,23 @@ def _probes(tau: int, delta: int) -> list[tuple[int, int]]:
     return [(i, s) for i in range(tau + 1) for s in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)]
 
 
-def _meets(rows: DataFrame, tau: int, delta: Column | None = None) -> DataFrame:
-    """``rows`` (line, n, salt and any others) with a row for every probe of the line: key; own (the
-    probe is a segment of the line itself, an index entry); ``delta``, how much shorter the other
-    line is (all up to tau, or the one given); at and size of the substring.
+def _meets(texts: DataFrame, tau: int) -> DataFrame:
+    """(h, key, own) for every probe of the lines (h, line, n); own: the probe is a segment of the line
+    itself, an index entry.
 
     A line of n characters has tau + 1 segments of n // (tau + 1) characters, the last n % (tau + 1)
-    of them one longer.
+    of them one longer; it is probed against lines that are 0 to tau characters shorter.
     """
     parts = tau + 1
     table = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d in range(parts) for i, s in _probes(tau, d)])
-    if delta is not None:
-        table = F.filter(table, lambda p: p["delta"] == delta)
-    out = rows.withColumn("p", F.explode(table)).withColumns({"delta": F.col("p.delta"), "i": F.col("p.i"), "shift": F.col("p.shift")}).drop("p")
+    out = texts.withColumn("p", F.explode(table)).withColumns({"delta": F.col("p.delta"), "i": F.col("p.i"), "shift": F.col("p.shift")}).drop("p")
     out = out.withColumn("target", F.col("n") - F.col("delta")).withColumn("over", parts - F.col("target") % parts)
     out = out.withColumn("size", ((F.col("target") - F.col("target") % parts) / parts).cast("int"))
     out = out.withColumn("at", 1 + F.col("i") * F.col("size") + F.greatest(F.lit(0), F.col("i") - F.col("over")) + F.col("shift"))
     out = out.withColumn("size", F.col("size") + (F.col("i") >= F.col("over")).cast("int"))
     out = out.where("target >= 1 AND at >= 1 AND at + size - 1 <= n")
-    out = out.withColumn("key", F.xxhash64("salt", "target", "i", F.substr("line", F.col("at"), F.col("size"))))
-    return out.withColumn("own", (F.col("delta") == 0) & (F.col("shift") == 0)).drop("i", "shift", "target", "over", "salt")
+    key = F.xxhash64("target", "i", F.substr("line", F.col("at"), F.col("size")))
+    return out.select("h", key.alias("key"), ((F.col("delta") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -117,21 +116,26 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def candidates(texts: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
     """Pairs (a, b), a < b, of line hashes that share a segment at fitting places."""
-    probes = _meets(texts.withColumn("salt", F.lit(0).cast("long")), tau)
+    probes = _meets(texts, tau)
     met = _met(probes.select("key", (F.col("h") + F.col("own").cast("long")).alias("id")), common)
     near = _pairs(met.where(F.size("owners") <= common))
-    # refinement: entries of common keys get their rests back, which are cut and met in turn
-    many = met.where(F.size("owners") > common).select(F.col("key").alias("found"), "h").distinct()
-    again = _meets(texts.join(many, "h").withColumn("salt", F.lit(0).cast("long")), tau).where("key = found")
-    hot = again.withColumnRenamed("found", "salt")
-    rest = F.concat(F.substr("line", F.lit(1), F.col("at") - 1), F.substr("line", F.col("at") + F.col("size")))
-    hot = hot.select("h", "salt", F.col("own").alias("first_own"), F.col("delta").alias("d"), rest.alias("line")).withColumn("n", F.length("line"))
-    finer = _meets(hot, tau, F.col("d")).select("key", (F.col("h") + (F.col("own") & F.col("first_own")).cast("long")).alias("id")).distinct()
-    # what still shares a key agrees in segments of two cuts: all of it is verified
-    left = finer.where(F.col("id").bitwiseAND(F.lit(1)) == 1).select("key", (F.col("id") - 1).alias("x"))
-    right = finer.select("key", F.col("id").bitwiseAND(F.lit(-2).cast("long")).alias("y"))
-    far = left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return near.unionByName(far).distinct()
+    many = met.where(F.size("owners") > common).select("h").distinct()
+    hot = _class_keys(texts.join(many, "h"), tau)
+    far = hot.select("key", F.col("h").alias("x")).join(hot.select("key", F.col("h").alias("y")), "key").where("x < y")
+    return near.unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
+
+
+def _class_keys(texts: DataFrame, tau: int) -> DataFrame:
+    """(h, key) of lines with common segments. Characters fall into 2 tau + 4 classes by hash. An edit
+    changes the characters of at most two classes, so lines within tau edits have the same
+    characters, counted, in four classes at least: a key for every four."""
+    n = 2 * tau + 4
+    chars = F.split("line", "")
+    # the sorted characters of each class
+    sums = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.xxhash64(F.array_join(F.array_sort(F.filter(chars, lambda c: F.pmod(F.xxhash64(c), F.lit(n)) == g)), "")))
+    fours = F.array(*[F.struct(*[F.lit(x).alias(f"c{k}") for k, x in enumerate(c)]) for c in combinations(range(n), 4)])
+    rows = texts.select("h", sums.alias("sums")).select("h", "sums", F.explode(fours).alias("c"))
+    return rows.select("h", F.xxhash64("c", *[F.get("sums", F.col(f"c.c{k}")) for k in range(4)]).alias("key"))
 
 
 def links(found: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
