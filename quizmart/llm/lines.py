@@ -140,7 +140,8 @@ def _class_keys(texts: DataFrame, tau: int) -> DataFrame:
 
 def links(found: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
     """Pairs (a, b), a < b, of hashes of different lines (column line, h) within ``tau`` edits."""
-    texts = found.groupBy("h").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    texts = found.groupBy("h").agg(F.first("line").alias("line"))
+    texts = texts.withColumn("n", F.length("line"))  # after the exchange, which all uses then share
     met = candidates(texts, tau, common)
     met = met.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b")
     return met.where(F.abs(F.col("nx") - F.col("ny")) <= tau).where(within(F.col("x"), F.col("y"), tau)).select("a", "b")
