@@ -40,7 +40,7 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose ``column`` holds at most about ``limit`` bytes (one row
     at least), so that the memory of a step does not follow the batch size."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -68,6 +68,18 @@ def ragged(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.n
     return values[np.repeat(offsets - at[:-1], lengths) + np.arange(at[-1])]
 
 
+_MEMO: dict[tuple, object] = {}
+
+
+def memo(key: tuple, build: Callable[[], object]):
+    """What ``build`` gives, kept by a worker process until it is asked for something else: stages
+    that follow each other in one worker do not add up their memos."""
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 #: Bytes of words that a memo holds at most before it starts anew.
 KEY_BYTES = 48 << 20
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -69,8 +68,11 @@ def _script_table() -> np.ndarray:
 SCRIPT_OF_BYTE = _script_table()
 
 
-@lru_cache(maxsize=2)
 def word_table(directory: str) -> common.WordTable:
+    return common.memo(("fertility", directory), lambda: _build(directory))
+
+
+def _build(directory: str) -> common.WordTable:
     """Words with the token ids of the byte-level vocabulary; columns: tokens, pieces of the other
     vocabulary, byte-fallback pieces among them."""
     import public_tokenizers

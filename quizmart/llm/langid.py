@@ -138,13 +138,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     return fit(out)
 
 
-_TABLES: dict[str, common.WordTable] = {}
-
-
 def _word_table(name: str, blob: bytes) -> common.WordTable:
     """The worker's memo of word vectors (logit sums, subwords, letters) for one model."""
-    if name not in _TABLES:
-        _TABLES.clear()
+
+    def build() -> common.WordTable:
         model: Model = pickle.loads(blob)
         vectors = (model.embeddings @ model.layer).astype(np.float64)
 
@@ -157,9 +154,11 @@ def _word_table(name: str, blob: bytes) -> common.WordTable:
                     out[i, -1] = len(at)
             return [()] * len(words), out
 
-        _TABLES[name] = common.WordTable(describe, len(model.languages) + 1, np.float64)
-        _TABLES[name].model = model
-    return _TABLES[name]
+        table = common.WordTable(describe, len(model.languages) + 1, np.float64)
+        table.model = model
+        return table
+
+    return common.memo(("langid", name), build)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

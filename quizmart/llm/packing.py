@@ -13,7 +13,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,11 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 CHUNK = 4096
 
 
-@lru_cache(maxsize=2)
 def word_table(path: str) -> common.WordTable:
+    return common.memo(("packing", path), lambda: _build(path))
+
+
+def _build(path: str) -> common.WordTable:
     """Words (between ASCII white space) with their token ids.
 
     The vocabulary's own rules never join tokens over white space and lower-case all letters, so
