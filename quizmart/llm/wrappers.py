@@ -7,7 +7,8 @@ groups or slots. Wrappers of parts of a host's pages are aligned with each other
 that tasks fold their pages first and only wrappers are shuffled.
 
 The wrapper names the region of the host's pages that holds the article; a page's main text is the
-text of that region without the furniture in it.
+text of that region without the furniture in it. Article and main elements weigh in the choice of the
+region; alone they decide only on hosts whose wrapper has no slots (one page, or copies of one, on which no element recurs).
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ GROUPS = 32
 DEPTH = 48
 #: Longest repeated group, in elements, that a page is searched for.
 PERIOD = 4
+#: Share of a level's weight that the region's next element holds at least; with an article or main
+#: element that pages have once, the smaller one is enough.
+SHARE, HINTED_SHARE = 0.75, 0.5
+#: Weights of slot text: in furniture by name, by the mark for main (0 to 3); and of constant text.
+BY_NAME, BY_MARK, CONSTANT = 0.1, (1.0, 1.5, 3.0, 4.0), 0.05
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,20 +64,22 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    """An element: tag, signature (tag and class), children (nodes and strings) and what its
-    attributes say about it."""
+    """An element: tag, signature (tag, classes without numbers and, after ``#``, the marks), children
+    (nodes and strings) and what its attributes say about it."""
 
-    __slots__ = ("children", "furniture", "header", "main", "sig", "tag")
+    __slots__ = ("children", "furniture", "header", "main", "named", "sig", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.sig, self.children = tag, tag, []
-        self.furniture, self.header = tag in FURNITURE, tag == "header"
+        self.furniture, self.header, self.named = tag in FURNITURE, tag == "header", False
         self.main = 3 if tag == "article" else 2 if tag == "main" else 0
         if attributes and not attributes.isspace():
             given = {k.lower(): (v[1:-1] if v[:1] in ("'", '"') else v) for k, v in ATTRIBUTE.findall(attributes)}
             names = given.get("class", "") + " " + given.get("id", "")
             if given.get("class"):
-                self.sig = f"{tag}.{'.'.join(sorted(given['class'].split()))}"
+                classes = sorted(c for c in given["class"].split() if not any(map(str.isdigit, c)))
+                if classes and tag not in ("html", "body"):
+                    self.sig = f"{tag}.{'.'.join(classes)}".replace("#", "")
             words = {w.lower() for w in NAME_WORD.findall(names)} if not names.isspace() else set()
             role = given.get("role", "").lower()
             style = given.get("style", "").replace(" ", "").lower()
@@ -82,6 +90,9 @@ class Node:
                 self.main = max(self.main, 2)
             elif words & MAIN_WORDS and tag in ("div", "section", "td"):
                 self.main = max(self.main, 1)
+        marks = "f" * (self.furniture and tag not in FURNITURE) + "n" * self.named + "h" * self.header + f"{self.main or ''}"
+        if marks:
+            self.sig += f"#{marks}"
 
 
 def parse(page: str) -> Node:
@@ -140,25 +151,26 @@ def parse(page: str) -> Node:
 
 
 # An element of a wrapper is a list: signature, least and most occurrences (0 or 1; 1 or 2 for "more"),
-# children, and for text the checksum of a constant or None for a slot. "()" is a repeated group.
+# children, for text the checksum of a constant or None for a slot, characters of text on all pages,
+# and the number of pages it is on. "()" is a repeated group.
 
 
 def _same(a: list, b: list) -> bool:
     return a[0] == b[0] and (a[0] != "()" or [x[0] for x in a[3]] == [x[0] for x in b[3]])
 
 
-def _merge(a: list, b: list) -> list:
-    """The element that matches what either matches."""
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), align(a[3], b[3]), a[4] if a[4] == b[4] else None]
+def _merge(a: list, b: list, pages: bool = True) -> list:
+    """The element that matches what either matches; ``pages``: they are from different pages."""
+    return [a[0], min(a[1], b[1]), max(a[2], b[2]), align(a[3], b[3], pages), a[4] if a[4] == b[4] else None, a[5] + b[5], a[6] + b[6] if pages else max(a[6], b[6])]
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
+def align(a: list[list], b: list[list], pages: bool = True) -> list[list]:
     """The sequence that matches what either sequence matches: equal elements meet along a longest
     common subsequence, others become optional."""
     if not a and not b:
         return []
     if len(a) == len(b) and all(map(_same, a, b)):
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [_merge(x, y, pages) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -167,7 +179,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and _same(a[i], b[j]):
-            out.append(_merge(a[i], b[j]))
+            out.append(_merge(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][0], 0, *a[i][2:]])
@@ -186,7 +198,7 @@ def fold(items: list[list]) -> list[list]:
         while i < len(items):
             j, group = i + period, None
             while j + period <= len(items) and all(_same(items[i + k], items[j + k]) for k in range(period)):
-                group = [_merge(x, y) for x, y in zip(group or items[i : i + period], items[j : j + period], strict=True)]
+                group = [_merge(x, y, False) for x, y in zip(group or items[i : i + period], items[j : j + period], strict=True)]
                 j += period
             if group is None:
                 out.append(items[i])
@@ -196,7 +208,7 @@ def fold(items: list[list]) -> list[list]:
                 out.append(group[0])
                 i = j
             else:
-                out.append(["()", 1, 2, group, 0])
+                out.append(["()", 1, 2, group, 0, 0, max(x[6] for x in group)])
                 i = j
         items = out
     return items
@@ -205,15 +217,16 @@ def fold(items: list[list]) -> list[list]:
 def elements(node: Node, depth: int = DEPTH) -> list[list]:
     """A node's children as wrapper elements; text parts that inline tags cut count as one text."""
     out: list[list] = []
-    if not depth:
-        return out
+    if not depth:  # what is not looked at is no constant
+        return [["#text", 1, 1, [], None, 0, 1]] if node.children else out
     for c in node.children:
         if isinstance(c, str):
             if c.isspace():
                 continue
-            item = ["#text", 1, 1, [], zlib.crc32(c.strip().encode("utf-8", "replace"))]
-        elif c.tag in BLOCK or c.tag in FURNITURE:
-            item = [c.sig, 1, 1, [] if c.tag in RAW else elements(c, depth - 1), 0]
+            text = c.strip()
+            item = ["#text", 1, 1, [], zlib.crc32(text.encode("utf-8", "replace")), len(text), 1]
+        elif c.tag in BLOCK or c.tag in FURNITURE or c.named:
+            item = [c.sig, 1, 1, [] if c.tag in RAW else elements(c, depth - 1), 0, 0, 1]
         else:
             inner = elements(c, depth - 1)
             for x in inner:
@@ -223,39 +236,120 @@ def elements(node: Node, depth: int = DEPTH) -> list[list]:
                 continue
             item = next(x for x in inner if x[0] == "#text")
         if item[0] == "#text" and out and out[-1][0] == "#text":
+            out[-1][5] += item[5]
             out[-1][4] = None if item[4] is None or out[-1][4] is None else zlib.crc32(str(item[4]).encode(), out[-1][4])
             continue
         out.append(item)
     return fold(out)
 
 
-def region(wrapper: list[list]) -> list[str]:
-    """Signatures on the way to the wrapper's main region: the element with the most text slots,
-    which its children share; a slot in a paragraph or heading counts more than one in a list."""
+def _marks(sig: str) -> tuple[str, str, int]:
+    """Tag, marks and mark for main of a signature."""
+    name, _, marks = sig.partition("#")
+    return name.split(".")[0], marks, int(marks[-1]) if marks[-1:].isdigit() else 0
 
-    def slots(items: list[list]) -> float:
-        total = 0.0
-        for sig, _, most, children, text in items:
-            probe = Node(sig.split(".")[0], f'class="{sig.partition(".")[2].replace(".", " ")}"')
-            if probe.furniture or probe.header:
-                continue
-            inside = slots(children) + (1.0 if sig == "#text" and text is None else 0.0)
-            total += inside * (2.0 if most > 1 and probe.tag == "p" else 0.5 if probe.tag in ("li", "td") else 1.0)
-        return total
 
-    path: list[str] = []
+def _weight(items: list[list], constant: float = CONSTANT) -> float:
+    """Characters of the text slots, more in paragraphs that recur and in what is marked as main,
+    fewer in lists, headers and what is furniture by its name; constant text counts little, but in
+    full in an element that is marked as the article and that pages have once."""
+    total = 0.0
+    for sig, _, most, children, text, chars, _ in items:
+        if sig == "#text":
+            total += chars * (1.0 if text is None else constant)
+            continue
+        tag, marks, main = _marks(sig)
+        if "f" in marks or tag in FURNITURE and tag != "form":
+            continue
+        once = main >= 2 and most == 1
+        inside = _weight(children, 1.0 if once else constant)
+        total += inside * (2.0 if most > 1 and tag == "p" else 0.5 if tag in ("li", "td") else 1.0) * (BY_NAME if tag == "form" or "n" in marks or "h" in marks else 1.0) * (BY_MARK[main] if once or main < 2 else 1.0)
+    return total
+
+
+def _slots(items: list[list]) -> bool:
+    """Whether there is text that differs from page to page, furniture by tag or role left out."""
+    for sig, _, _, children, text, _, _ in items:
+        tag, marks, _ = _marks(sig)
+        if "f" in marks or tag in FURNITURE and tag != "form":
+            continue
+        if sig == "#text" and text is None or _slots(children):
+            return True
+    return False
+
+
+def _titled(x: list) -> bool:
+    """Whether an element is or holds a heading of the first level that is no constant of the host."""
+    tag, marks, _ = _marks(x[0])
+    if tag in FURNITURE or "f" in marks or "n" in marks:
+        return False
+    return tag == "h1" and (_slots(x[3]) or x[6] < 2) or any(map(_titled, x[3]))
+
+
+def _constant(items: list[list], pages: int) -> tuple[bool, bool]:
+    """Whether all text below is the same on all of at least two and half the pages; whether there is any."""
+    same, some = True, False
+    for sig, _, _, children, text, _, on in items:
+        if sig == "#text":
+            same, some = same and text is not None and on >= max(2, pages / 2), True
+        else:
+            below = _constant(children, pages)
+            same, some = same and below[0], some or below[1]
+    return same, some
+
+
+def _furniture(items: list[list], pages: int, headers: bool) -> tuple[set[str], set[str]]:
+    """Signatures below that are furniture by name: those that the wrapper confirms (constant text on
+    the host's pages), and those that it does not."""
+    good, bad = set(), set()
+    for x in items:
+        marks = _marks(x[0])[1]
+        if "n" in marks or headers and "h" in marks:
+            same, some = _constant(x[3], pages)
+            (good if same and some else bad).add(x[0])
+        more = _furniture(x[3], pages, headers)
+        good |= more[0]
+        bad |= more[1]
+    return good, bad
+
+
+def region(wrapper: list[list]) -> tuple[list[list[str]], list[list[str]], list[str]] | None:
+    """The wrapper's main region, or None if it has no slots: signatures of each step on the way to it
+    (one of them is taken), those of the headings beside each step that belong to it, and signatures
+    in it that are confirmed as furniture.
+
+    A step leads to the element with most of the weight. The way ends where the weight parts, at the
+    outermost article on it, or else at the innermost main element."""
+    if not _slots(wrapper):
+        return None
+    path: list[tuple[list[str], list[str], int, list[list]]] = []
     items = wrapper
     while True:
-        scored = [(slots([x]), x) for x in items if x[0] != "#text"]
-        whole = slots(items)
-        if not scored or whole <= 0:
-            return path
-        score, best = max(scored, key=lambda s: s[0])
-        if score < 0.75 * whole or best[0] in ("p", "h1", "h2", "h3", "li", "blockquote", "pre"):
-            return path
-        if best[0] != "()":
-            path.append(best[0])
-        items = best[3]
+        options = [[x] for x in items if x[0] != "#text" and not (_marks(x[0])[2] == 3 and x[2] == 1)]
+        articles = [x for x in items if _marks(x[0])[2] == 3 and x[2] == 1]
+        options += [articles] if articles else []
+        whole = _weight(items)
+        if not options or whole <= 0:
+            break
+        score, best = max(((_weight(o), o) for o in options), key=lambda s: s[0])
+        tag, _, main = _marks(best[0][0])
+        hinted = main >= 2 and best[0][2] == 1
+        if score < (HINTED_SHARE if hinted else SHARE) * whole or tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre"):
+            break
+        below = [y for x in best for y in x[3]]
+        if tag != "()":
+            path.append(([x[0] for x in best], [x[0] for x in items if x not in best and x[0] != "()" and _titled(x)], main if hinted else 0, below))
+        if hinted and main == 3:
+            break
+        items = below
+    marked = [i for i, step in enumerate(path) if step[2] >= 2]
+    if marked:
+        path = path[: marked[-1] + 1]
+    inside = path[-1][3] if path else wrapper
+    pages = max(x[6] for x in wrapper)
+    good, bad = _furniture(inside, pages, not marked)
+    titled = any(map(_titled, inside))
+    return [p[0] for p in path], [[] if titled else p[1] for p in path], sorted(good - bad)
 
 
 def _mains(node: Node, least: int) -> list[Node]:
@@ -270,18 +364,38 @@ def _mains(node: Node, least: int) -> list[Node]:
     return out
 
 
-def _at(node: Node, path: list[str]) -> list[Node]:
-    nodes = [node]
-    for sig in path:
-        below = [c for x in nodes for c in x.children if isinstance(c, Node) and c.sig == sig]
-        if not below:
-            break
-        nodes = below
-    return nodes
+def _children(node: Node) -> Iterator[Node]:
+    """The elements below as a wrapper sees them: through inline elements."""
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            continue
+        if c.tag in BLOCK or c.tag in FURNITURE or c.named:
+            yield c
+        else:
+            todo += reversed(c.children)
+
+
+def _at(node: Node, steps: list[list[str]], beside: list[list[str]]) -> list[Node]:
+    """The nodes that the steps lead to, with the headings beside them, in page order. A page that
+    lacks a step is taken from the last one that it has."""
+    if not steps:
+        return [node]
+    below = list(_children(node))
+    if not any(c.sig in steps[0] for c in below):
+        return [node]
+    out: list[Node] = []
+    for c in below:
+        if c.sig in steps[0]:
+            out += _at(c, steps[1:], beside[1:])
+        elif c.sig in beside[0]:
+            out.append(c)
+    return out
 
 
-def _text(node: Node, inside: bool) -> str:
-    """The text below, with line feeds where blocks begin and end."""
+def _text(node: Node, drop: frozenset[str] | list[str], headers: bool = True) -> str:
+    """The text below without furniture and without ``drop``, with line feeds where blocks begin and end."""
     out: list[str] = []
     todo: list[Node | str] = [node]
     while todo:
@@ -289,7 +403,7 @@ def _text(node: Node, inside: bool) -> str:
         if isinstance(x, str):
             out.append(x)
             continue
-        if x is not node and (x.furniture or x.header and not inside):
+        if x is not node and (x.furniture or x.sig in drop or x.tag == "header" and not headers):
             continue
         if x.tag in BLOCK:
             out.append("\n")
@@ -298,14 +412,25 @@ def _text(node: Node, inside: bool) -> str:
     return "".join(out)
 
 
-def main_text(page: str, path: list[str]) -> str:
-    """The article's text: of the page's article or main elements, or else of the region where the
-    host's wrapper has its slots, without furniture."""
-    root = parse(page)
-    found: list[Node] = []
+def _marked(root: Node) -> list[Node]:
+    """The page's article, or else its main element, or else its articles if they hold most of its
+    text; the page if none does."""
     for least in (3, 2):
-        found = found or _mains(root, least)
-    texts = [_text(node, bool(found)) for node in found or _at(root, path)]
+        found = [x for x in _mains(root, least) if x.main == least]
+        if len(found) == 1:
+            return found
+    found = _mains(root, 3)
+    return found if found and 2 * sum(len(_text(x, [])) for x in found) >= len(_text(root, [])) else [root]
+
+
+def main_text(page: str, where: tuple | None) -> str:
+    """The article's text, without furniture: of the region that the host's wrapper names, or else
+    (the wrapper has no slots) of the page's article or main elements."""
+    root = parse(page)
+    if where:
+        texts = [_text(node, where[2]) for node in _at(root, where[0], where[1])]
+    else:
+        texts = [_text(node, [], node is not root) for node in _marked(root)]
     return " ".join(html.unescape("\n".join(texts)).split())
 
 
@@ -388,8 +513,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for part in common.slices(batch, "html"):
                 rows = []
                 for page, url, raw, host, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.byte_column(part, "html"), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                    path = paths.value.get(host, []) if paths else region(_load(blob))
-                    text = main_text(raw.decode("utf-8", "replace"), path) if raw else ""
+                    where = paths.value.get(host) if paths else region(_load(blob))
+                    text = main_text(raw.decode("utf-8", "replace"), where) if raw else ""
                     rows.append((page, url, text, len(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PAGES, strict=True)], schema=PAGES)
 

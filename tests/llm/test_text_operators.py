@@ -203,3 +203,21 @@ def test_chat_parts(spark):
     assert r.n_attachment_tokens == 800
     s = r.loss_spans[0]
     assert r.formatted[s.start : s.end] == "<|image|>"
+
+
+def texts_of(spark, pages, url="https://h.example/"):
+    rows = [(i, f"{url}{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_wrapper_decides_before_article_elements(spark):
+    cards = "".join("<article class=card><h3>Teaser {i}%d</h3></article>" % k for k in range(3))
+    page = "<html><body class='page-{i}'><h1>Title {i}</h1><div class=wrap><div class=entry><p>Long text number {i} of the host.<p>It goes on with {i}.</div>" + cards + "</div><footer>f{i}</footer></body></html>"
+    assert texts_of(spark, [page.format(i=i) for i in range(6)]) == [f"Title {i} Long text number {i} of the host. It goes on with {i}." for i in range(6)]
+    assert texts_of(spark, [page.format(i=1)]) == ["Title 1 Long text number 1 of the host. It goes on with 1."]
+    # copies of one page give no slots: its article
+    assert texts_of(spark, ["<div>x<article>text</article></div>"] * 2) == ["text"] * 2
+    root = wrappers._all(wrappers.elements(wrappers.parse(page.format(i=i))) for i in range(6))
+    assert wrappers.region(root)[0][-1] == ["div.entry#1"]
+    assert wrappers.region(wrappers.elements(wrappers.parse("<div>x<article>text</article></div>"))) is None
