@@ -49,11 +49,13 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"br", "body", "html"}
 #: An open one of the same set ends where the next begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FURNITURE = frozenset("nav aside footer form script style noscript template iframe svg canvas button select textarea input object embed dialog menu head title noembed noframes math audio video map".split())
+FURNITURE = frozenset("nav aside footer form script style noscript template iframe svg canvas button select textarea input object embed dialog menu head title noembed noframes audio video map".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Names that furniture often has; they count only where the wrapper confirms them, never on headings.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer footers toolbar widget widgets related recommended recommendations trending comment comments reply replies respond disqus discussion pagination pager skip".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Furniture outside the article only: inside, a header holds the article's title.
 HEADERS = frozenset("header headers masthead topbar".split())
 MAIN_WORDS = frozenset("article post entry story content main body text".split())
@@ -83,8 +85,9 @@ class Node:
             words = {w.lower() for w in NAME_WORD.findall(names)} if not names.isspace() else set()
             role = given.get("role", "").lower()
             style = given.get("style", "").replace(" ", "").lower()
-            if tag not in ("html", "body") and (words & FURNITURE_WORDS or role in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style):
-                self.furniture = True
+            if tag not in ("html", "body"):
+                self.furniture |= role in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style
+                self.named = bool(words & FURNITURE_WORDS) and tag not in HEADINGS
             self.header |= bool(words & HEADERS)
             if role == "main" or given.get("itemprop") == "articleBody":
                 self.main = max(self.main, 2)

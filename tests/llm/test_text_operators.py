@@ -221,3 +221,20 @@ def test_wrapper_decides_before_article_elements(spark):
     root = wrappers._all(wrappers.elements(wrappers.parse(page.format(i=i))) for i in range(6))
     assert wrappers.region(root)[0][-1] == ["div.entry#1"]
     assert wrappers.region(wrappers.elements(wrappers.parse("<div>x<article>text</article></div>"))) is None
+
+
+def test_furniture_words_need_the_wrapper(spark):
+    named = '<h2 id="related-work">Related {i}</h2><section id="discussion"><p>Discussed {i}</section><div class="share-price">At {i}</div><p>So <math><mi>x</mi></math> is {i}.<h3 id=how-to-register>How</h3>'
+    want = "Related {i} Discussed {i} At {i} So x is {i}. How"
+    share = '<div class="share-buttons">Share this</div>'
+    for body in (
+        '<div class="site has-sidebar"><article class="post category-notices"><h1>T{i}</h1>%s</article><div class=sidebar>More {i}</div></div>',
+        '<div class="site has-sidebar"><div class=entry><h1>T{i}</h1>%s</div><div class=sidebar>More {i}</div></div>',
+    ):
+        page = body % (named + share)
+        assert texts_of(spark, [page.format(i=i) for i in range(5)]) == [f"T{i} " + want.format(i=i) for i in range(5)]
+        # nothing confirms a name on a host's only page
+        assert (f"T7 {want.format(i=7)} Share this") in texts_of(spark, [page.format(i=7)])[0]
+    # a named part of one page of a host is no constant
+    pages = [f"<article><h1>T{i}</h1><p>p{i}" + ("<div class=notice>Only here</div>" if i == 3 else "") + "</article>" for i in range(5)]
+    assert texts_of(spark, pages)[3] == "T3 p3 Only here"
