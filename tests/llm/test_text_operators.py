@@ -238,3 +238,22 @@ def test_furniture_words_need_the_wrapper(spark):
     # a named part of one page of a host is no constant
     pages = [f"<article><h1>T{i}</h1><p>p{i}" + ("<div class=notice>Only here</div>" if i == 3 else "") + "</article>" for i in range(5)]
     assert texts_of(spark, pages)[3] == "T3 p3 Only here"
+
+
+def test_learned_bands_reject_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(1)
+    lines = base64.encodebytes(rng.bytes(1500)).decode()
+    words = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in rng.integers(3, 10, 300))
+    digests = " ".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(40))
+    junk = [(f"{x}", lang) for x in (lines, words, digests) for lang in ("en", "de", "fr", "es")]
+    for lang in ("fr", "es"):  # UTF-8 read as Latin-1
+        text = docs.where((F.col("lang") == lang) & F.length("text").between(4000, 9000)).orderBy("doc_id").first().text
+        junk.append((text.encode().decode("latin-1"), lang))
+    both = docs.unionByName(spark.createDataFrame([(10**6 + i, t, lang) for i, (t, lang) in enumerate(junk)], "doc_id long, text string, lang string"))
+    rows = {r.doc_id: r for r in fertility.quality_rules(both).collect()}
+    assert {rows[10**6 + i].reason for i in range(len(junk))} == {"chars_per_token"}
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()
+    assert len(clean) > 100 and all(rows[r.doc_id].kept or rows[r.doc_id].base_failed for r in clean)
+    kept = {r.doc_id for r in fertility.keep_good(both).select("doc_id").collect()}
+    assert kept == {i for i, r in rows.items() if r.kept}
