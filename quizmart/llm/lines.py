@@ -1,6 +1,8 @@
 """Operator 3, line deduplication by a segment-partition edit join. DataFrame functions only.
 
-Two lines are near duplicates if at most TAU edits turn one into the other. A line is cut into
+Equal lines of any length are duplicates. Two lines are near duplicates if at most TAU edits turn one
+into the other, and of shorter lines fewer: as many as the shorter has shares of MIN_CHARS / TAU code
+points. A line is cut into
 TAU + 1 segments; a line within TAU edits must contain one of them unchanged, at a place that the
 lengths of both narrow down. Segments are indexed by (length, segment number, content); every line
 probes the index with the substrings that its length allows; what meets is verified by a banded
@@ -21,14 +23,15 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_root
 
 TAU = 2
-#: Lines under this length (in code points, without white space at the ends) are not compared.
+#: Length (in code points, without white space at the ends) from which TAU edits are allowed: 1 edit from
+#: 16 on, 2 from 32 on; shorter lines are compared for equality.
 MIN_CHARS = 32
 #: Lines that share a segment with more lines than this meet by their characters, too.
 COMMON = 32
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, t, place, line, n, h): the lines to compare, without white space at their ends, their
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
+    """(doc, t, place, line, n, h): the lines of at least ``min_chars`` code points, without white space at their ends, their
     lengths and an even 64-bit hash of each; t is a hash of the whole text. A null text has no lines."""
     cut = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("place", "raw"))
     cut = cut.select("doc", "t", "place", F.btrim("raw", F.lit(" \t\r\v\f")).alias("line"))
@@ -138,23 +141,44 @@ def _class_keys(texts: DataFrame, tau: int) -> DataFrame:
     return rows.select("h", F.xxhash64("c", *[F.get("sums", F.col(f"c.c{k}")) for k in range(4)]).alias("key"))
 
 
-def links(found: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of different lines (column line, h) within ``tau`` edits."""
+def _distinct(found: DataFrame) -> DataFrame:
+    """(h, line, n) of the different lines."""
     texts = found.groupBy("h").agg(F.first("line").alias("line"))
-    texts = texts.withColumn("n", F.length("line"))  # after the exchange, which all uses then share
+    return texts.withColumn("n", F.length("line"))  # after the exchange, which all uses then share
+
+
+def _linked(texts: DataFrame, tau: int, common: int) -> DataFrame:
+    """Pairs (a, b), a < b, of hashes of lines within ``tau`` edits, with their lengths."""
     met = candidates(texts, tau, common)
     met = met.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b")
-    return met.where(F.abs(F.col("nx") - F.col("ny")) <= tau).where(within(F.col("x"), F.col("y"), tau)).select("a", "b")
+    return met.where(F.abs(F.col("nx") - F.col("ny")) <= tau).where(within(F.col("x"), F.col("y"), tau)).select("a", "b", "nx", "ny")
+
+
+def links(found: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
+    """Pairs (a, b), a < b, of hashes of different lines (column line, h) within ``tau`` edits."""
+    return _linked(_distinct(found), tau, common).select("a", "b")
+
+
+def near_links(found: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
+    """Pairs (a, b), a < b, of hashes of different lines within the edits that the shorter one allows:
+    e from min_chars * e / tau code points on, ``tau`` at most."""
+    out = links(found.where(F.col("n") >= min_chars), tau, common)
+    for edits in range(1, tau):
+        first, end = (max(edits + 1, -(-min_chars * e // tau)) for e in (edits, edits + 1))
+        if first < min(end, min_chars):
+            short = _linked(_distinct(found.where(F.col("n").between(first, end - 1 + edits))), edits, common)
+            out = out.unionByName(short.where(F.least("nx", "ny") < end).select("a", "b"))
+    return out
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
     """One row per distinct line: h, doc and place of its first occurrence (by document id, then
-    line number), n_lines (occurrences), n_links (other lines within ``tau`` edits) and removed: an
-    earlier line is within ``tau`` edits."""
+    line number), n_lines (occurrences), n_links (other lines within the edits allowed) and
+    removed: an earlier line is within them."""
     checkpoint_root(docs.sparkSession)
-    found = lines(docs, id_col, text_col, min_chars)
+    found = lines(docs, id_col, text_col)
     classes = found.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n_lines")).checkpoint()
-    linked = links(found, tau, common)
+    linked = near_links(found, tau, min_chars, common)
     linked = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     other = classes.select(F.col("h").alias("b"), F.col("first").alias("other"))
     earlier = linked.join(other, "b").groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
@@ -162,12 +186,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
-    """One row per compared line of the documents: ``id_col``, line (number from 0), class_doc and
-    class_line (first occurrence of the same line), n_links (other lines within ``tau`` edits) and
-    removed (the same or a linked line occurs earlier).
+    """One row per line of the documents that is not blank: ``id_col``, line (number from 0), class_doc and
+    class_line (first occurrence of the same line), n_links (other lines within the edits that the
+    shorter allows: ``tau`` from ``min_chars`` code points on, fewer below) and removed (the same or a linked line occurs earlier).
 
-    Null and empty texts have no lines; lines under ``min_chars`` are not compared and have no row;
-    a null id sorts first. Rows that share an id share its places: a line at the same place of
+    Null and empty texts have no lines; blank lines part paragraphs and have no row; a null id sorts first. Rows that share an id share its places: a line at the same place of
     several of them is one occurrence. Other columns are ignored.
     """
     return _occurrences(docs, id_col, text_col, tau, min_chars, common).withColumnsRenamed({"doc": id_col, "place": "line"}).drop("t")
@@ -175,7 +198,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, tau: int, min_chars: int, common: int) -> DataFrame:
     classes = line_classes(docs, id_col, text_col, tau, min_chars, common)
-    found = lines(docs, id_col, text_col, min_chars).select("doc", "t", "place", "h").join(classes, "h")
+    found = lines(docs, id_col, text_col).select("doc", "t", "place", "h").join(classes, "h")
     here = F.struct("doc", "place")
     return found.select("doc", "t", "place", F.col("first.doc").alias("class_doc"), F.col("first.place").alias("class_line"), "n_links", (F.col("removed") | (here != F.col("first"))).alias("removed"))
 

@@ -175,6 +175,28 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert got == {(1, f"{a}\n{b}"), (2, ""), (None, c)}
 
 
+def test_short_lines(spark):
+    texts = ["All rights reserved.", "Share this", "Share thus", "All rights reserved!", "All right reserved!", "}", "}", "Share this", "  All rights reserved.", "x" * 31, "x" * 32, "x" * 33, "x" * 29 + "yzx", "x" * 30 + "yz"]
+    df = spark.createDataFrame([(i, f"{t}\n\n") for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in lines.duplicate_lines(df).collect()}
+    assert len(rows) == len(texts)  # a row for every line, whatever its length
+    brute = {i: any(x == t.strip() or distance(x, t.strip()) <= min(2, min(len(x), len(t.strip())) // 16) for x in (y.strip() for y in texts[:i])) for i, t in enumerate(texts)}
+    assert {i: r.removed for i, r in rows.items()} == brute
+    assert [i for i, gone in brute.items() if gone] == [3, 4, 6, 7, 8, 10, 11, 12, 13]
+    kept = {r.doc_id: r.text for r in lines.drop_duplicate_lines(df).collect()}
+    assert kept == {i: "\n" if brute[i] else f"{t}\n\n" for i, t in enumerate(texts)}
+
+
+def test_short_links_equal_brute_force(spark):
+    docs = spark.createDataFrame(line_docs(), "doc_id long, text string")
+    found = lines.lines(docs)
+    h = {r.line: r.h for r in found.select("line", "h").distinct().collect()}
+    texts = sorted(h)
+    expected = {(min(h[a], h[b]), max(h[a], h[b])) for i, a in enumerate(texts) for b in texts[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 12)}
+    for common in (32, 1):
+        assert sorted((r.a, r.b) for r in lines.near_links(found, 2, 24, common).collect()) == sorted(expected)
+
+
 def brute_fingerprint(text):
     import re
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
