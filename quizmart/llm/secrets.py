@@ -31,8 +31,12 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "nested")
 #: A JSON object's first byte in base64 is ``e`` and one of ``w`` to ``z``.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[w-z][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+#: The shortest base span has 14 bytes (``token`` or an equally short name, a sign and 8 characters):
+#: 19 base64 characters, 28 hex digits.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{19,}|[A-Za-z0-9_-]{19,})={0,2}")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{28,}")
+#: Line ends and slashes of a PEM body as JSON, env strings and shells write them.
+ESCAPED_END, ESCAPED_SLASH = re.compile(r"\\+[nrt]|\\+[\x20\t\r]*(?=\n|\Z)|\r"), re.compile(r"\\+/")
 #: Decodings within decodings that are followed.
 DEPTH = 2
 
@@ -130,7 +134,8 @@ def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]
             stop = text.find("-----", m.end())
             tail = f"-----END {m.group(1)}-----"
             if stop >= 0 and text.startswith(tail, stop):
-                lines = [x for x in text[m.end() : stop].split("\n") if ":" not in x]  # header lines
+                body = ESCAPED_SLASH.sub("/", ESCAPED_END.sub("\n", text[m.end() : stop]))
+                lines = [x for x in body.split("\n") if ":" not in x]  # header lines
                 data = decode64("".join("".join(lines).split()))
                 if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in text[m.end() : m.end() + 60]):
                     out.append((m.start(), stop + len(tail), "pem"))
