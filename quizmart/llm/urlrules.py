@@ -112,7 +112,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     if not n:
         return []
     labels = [r[0] for r in labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n")).where(f"n >= {min_count}").select("label").collect()]
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    least = max(min_support, (min_count - 0.5) / n)  # what is rarer than min_count need not be mined
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     names = [f"label={x}" for x in labels]
     found = model.associationRules.where(F.col("consequent")[0].isin(names) & ~F.exists("antecedent", lambda x: x.startswith("label=")))
     count = F.round(F.col("support") * n).cast("long")
