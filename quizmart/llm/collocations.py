@@ -30,11 +30,12 @@ TOP = 2000
 COVER = (80, 100)
 SCALE = 2_000_000
 #: Bytes of text of a shard (at least one document).
-SHARD = 8 << 20
+SHARD = 6 << 20
 #: Input bytes per prefix range.
-RANGE = 8 << 20
-#: Entries that a range gathers before it adds them up.
-GATHER = 3 << 20
+RANGE = 3 << 20
+#: Entries that a range gathers before it adds them up, and that a shard sends at a time.
+GATHER = 1 << 20
+SEND = 1 << 18
 #: A text gives one sample of the phrases, to set the bounds, per so many characters on average.
 SAMPLE_CHARS = 1 << 15
 NO_LANG = "und"
@@ -96,11 +97,11 @@ def _preorder(words: list[bytes], layers: list[_Layer]) -> Automaton:
 
 def _layer(parent: np.ndarray, label: np.ndarray, count: np.ndarray | None, width: int) -> tuple[_Layer, np.ndarray]:
     """Adds up equal (parent, label); also the number of every input's entry."""
-    key, inverse, times = np.unique(parent * width + label, return_inverse=True, return_counts=True)
+    key, inverse, times = np.unique(parent.astype(np.int64) * width + label, return_inverse=True, return_counts=True)
     if count is not None:
         times = np.zeros(len(key), np.int64)
         np.add.at(times, inverse, count)
-    return _Layer(key // width, key % width, times), inverse
+    return _Layer((key // width).astype(np.int32), (key % width).astype(np.int32), times), inverse
 
 
 class Shard:
@@ -142,7 +143,7 @@ class Shard:
 
 def _parents(depth: np.ndarray) -> np.ndarray:
     """The place of every entry's parent (itself at depth 0)."""
-    places = np.arange(len(depth))
+    places = np.arange(len(depth), dtype=np.int32)
     parent = places.copy()
     for d in range(1, int(depth.max(initial=0)) + 1):
         above = np.maximum.accumulate(np.where(depth == d - 1, places, -1))
@@ -156,10 +157,10 @@ def union(automata: list[Automaton]) -> Automaton:
         return automata[0]
     words = sorted(set().union(*(a.words for a in automata)))
     place = {w: i for i, w in enumerate(words)}
-    label = np.concatenate([np.fromiter(map(place.__getitem__, a.words), np.int64, len(a.words))[a.label] for a in automata])
+    label = np.concatenate([np.fromiter(map(place.__getitem__, a.words), np.int32, len(a.words))[a.label] for a in automata])
     depth, count = np.concatenate([a.depth for a in automata]), np.concatenate([a.count for a in automata])
     parent = _parents(depth)
-    rank = np.zeros(len(depth), np.int64)
+    rank = np.zeros(len(depth), np.int32)
     layers = []
     for d in range(int(depth.max(initial=0)) + 1):
         at = np.flatnonzero(depth == d)
@@ -215,13 +216,14 @@ PACKED_DDL = "words binary, sizes binary, depth binary, label binary, count bina
 
 def pack(a: Automaton) -> tuple[bytes, ...]:
     sizes = np.fromiter(map(len, a.words), "<u4", len(a.words))
-    return b"".join(a.words), sizes.tobytes(), a.depth.tobytes(), a.label.astype("<i4").tobytes(), a.count.astype("<i8").tobytes()
+    width = "<i4" if a.count.max(initial=0) < 1 << 31 else "<i8"
+    return b"".join(a.words), sizes.tobytes(), a.depth.tobytes(), a.label.astype("<i4").tobytes(), a.count.astype(width).tobytes()
 
 
 def unpack(row: Iterable[bytes]) -> Automaton:
     words, sizes, depth, label, count = row
     ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-    return Automaton([words[s:e] for s, e in zip([0, *ends], ends, strict=False)], np.frombuffer(depth, np.uint8), np.frombuffer(label, "<i4"), np.frombuffer(count, "<i8"))
+    return Automaton([words[s:e] for s, e in zip([0, *ends], ends, strict=False)], np.frombuffer(depth, np.uint8), np.frombuffer(label, "<i4"), np.frombuffer(count, "<i4" if len(count) == 4 * len(depth) else "<i8"))
 
 
 class Transducer:
@@ -349,7 +351,13 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shards(bounds: Broadcast, longest: int, shard: int):
     def flush(held: Shard) -> Iterator[pa.RecordBatch]:
         if any(map(len, held.ids)):
-            rows = [(r, *pack(part)) for r, part in cut(held.automaton(), bounds.value)]
+            rows, size = [], 0
+            for r, part in cut(held.automaton(), bounds.value):
+                rows.append((r, *pack(part)))
+                size += len(part.depth)
+                if size > SEND:
+                    yield _rows([("range", pa.int32()), *PACKED], rows)
+                    rows, size = [], 0
             if rows:
                 yield _rows([("range", pa.int32()), *PACKED], rows)
 
@@ -382,16 +390,12 @@ def frequent(a: Automaton, least: int) -> Automaton:
 
 
 def _merge(least: int):
-    """Adds up the cuts of every range of a partition (rows come sorted by range)."""
+    """Adds up the cuts of a partition's one range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                r, *row = (batch.column(k)[i].as_py() for k in range(6))
-                if r != now and held:
-                    yield _rows([("range", pa.int32()), *PACKED], [(now, *pack(frequent(union(held), least)))])
-                    held, size = [], 0
-                now = r
+                now, *row = (batch.column(k)[i].as_py() for k in range(6))
                 held.append(unpack(row))
                 size += len(held[-1].depth)
                 if size > GATHER and len(held) > 1 and size > 2 * len(held[0].depth):
@@ -471,7 +475,7 @@ def scored_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     known = spark.sparkContext.broadcast(bounds)  # one phrase per range, as in any range partitioning
     packed = f"range int, {PACKED_DDL}"
     cuts = source.mapInArrow(_shards(known, longest, shard), packed)
-    merged = cuts.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range").mapInArrow(_merge(min_count), packed)
+    merged = cuts.repartitionById(len(bounds) + 1, F.col("range")).mapInArrow(_merge(min_count), packed)
     path = common.scratch(spark, "counts")
     merged.write.parquet(path)
     counts = spark.read.schema(packed).parquet(path)
