@@ -339,6 +339,9 @@ def q_game_snapshot(spark, d):
     return snap
 
 
+from quizmart.operators import chains  # noqa: E402
+
+
 @query("j1_repeated_changes")
 def q_repeated_changes(spark, d):
     """Games with two changes in one set: the first applies, the second is quarantined."""
@@ -349,6 +352,41 @@ def q_repeated_changes(spark, d):
     return dec.select(F.col("old_game_id").alias("game_id"), "old_status", "new_status", "reason")
 
 
+def turn_changes(spark, d):
+    """Every order line changes a game's status, a third of them that of game 1."""
+    status = (F.when(F.col("l_tax") == 0.08, F.lit(None)).when(F.col("l_quantity") == 50, "bogus").when(F.col("l_returnflag") == "R", "active")
+              .when(F.col("l_returnflag") == "A", "finished").otherwise("waiting"))
+    return sv.table(spark, d, "lineitem").select(
+        F.when(F.col("l_suppkey") % 3 == 0, F.lit(1)).otherwise(F.col("l_orderkey")).cast("bigint").alias("game_id"), status.alias("status"),
+        F.col("l_shipdate").alias("changed_at"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("tie1"), F.col("l_extendedprice").alias("tie2"))
+
+
+@query("j1_chained_changes")
+def q_chained_changes(spark, d):
+    """All changes of a game applied in turn, one game with a third of them."""
+    order = ["changed_at", "seq", "tie1", "tie2"]
+    _snap, dec, _rej = chains.apply_game_changes(sv.games(spark, d), turn_changes(spark, d), NOW, order)
+    return dec.select(F.col("old_game_id").alias("game_id"), *order, "old_status", "new_status", "old_start_date", "new_start_date",
+                      "new_finish_date", "reason")
+
+
+@query("j1_chained_snapshot")
+def q_chained_snapshot(spark, d):
+    return chains.apply_game_changes(sv.games(spark, d), turn_changes(spark, d), NOW, ["changed_at", "seq", "tie1", "tie2"])[0]
+
+
+@query("j2_chained_reviews")
+def q_chained_reviews(spark, d):
+    """Every event reviews a question: pages set it back, the others judge it, some without an admin."""
+    e = sv.events(spark, d)
+    status = F.when(F.col("kind") == "page", "pending").when(F.col("kind") == "answer", "rejected").when(F.col("kind") == "disconnect", "bogus") \
+        .when(F.col("kind") == "requestJoin", F.lit(None)).otherwise("approved")
+    admin = F.when(F.col("k") % 3 > 0, F.col("k") % 10)
+    reviews = e.select((F.col("user_id") % 300).alias("question_id"), "ts", "event_id", status.alias("status"), admin.cast("bigint").alias("checked_by_adminid"))
+    _snap, dec, _rej = chains.apply_question_reviews(sv.questions(spark, d).drop("text"), reviews, NOW, ["ts", "event_id"])
+    return dec.select(F.col("old_question_id").alias("question_id"), "event_id", "old_status", "new_status", "old_checked_by_adminid", "new_check_date", "reason")
+
+
 def question_review_changes(spark, d):
     q = sv.questions(spark, d).filter(F.col("question_id") % 2 == 0)
     return q.select("question_id", F.when(F.col("question_id") % 4 == 0, "approved").otherwise("rejected")
