@@ -811,34 +811,35 @@ def q_table_profile(spark, d):
 
 
 # ---------------------------------------------------------------- K streaming twins (availableNow runs)
-from quizmart.streaming import streams  # noqa: E402
+from quizmart.streaming import carried, streams  # noqa: E402
 
 
 PART_BYTES = 128 << 20
+FEED_BATCHES = 3
 
 
 def feed(spark, d, name, order_col):
-    """A table as a feed: files in the order of ``order_col``, written one after another, so that a
-    stream of one file a trigger takes them in that order over at least three micro-batches."""
+    """A table as a feed: files in the order of ``order_col`` (then of the other columns, so that a hot
+    value is spread over files), written by one range-partitioned job. A stream takes files by time,
+    so they get times in their order. Returns the folder and the number of files."""
     t = sv.table(spark, d, name)
-    n = max(3, input_partitions(t, PART_BYTES))
-    cuts = t.agg(F.percentile_approx(order_col, [k / n for k in range(1, n)], 10000)).first()[0] or []
+    n = max(FEED_BATCHES, input_partitions(t, PART_BYTES))
+    order = [F.col(order_col).asc_nulls_first(), *[F.col(c) for c, kind in t.dtypes if c != order_col and not kind.startswith(("array", "map"))]]
     root = scratch_path(spark, f"feed-{name}")
-    for k in range(len(cuts) + 1):
-        part = t
-        if k > 0:
-            part = part.filter(F.col(order_col) > F.lit(cuts[k - 1]))
-        if k < len(cuts):
-            below = F.col(order_col) <= F.lit(cuts[k])
-            part = part.filter(below | F.col(order_col).isNull() if k == 0 else below)
-        part.coalesce(1).write.parquet(f"{root}/{k}")
-    return root
+    t.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for k, f in enumerate(files):
+        fs.setTimes(f, 1_700_000_000_000 + 1000 * k, -1)
+    return root, len(files)
 
 
 def feed_stream(spark, d, name, order_col):
-    schema = sv.table(spark, d, name).schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    return r.parquet(feed(spark, d, name, order_col))
+    """The feed as a stream of ``FEED_BATCHES`` micro-batches, however many files it has."""
+    root, n = feed(spark, d, name, order_col)
+    r = spark.readStream.schema(sv.table(spark, d, name).schema).option("maxFilesPerTrigger", max(1, -(-n // FEED_BATCHES)))
+    return r.parquet(root)
 
 
 def answer_stream(spark, d):
@@ -880,6 +881,36 @@ def q_stream_lobby(spark, d):
     return spark.read.parquet(out).withColumn("paired_at", F.col("paired_at").cast("timestamp_ntz"))
 
 
+@query("k3_hot_lobby")
+def q_stream_hot_lobby(spark, d):
+    """All events in one lobby, paired by the distributed fold of each micro-batch."""
+    out = scratch_path(spark, "k3-hot")
+    e = event_stream(spark, d).withColumn("lobby", F.lit("all"))
+    streams.run_available_now(carried.stream_lobby_pairs(e, out, scratch_path(spark, "k3-hot-state")), "k3hot", spark)
+    p = spark.read.parquet(out).withColumn("paired_at", F.col("paired_at").cast("timestamp_ntz"))
+    return p.select("lobby", "group_no", "player1", "player2", "paired_at", "event_id")
+
+
+def connections(spark, d):
+    out = scratch_path(spark, "k4-connections")
+    e = event_stream(spark, d).drop("text", "lobby")
+    streams.run_available_now(carried.stream_connections(e, out, scratch_path(spark, "k4-open"), connect=OPENS), "k4c", spark)
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("k4_stream_gauge")
+def q_stream_gauge(spark, d):
+    """Connected sockets after each event, over the stream."""
+    return connections(spark, d).select("event_id", "ts", "user_id", "kind", "connected")
+
+
+@query("k5_stream_recipients")
+def q_stream_recipients(spark, d):
+    """Recipients of each chat message, over the stream."""
+    return connections(spark, d).filter(F.col("kind") == "chat-message").select(
+        "event_id", "ts", F.col("user_id").alias("sender"), "connected", "recipients")
+
+
 @query("k4_stream_presence")
 def q_stream_presence(spark, d):
     out = scratch_path(spark, "k4-presence")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from quizmart.operators import changes, sessions
 from quizmart.session import scratch_path
-from quizmart.streaming import streams
+from quizmart.streaming import carried, streams
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -144,3 +144,50 @@ def test_damaged_history_is_an_error(spark):
                     w.write(b"damaged")
     with pytest.raises(Exception):
         streams._read_previous(spark, root, 3).count()
+
+
+def event_batches(spark, n, cuts, lobbies=1):
+    """``n`` events in batches that end before each of ``cuts``; some of the last batch come late."""
+    kinds = ["requestJoin", "chat-message", "requestJoin", "disconnect", "requestJoin", "chat-message"]
+    ev = [(i, T0 + dt.timedelta(minutes=i), (i * i) % 11, kinds[(i * 5 + i // 7) % 6], f"L{i % lobbies}") for i in range(n)]
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, kind string, lobby string")
+    frames = [df.filter(f"event_id >= {a} and event_id < {b}") for a, b in zip([0, *cuts], [*cuts, n])]
+    src = _write_batches(spark, frames, "ev")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
+    return df, stream
+
+
+def test_hot_lobby_by_the_fold_of_each_batch(spark):
+    for lobbies in (1, 4):
+        df, stream = event_batches(spark, 300, [1, 40, 40, 200], lobbies)
+        out, state = scratch_path(spark, "hot"), scratch_path(spark, "hot-state")
+        streams.run_available_now(carried.stream_lobby_pairs(stream, out, state, num_partitions=24), "t-hot", spark)
+        cols = ("lobby", "group_no", "player1", "player2", "event_id")
+        assert rows(spark.read.parquet(out), *cols) == rows(sessions.lobby_pairs(df), *cols)
+        last = spark.read.parquet(f"{state}/batch_id=4")
+        assert rows(last, "lobby", "waiter") == rows(sessions.lobby_waiting(df), "lobby", "waiting_player")
+
+
+def test_lobby_fold_spreads_one_lobby(spark):
+    df, _ = event_batches(spark, 300, [100])
+    fold = sessions.lobby_fold(df, num_partitions=24)
+    spread = [r["n"] for r in fold.filter("row_kind = 'pair'").groupBy("pid").agg(F.count("*").alias("n")).collect()]
+    assert len(spread) > 12 and max(spread) <= 3 * sum(spread) / 24
+
+
+def test_gauge_and_recipients_over_batches(spark):
+    df, stream = event_batches(spark, 240, [3, 90, 91])
+    out, state = scratch_path(spark, "conn"), scratch_path(spark, "conn-state")
+    streams.run_available_now(carried.stream_connections(stream, out, state, connect="requestJoin"), "t-conn", spark)
+    got = spark.read.parquet(out)
+    want = sessions.concurrency_timeline(df, connect="requestJoin")
+    assert rows(got, "event_id", "connected") == rows(want, "event_id", "connected")
+    want = sessions.chat_recipients(df, connect="requestJoin")
+    assert rows(got.filter("kind = 'chat-message'"), "event_id", "recipients") == rows(want, "event_id", "recipients")
+
+
+def test_lost_state_is_an_error(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException):
+        carried.carried(spark, scratch_path(spark, "gone"), 3, spark.range(1).schema).collect()
