@@ -29,8 +29,16 @@ def _lit_ts(now) -> Column:
 
 
 def _fail_if_any(rejected: DataFrame, mode: str) -> None:
-    if mode == "fail" and rejected.limit(1).count() > 0:
-        raise ValueError("change rejected: " + str(rejected.limit(1).collect()[0].asDict()))
+    if mode == "fail" and (first := rejected.limit(1).collect()):
+        raise ValueError("change rejected: " + str(first[0].asDict()))
+
+
+def or_abort(decisions: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The accepted rows of ``decisions`` (``columns``), as the result of one statement: a row with a
+    ``reason`` fails the job that computes them, so whatever that job writes is not committed."""
+    text = F.concat(F.lit("change rejected: "), F.col("reason"), F.lit(" "), row_json(decisions))
+    passed = F.when(F.col("reason").isNotNull(), F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+    return decisions.filter(passed).select(*columns)
 
 
 # ---------------------------------------------------------------------------- D5

@@ -16,9 +16,10 @@ from quizmart.operators.scan import sequence_number
 
 
 def check(violations: DataFrame, mode: str = "quarantine") -> DataFrame:
-    """``mode='fail'`` raises when any violation exists (one-row probe, no full collect)."""
-    if mode == "fail" and violations.limit(1).count() > 0:
-        raise ValueError("constraint violated: " + str(violations.limit(1).collect()[0].asDict()))
+    """``mode='fail'`` raises when any violation exists (one job that stops at the first row; to check
+    in the writing job itself, see ``audit.aborting``)."""
+    if mode == "fail" and (first := violations.limit(1).collect()):
+        raise ValueError("constraint violated: " + str(first[0].asDict()))
     return violations
 
 

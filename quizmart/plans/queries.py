@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizmart.operators import reports
@@ -79,7 +79,7 @@ def q_existing_answer_count(spark, d):
 
 
 # ---------------------------------------------------------------- B data quality, D8, D9
-from quizmart.operators import quality  # noqa: E402
+from quizmart.operators import audit, quality  # noqa: E402
 
 NOW = "2024-02-01 00:00:00"  # the explicit "current timestamp" of every change job
 
@@ -810,6 +810,43 @@ def q_table_profile(spark, d):
     return p.select("table_name", "row_count")
 
 
+@query("g2_tables_by_size")
+def q_tables_by_size(spark, d):
+    """The profile's order: by rank, no table is larger than the one before it."""
+    p = io.table_profile(spark, {t: f"{d.rstrip('/')}/{t}.parquet" for t in TABLE_NAMES})
+    before = F.lag("data_bytes").over(Window.orderBy("size_rank"))  # fourteen rows
+    return p.select("table_name", "row_count", (F.col("data_bytes") > 0).alias("has_bytes"), F.coalesce(before >= F.col("data_bytes"), F.col("size_rank") == 1).alias("in_order"),
+                    F.col("table_size").rlike("^[0-9]+ (bytes|kB|MB|GB|TB|PB)$").alias("readable"))
+
+
+@query("a7_bucketed_results")
+def q_bucketed_results(spark, d):
+    """E2 over answers and games that are bucketed by game: no shuffle of the answers."""
+    tag = scratch_path(spark, "a7").rsplit("-", 1)[-1]
+    ga = io.write_bucketed(sv.game_answers(spark, d), f"game_answers_{tag}", scratch_path(spark, "a7-answers"), ["game_id"], 16)
+    g = io.write_bucketed(sv.games(spark, d), f"games_{tag}", scratch_path(spark, "a7-games"), ["game_id"], 16)
+    return reports.quiz_results(sv.users(spark, d), ga, g, sv.courses(spark, d))
+
+
+@query("b_table_audit")
+def q_table_audit(spark, d):
+    """The declared constraints of all twelve tables, counted."""
+    return audit.audit(audit_tables(spark, d))
+
+
+def audit_tables(spark, d):
+    """The twelve tables over the stand-ins, with admins 0 to 5 and the change log of the orders."""
+    q, u = sv.questions(spark, d), sv.users(spark, d)
+    admins = sv.table(spark, d, "supplier").filter("s_suppkey < 6").select(F.col("s_suppkey").alias("admin_id"), F.col("s_name").alias("username"))
+    answers = sv.game_answers(spark, d).withColumn("game_answer_id", F.col("game_id") * 10 + F.col("round_no"))
+    old = sv.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    log = changes.audit_diff(old.filter("o_orderkey % 3 > 0"), old, ["o_orderkey"], "orders", NOW).withColumn("log_id", F.col("o_orderkey") % 100)
+    games = sv.games(spark, d).withColumn("status", F.when(F.col("game_id") % 50 == 0, "bogus").otherwise(F.col("status")))
+    return {"avatars": sv.avatars(spark, d), "users": u, "admins": admins, "courses": sv.courses(spark, d), "questions": q, "answers": sv.answers(spark, d),
+            "game_groups": sv.game_groups(spark, d), "games": games, "game_rounds": sv.game_rounds(spark, d), "game_answers": answers,
+            "chats": sv.chats(spark, d).withColumn("user_id", F.col("game_id")), "audit_log": log}
+
+
 # ---------------------------------------------------------------- K streaming twins (availableNow runs)
 from quizmart.streaming import carried, streams  # noqa: E402
 

@@ -161,7 +161,7 @@ def test_hot_lobby_by_the_fold_of_each_batch(spark):
     for lobbies in (1, 4):
         df, stream = event_batches(spark, 300, [1, 40, 40, 200], lobbies)
         out, state = scratch_path(spark, "hot"), scratch_path(spark, "hot-state")
-        streams.run_available_now(carried.stream_lobby_pairs(stream, out, state, num_partitions=24), "t-hot", spark)
+        streams.run_available_now(carried.stream_lobby_pairs(stream, out, state, num_partitions=6), "t-hot", spark)
         cols = ("lobby", "group_no", "player1", "player2", "event_id")
         assert rows(spark.read.parquet(out), *cols) == rows(sessions.lobby_pairs(df), *cols)
         last = spark.read.parquet(f"{state}/batch_id=4")
