@@ -162,6 +162,27 @@ def ingest_answers(existing: DataFrame, incoming: DataFrame, answers: DataFrame,
     return accepted, rejected, scores
 
 
+def merge_scores(scores: DataFrame, delta: DataFrame) -> DataFrame:
+    """Stored totals plus the points of newly accepted answers; a user of either side has a row."""
+    both = scores.select("user_id", "score").unionByName(delta.select("user_id", "score"))
+    return both.groupBy("user_id").agg(F.sum("score").cast("bigint").alias("score"))
+
+
+def ingest_delta(stored_keys: DataFrame, incoming: DataFrame, answers: DataFrame, games: DataFrame, scores: DataFrame,
+                 order: Iterable[str] = ("answered_at",), points_per_right: int = 10, mode: str = "quarantine"):
+    """J4 without a look at the answer history: scores and checks ``incoming`` (its keys against those of
+    ``stored_keys`` that the batch names) and adds the accepted answers' points to the stored ``scores``.
+
+    Returns ``(accepted, rejected, delta, scores)``; scores equal the totals over the whole history as long
+    as every accepted answer went through here. The decisions are checkpointed, since all of these read them.
+    """
+    dec = round_answer_decisions(score_all(incoming, answers), stored_keys, order=order, scored=True, prune_existing=True).checkpoint()
+    accepted, rejected = dec.filter(F.col("reason").isNull()).drop("reason"), dec.filter(F.col("reason").isNotNull())
+    _fail_if_any(rejected, mode)
+    delta = user_scores(accepted, games, points_per_right)
+    return accepted, rejected, delta, merge_scores(scores, delta)
+
+
 def refresh_group_scores(game_groups: DataFrame, scores: DataFrame) -> DataFrame:
     """Every group row of a user with a computed score gets it; other rows keep theirs."""
     s = scores.select(F.col("user_id").alias("__uid"), F.col("score").alias("__score"))

@@ -320,6 +320,34 @@ def q_ingest_scores(spark, d):
     return changes.ingest_answers(existing, incoming, sv.answers(spark, d), sv.games(spark, d), order=TIE_ORDER)[2]
 
 
+@query("j4_incremental_scores")
+def q_incremental_scores(spark, d):
+    """Three ingests, each adding its accepted answers' points to the stored totals: the answers
+    accepted before are read for their keys only."""
+    games, answers, whole = sv.games(spark, d), sv.answers(spark, d), with_unknown(sv.game_answers(spark, d))
+    history, scores = scratch_path(spark, "j4-history"), scratch_path(spark, "j4-scores")
+    keys = ["game_id", "user_id", "round_no"]
+    total = spark.createDataFrame([], "user_id long, score long")
+    for k in range(3):
+        stored_keys = spark.read.parquet(*[f"{history}/{i}" for i in range(k)]).select(*keys) if k else whole.limit(0).select(*keys)
+        accepted, _rejected, _delta, total = changes.ingest_delta(stored_keys, whole.filter(F.pmod(F.col("tie1"), F.lit(3)) == k), answers, games, total, TIE_ORDER)
+        accepted.write.parquet(f"{history}/{k}")
+        total.write.parquet(f"{scores}/{k}")
+        total = spark.read.parquet(f"{scores}/{k}")
+    return total
+
+
+@query("j10_erase_stored_answers")
+def q_erase_stored(spark, d):
+    """Every fiftieth user erased from a stored table, and the files that held them deleted."""
+    root = scratch_path(spark, "j10-stored")
+    stored.create(sv.game_answers(spark, d), root, ["user_id"], 64)
+    ids = sv.users(spark, d).filter(F.col("user_id") % 50 == 0).select("user_id")
+    stored.erase_stored(spark, root, ids)
+    stored.vacuum(spark, root, 1)
+    return stored.read(spark, root).select(*ANSWER_COLS)
+
+
 @query("j5_refresh_group_scores")
 def q_refresh(spark, d):
     scores = reports.user_scores(sv.game_answers(spark, d), sv.games(spark, d), 10)
@@ -340,6 +368,7 @@ def q_game_snapshot(spark, d):
 
 
 from quizmart.operators import chains  # noqa: E402
+from quizmart.sources import stored  # noqa: E402
 
 
 @query("j1_repeated_changes")
@@ -848,17 +877,18 @@ def audit_tables(spark, d):
 
 
 # ---------------------------------------------------------------- K streaming twins (availableNow runs)
-from quizmart.streaming import carried, streams  # noqa: E402
+from quizmart.streaming import carried, keyed, streams  # noqa: E402
 
 
 PART_BYTES = 128 << 20
 FEED_BATCHES = 3
 
 
-def feed(spark, d, name, order_col):
+def feed(spark, d, name, order_col, heartbeat=None):
     """A table as a feed: files in the order of ``order_col`` (then of the other columns, so that a hot
     value is spread over files), written by one range-partitioned job. A stream takes files by time,
-    so they get times in their order. Returns the folder and the number of files."""
+    so they get times in their order. ``heartbeat``, one row, becomes the last file. Returns the folder and
+    the number of files."""
     t = sv.table(spark, d, name)
     n = max(FEED_BATCHES, input_partitions(t, PART_BYTES))
     order = [F.col(order_col).asc_nulls_first(), *[F.col(c) for c, kind in t.dtypes if c != order_col and not kind.startswith(("array", "map"))]]
@@ -867,14 +897,17 @@ def feed(spark, d, name, order_col):
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if heartbeat is not None:
+        heartbeat.coalesce(1).write.mode("append").parquet(root)
+        files += [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-") and f.getPath().getName() not in {x.getName() for x in files}]
     for k, f in enumerate(files):
         fs.setTimes(f, 1_700_000_000_000 + 1000 * k, -1)
     return root, len(files)
 
 
-def feed_stream(spark, d, name, order_col):
+def feed_stream(spark, d, name, order_col, heartbeat=None):
     """The feed as a stream of ``FEED_BATCHES`` micro-batches, however many files it has."""
-    root, n = feed(spark, d, name, order_col)
+    root, n = feed(spark, d, name, order_col, heartbeat)
     r = spark.readStream.schema(sv.table(spark, d, name).schema).option("maxFilesPerTrigger", max(1, -(-n // FEED_BATCHES)))
     return r.parquet(root)
 
@@ -883,8 +916,8 @@ def answer_stream(spark, d):
     return sv.game_answers_from(feed_stream(spark, d, "lineitem", "l_shipdate"), sv.table(spark, d, "orders"))
 
 
-def event_stream(spark, d):
-    raw = feed_stream(spark, d, "events", "ts")
+def event_stream(spark, d, heartbeat=None):
+    raw = feed_stream(spark, d, "events", "ts", heartbeat)
     e = sv.events_from(raw, "props").withColumnRenamed("props", "text")
     return (e.withColumn("ts", F.col("ts").cast("timestamp"))
             .withColumn("lobby", F.date_format("ts", "yyyy-MM-dd")))
@@ -902,6 +935,17 @@ def q_stream_answers(spark, d):
         *ANSWER_COLS, F.regexp_replace("reason", "duplicate_.*", "duplicate").alias("reason")))
 
 
+@query("k1_first_answers")
+def q_first_answers(spark, d):
+    """The first answers by arrival with the keys in the state store, and how often a key has come."""
+    sink = scratch_path(spark, "k1-first")
+    first = keyed.stream_first_answers(with_unknown(answer_stream(spark, d)), sv.answers(spark, d), order=TIE_ORDER)
+    streams.run_available_now(keyed.write_first_answers(first, sink), "k1first", spark)
+    seen = spark.read.parquet(sink)
+    n = seen.groupBy("game_id", "user_id", "round_no").agg(F.max("n").alias("answers_seen"))
+    return seen.filter("accepted = 'true'").join(n, ["game_id", "user_id", "round_no"]).select(*ANSWER_COLS, "answers_seen")
+
+
 @query("k2_stream_scores")
 def q_stream_scores(spark, d):
     out = scratch_path(spark, "k2-scores")
@@ -979,19 +1023,48 @@ def q_stream_timeouts(spark, d):
     return emitted.unionByName(rest).withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
 
 
+@query("k6_timer_timeouts")
+def q_timer_timeouts(spark, d):
+    """As k6_stream_join_timeouts by event-time timers; the feed ends with a heartbeat, so the stream
+    alone gives every timeout."""
+    out, events = scratch_path(spark, "k6-timers"), sv.table(spark, d, "events")
+    beat = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(
+        *[F.col("ts") if c == "ts" else F.lit(None).cast(kind).alias(c) for c, kind in events.dtypes])
+    e = event_stream(spark, d, beat)
+    t = keyed.stream_timeouts(e, F.coalesce(F.col("kind") == "requestJoin", F.lit(False)), F.coalesce(F.col("kind") == "answer", F.lit(False)), 7200, "3 hours")
+    streams.run_available_now(t.writeStream.format("parquet").outputMode("append"), "k6timers", spark, out)
+    return spark.read.schema(t.schema).parquet(out).withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
+
+
+@query("k7_stored_audit")
+def q_stored_audit(spark, d):
+    """As k7_stream_audit, against a bucketed stored table."""
+    root, log = scratch_path(spark, "k7-stored"), scratch_path(spark, "k7-log")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    stored.create(sv.table(spark, d, "orders").select(*cols), root, ["o_orderkey"], 32)
+    streams.run_available_now(carried.stream_audit_stored(order_versions(spark, d), root, log, "orders", NOW, op_col="op"), "k7s", spark)
+    return audit_columns(spark.read.parquet(log))
+
+
 @query("k7_stream_audit")
 def q_stream_audit(spark, d):
     """Row versions of the orders: shifted keys are new, some keys are deleted, the others updated."""
     target, audit = scratch_path(spark, "k7-target"), scratch_path(spark, "k7-audit")
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
     sv.table(spark, d, "orders").select(*cols).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    streams.run_available_now(streams.stream_audit(order_versions(spark, d), target, audit, ["o_orderkey"], "orders", NOW, op_col="op"), "k7", spark)
+    return audit_columns(spark.read.parquet(audit))
+
+
+def order_versions(spark, d):
     k = F.col("o_orderkey")
-    versions = feed_stream(spark, d, "orders", "o_orderkey").select(
+    return feed_stream(spark, d, "orders", "o_orderkey").select(
         F.when(k % 10 == 0, k + NEW_KEYS).otherwise(k).alias("o_orderkey"), "o_custkey", "o_orderstatus",
         F.when(k % 10 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
         F.when(k % 10 == 1, "DELETE").otherwise("UPSERT").alias("op"))
-    streams.run_available_now(streams.stream_audit(versions, target, audit, ["o_orderkey"], "orders", NOW, op_col="op"), "k7", spark)
-    a = spark.read.parquet(audit)
+
+
+def audit_columns(a):
     return a.select("o_orderkey", "table_name", "operation", "user_id", "timestamp",
                     F.get_json_object("old_values", "$.o_totalprice").cast("double").alias("old_totalprice"),
                     F.get_json_object("new_values", "$.o_totalprice").cast("double").alias("new_totalprice"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from quizmart.operators import changes, sessions
 from quizmart.session import scratch_path
-from quizmart.streaming import carried, streams
+from quizmart.streaming import carried, keyed, streams
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -191,3 +191,58 @@ def test_lost_state_is_an_error(spark):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         carried.carried(spark, scratch_path(spark, "gone"), 3, spark.range(1).schema).collect()
+
+
+ANSWER_SCHEMA = "game_id int, user_id int, answer_id int, round_no int, right_wrong boolean, answered_at timestamp_ntz"
+
+
+def answer_batches(spark, batches):
+    frames = [spark.createDataFrame(b, ANSWER_SCHEMA) for b in batches]
+    src = _write_batches(spark, frames, "ans")
+    return spark.readStream.schema(ANSWER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def test_first_answers_by_arrival_with_exact_state(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    truth = spark.createDataFrame([(1, 0, True), (2, 0, False)], "answer_id int, question_id int, right_wrong boolean")
+    stream = answer_batches(spark, [
+        [(1, 1, 1, 1, False, at(9)), (1, 1, 2, 1, True, at(8)), (2, 1, 1, None, True, at(5)), (2, 1, 1, None, True, at(5)), (3, 1, 7, 1, True, at(1))],
+        [(1, 1, 1, 1, False, at(1)), (3, 1, 1, 1, False, at(30)), (3, 1, 1, 1, False, at(30)), (4, 1, None, 1, False, at(30))]])
+    sink = scratch_path(spark, "first")
+    streams.run_available_now(keyed.write_first_answers(keyed.stream_first_answers(stream, truth), sink), "t-first", spark)
+    seen = spark.read.parquet(sink)
+    got = rows(seen.filter("accepted = 'true'"), "batch_id", "game_id", "round_no", "answer_id", "right_wrong", "n")
+    # the earlier answer of batch 1 comes too late; the unknown one of batch 0 has not taken the key
+    assert got == [(0, 1, 1, 2, False, 2), (0, 2, None, 1, True, 2), (1, 3, 1, 1, True, 2)]
+    assert rows(seen.filter("accepted = 'false'"), "batch_id", "game_id", "n") == [(1, 1, 3)]
+
+
+def test_first_answers_within_a_watermark(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    truth = spark.createDataFrame([(1, 0, True)], "answer_id int, question_id int, right_wrong boolean")
+    row = lambda g, r, m: (g, 1, 1, r, False, at(m))
+    stream = answer_batches(spark, [[row(1, 1, 0), row(2, 1, 0), row(5, None, 0), row(5, None, 0)], [row(1, 1, 9), row(9, 1, 100)], [row(9, 2, 101)], [row(2, 1, 102), row(9, 1, 103)]])
+    out = scratch_path(spark, "within")
+    w = keyed.stream_first_answers_within(stream, truth, "10 minutes")
+    streams.run_available_now(w.writeStream.format("parquet").outputMode("append"), "t-within", spark, out)
+    got = rows(spark.read.parquet(out).withColumn("m", F.expr("CAST(minute(answered_at) + 60 * hour(answered_at) AS INT)")), "game_id", "round_no", "m")
+    # game 1 comes again inside the delay and is dropped, game 2 beyond it and is taken again
+    assert got == sorted([(1, 1, 0), (2, 1, 0), (5, None, 0), (5, None, 0), (9, 1, 100), (9, 2, 101), (2, 1, 102)], key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
+def test_timers_give_every_timeout(spark):
+    import random
+    rng = random.Random(6)
+    ev = [(i, T0 + dt.timedelta(minutes=i + rng.randrange(-20, 20)), rng.randrange(4), rng.choice(["requestJoin", "answer", "page"])) for i in range(300)]
+    ev += [(900, T0 + dt.timedelta(minutes=5), 77, "requestJoin"), (901, T0 + dt.timedelta(minutes=5), 77, "answer")]  # answered at once
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, kind string")
+    beat = spark.createDataFrame([(None, T0 + dt.timedelta(days=3), None, None)], df.schema)
+    cuts = [0, 90, 200, 1000]
+    frames = [df.filter(f"event_id >= {a} and event_id < {b}") for a, b in zip(cuts, cuts[1:])]
+    src = _write_batches(spark, [*frames, beat], "req")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
+    t = keyed.stream_timeouts(stream, F.coalesce(F.col("kind") == "requestJoin", F.lit(False)), F.coalesce(F.col("kind") == "answer", F.lit(False)), 600, "20 hours")
+    out = scratch_path(spark, "timers")
+    streams.run_available_now(t.writeStream.format("parquet").outputMode("append"), "t-timers", spark, out)
+    want = sessions.join_request_timeouts(df.filter("kind = 'requestJoin'"), df.filter("kind = 'answer'"), "10 minutes")
+    assert rows(spark.read.schema(t.schema).parquet(out), "user_id", "event_id") == rows(want, "user_id", "event_id")
