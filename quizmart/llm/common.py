@@ -99,12 +99,13 @@ class _Index(dict):
 class WordTable:
     """Per-worker memo of what a word maps to: a ragged list of ids and fixed columns.
 
-    ``describe(words)`` gives ``(list of id arrays, array [n, columns])`` for words not seen before.
+    ``describe(words)`` gives ``(id lists, array [n, columns])`` for words not seen before; the id
+    lists are a list of them or a pair of arrays, all ids end to end and the length of each list.
     Holds about ``limit`` words; beyond that the words used once are forgotten (results do not
     depend on what is remembered).
     """
 
-    def __init__(self, describe: Callable[[list[bytes]], tuple[list, np.ndarray]], columns: int, dtype, limit: int = 600_000) -> None:
+    def __init__(self, describe: Callable[[list[bytes]], tuple[list | tuple, np.ndarray]], columns: int, dtype, limit: int = 600_000) -> None:
         self.describe, self.limit, self.width, self.dtype = describe, limit, columns, dtype
         self._clear()
 
@@ -125,18 +126,20 @@ class WordTable:
         out[: len(a)] = a
         return out
 
-    def _add(self, ids: list, columns: np.ndarray) -> None:
-        n, k = len(ids), self.size
-        lengths = np.fromiter(map(len, ids), np.int32, n)
-        total = int(lengths.sum())
+    def _add(self, ids: list | tuple[np.ndarray, np.ndarray], columns: np.ndarray) -> None:
+        if isinstance(ids, tuple):
+            flat, lengths = ids
+        else:
+            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        n, k, total = len(lengths), self.size, len(flat)
         for name in ("columns", "lengths", "offsets", "uses"):
             setattr(self, name, self._room(getattr(self, name), k + n))
         self.flat = self._room(self.flat, self.flat_size + total)
         self.columns[k : k + n] = columns
         self.lengths[k : k + n] = lengths
         self.offsets[k : k + n] = starts(lengths)[:-1] + self.flat_size
-        if total:
-            self.flat[self.flat_size : self.flat_size + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.flat[self.flat_size : self.flat_size + total] = flat
         self.size, self.flat_size = k + n, self.flat_size + total
 
     def _forget(self) -> None:

@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+#: Words that are encoded as one text.
+JOINED = 500
 #: Ranks of one length are joined to the plan in chunks of so many.
 CHUNK = 4096
 
@@ -45,31 +48,62 @@ def _build(path: str) -> common.WordTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    runs = re.compile(r"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+    ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends_word[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    runs = re.compile(rb"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+    def together(words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words that are one unit each, encoded as one text: a unit's last id ends a word."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        lengths = np.diff(np.flatnonzero(ends_word[ids]), prepend=-1)
+        return (ids, lengths) if len(lengths) == len(words) and lengths.sum() == len(ids) else None
+
+    def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
     def encode(words: list[bytes]):
         texts = [w.decode("utf-8", "replace") for w in words]
-        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], np.zeros((len(words), 0), np.int32)
+        units = np.fromiter((x.isalpha() or x.isascii() and bool(runs.fullmatch(w)) and "<|" not in x and "'" not in x for x, w in zip(texts, words, strict=True)), bool, len(words))
+        flat: list[np.ndarray] = [np.zeros(0, np.int32)]
+        lengths = np.zeros(len(words), np.int64)
+        order: list[np.ndarray] = [np.zeros(0, np.int64)]
+        for joined, where in ((True, np.flatnonzero(units)), (False, np.flatnonzero(~units))):
+            for k in range(0, len(where), JOINED):
+                at = where[k : k + JOINED]
+                some = [texts[i] for i in at.tolist()]
+                ids, n = (joined and together(some)) or alone(some)
+                flat.append(ids)
+                lengths[at] = n
+                order.append(at)
+        # from the order of encoding to that of the words
+        done = np.concatenate(order)
+        place = np.zeros(len(words), np.int64)
+        place[done] = common.starts(lengths[done])[:-1]
+        return (common.ragged(np.concatenate(flat), place, lengths), lengths), np.zeros((len(words), 0), np.int32)
 
     parts = common.WordTable(encode, 0, np.int32, limit=400_000)
 
     def describe(words: list[bytes]):
         cut, counts = [], []
         for w in words:
+            if w.isalpha():  # ASCII letters
+                cut.append(w.lower())
+                counts.append(1)
+                continue
             if w.isascii() and b"'" not in w and b"<|" not in w:
-                found = runs.findall(w.decode().lower())
+                found = runs.findall(w.lower())
                 if sum(map(len, found)) == len(w):
-                    cut.extend(x.encode() for x in found)
+                    cut.extend(found)
                     counts.append(len(found))
                     continue
             cut.append(w)
             counts.append(1)
-        at = common.starts(np.array(counts, np.int64))
         ids = parts.lookup(cut)
         lengths = parts.lengths[ids].astype(np.int64)
-        flat = common.ragged(parts.flat, parts.offsets[ids], lengths).tolist()
-        ends = common.starts(lengths)[at].tolist()
-        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.zeros((len(words), 0), np.int32)
+        ends = common.starts(lengths)[common.starts(np.array(counts, np.int64))]
+        return (common.ragged(parts.flat, parts.offsets[ids], lengths), np.diff(ends)), np.zeros((len(words), 0), np.int32)
 
     return common.WordTable(describe, 0, np.int32)
 
