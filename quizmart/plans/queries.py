@@ -881,17 +881,17 @@ from quizmart.streaming import carried, keyed, streams  # noqa: E402
 
 
 PART_BYTES = 128 << 20
-FEED_BATCHES = 3
+FEED_BATCHES, FEED_FILES = 3, 12
 
 
 def feed(spark, d, name, order_col, heartbeat=None):
-    """A table as a feed: files in the order of ``order_col`` (then of the other columns, so that a hot
-    value is spread over files), written by one range-partitioned job. A stream takes files by time,
+    """A table as a feed: files in the order of ``order_col`` (then of the first columns, its keys, so
+    that a hot value is spread over files), written by one range-partitioned job. A stream takes files by time,
     so they get times in their order. ``heartbeat``, one row, becomes the last file. Returns the folder and
     the number of files."""
     t = sv.table(spark, d, name)
-    n = max(FEED_BATCHES, input_partitions(t, PART_BYTES))
-    order = [F.col(order_col).asc_nulls_first(), *[F.col(c) for c, kind in t.dtypes if c != order_col and not kind.startswith(("array", "map"))]]
+    n = max(FEED_FILES, input_partitions(t, PART_BYTES))
+    order = [F.col(order_col).asc_nulls_first(), *[F.col(c) for c in t.columns[:3] if c != order_col]]
     root = scratch_path(spark, f"feed-{name}")
     t.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -82,8 +82,9 @@ def stream_answers(stream: DataFrame, answers: DataFrame, sink: str, quarantine:
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         existing = _read_previous(spark, sink, batch_id)
-        scored = changes.score_all(batch, answers)
-        # the decisions are written to two places: keep them for the duration of this batch
+        # read for the stored keys and for the decisions, which are written to two places: both are
+        # kept for the duration of this batch
+        scored = changes.score_all(batch, answers).persist()
         dec = changes.round_answer_decisions(scored, existing, keys=keys, order=order, scored=True,
                                              prune_existing=True).persist()
         try:
@@ -92,6 +93,7 @@ def stream_answers(stream: DataFrame, answers: DataFrame, sink: str, quarantine:
             dec.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(_batch_dir(quarantine, batch_id))
         finally:
             dec.unpersist()
+            scored.unpersist()
 
     return stream.writeStream.foreachBatch(each)
 
