@@ -124,12 +124,15 @@ def candidates(texts: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFr
     near = _pairs(met.where(F.size("owners") <= common))
     many = met.where(F.size("owners") > common).select("h").distinct()
     hot = _class_keys(texts.join(many, "h"), tau)
-    far = hot.select("key", F.col("h").alias("x")).join(hot.select("key", F.col("h").alias("y")), "key").where("x < y")
+    far = hot.select("key", "c", F.col("h").alias("x"), F.col("sums").alias("s")).join(hot.select("key", F.col("h").alias("y"), F.col("sums").alias("t")), "key")
+    # a pair that agrees in more than four classes shares several keys; it meets in the first four
+    same = F.filter(F.sequence(F.lit(0), F.lit(2 * tau + 3)), lambda k: F.get("s", k) == F.get("t", k))
+    far = far.where((F.col("x") < F.col("y")) & (F.slice(same, 1, 4) == F.array(*[F.col(f"c.c{k}") for k in range(4)])))
     return near.unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
 
 
 def _class_keys(texts: DataFrame, tau: int) -> DataFrame:
-    """(h, key) of lines with common segments. Characters fall into 2 tau + 4 classes by hash. An edit
+    """(h, sums, c, key) of lines with common segments. Characters fall into 2 tau + 4 classes by hash. An edit
     changes the characters of at most two classes, so lines within tau edits have the same
     characters, counted, in four classes at least: a key for every four."""
     n = 2 * tau + 4
@@ -138,7 +141,7 @@ def _class_keys(texts: DataFrame, tau: int) -> DataFrame:
     sums = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.xxhash64(F.array_join(F.array_sort(F.filter(chars, lambda c: F.pmod(F.xxhash64(c), F.lit(n)) == g)), "")))
     fours = F.array(*[F.struct(*[F.lit(x).alias(f"c{k}") for k, x in enumerate(c)]) for c in combinations(range(n), 4)])
     rows = texts.select("h", sums.alias("sums")).select("h", "sums", F.explode(fours).alias("c"))
-    return rows.select("h", F.xxhash64("c", *[F.get("sums", F.col(f"c.c{k}")) for k in range(4)]).alias("key"))
+    return rows.select("h", "sums", "c", F.xxhash64("c", *[F.get("sums", F.col(f"c.c{k}")) for k in range(4)]).alias("key"))
 
 
 def _distinct(found: DataFrame) -> DataFrame:
@@ -148,9 +151,10 @@ def _distinct(found: DataFrame) -> DataFrame:
 
 
 def _linked(texts: DataFrame, tau: int, common: int) -> DataFrame:
-    """Pairs (a, b), a < b, of hashes of lines within ``tau`` edits, with their lengths."""
-    met = candidates(texts, tau, common)
-    met = met.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b")
+    """Pairs (a, b), a < b, of hashes of lines within ``tau`` edits, with their lengths. The pairs are far
+    fewer than the lines: they are hashed, the lines need no sort."""
+    met = candidates(texts, tau, common).hint("shuffle_hash")
+    met = met.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a").hint("shuffle_hash").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b")
     return met.where(F.abs(F.col("nx") - F.col("ny")) <= tau).where(within(F.col("x"), F.col("y"), tau)).select("a", "b", "nx", "ny")
 
 
