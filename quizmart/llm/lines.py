@@ -28,6 +28,10 @@ TAU = 2
 MIN_CHARS = 32
 #: Lines that share a segment with more lines than this meet by their characters, too.
 COMMON = 32
+#: Ways to part characters into classes by which such lines are compared.
+WAYS = 3
+#: Groups of characters that are counted before two lines are compared in full.
+GROUPS = ("e", "a", "n", "o", "t", "i", "r", "sdl", "hcu", "mgpb", " .,;")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
@@ -95,6 +99,15 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return bound(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), run)
 
 
+def _unlike(a: str, b: str) -> Column:
+    """A lower bound of twice the edits between two strings, by counting the characters of ``GROUPS``: an
+    edit changes the counts of at most two groups, each by one."""
+    def count(x: str, group: str) -> Column:
+        return F.length(x) - F.length(F.translate(F.col(x), group, ""))
+
+    return sum((F.abs(count(a, g) - count(b, g)) for g in GROUPS), F.lit(0))
+
+
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: a transform of one element binds it."""
     return F.transform(F.array(value), use)[0]
@@ -124,24 +137,34 @@ def candidates(texts: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFr
     near = _pairs(met.where(F.size("owners") <= common))
     many = met.where(F.size("owners") > common).select("h").distinct()
     hot = _class_keys(texts.join(many, "h"), tau)
-    far = hot.select("key", "c", F.col("h").alias("x"), F.col("sums").alias("s")).join(hot.select("key", F.col("h").alias("y"), F.col("sums").alias("t")), "key")
+    far = hot.select("key", "c", F.col("h").alias("x"), F.col("sums").alias("s"), F.col("more").alias("u")).join(
+        hot.select("key", F.col("h").alias("y"), F.col("sums").alias("t"), F.col("more").alias("v")), "key")
     # a pair that agrees in more than four classes shares several keys; it meets in the first four
-    same = F.filter(F.sequence(F.lit(0), F.lit(2 * tau + 3)), lambda k: F.get("s", k) == F.get("t", k))
+    def agreeing(a: Column, b: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.lit(2 * tau + 3)), lambda k: F.get(a, k) == F.get(b, k))
+
+    same = agreeing(F.col("s"), F.col("t"))
     far = far.where((F.col("x") < F.col("y")) & (F.slice(same, 1, 4) == F.array(*[F.col(f"c.c{k}") for k in range(4)])))
+    # other ways to part the characters into classes must agree in four, too
+    for w in range(WAYS - 1):
+        far = far.where(F.size(agreeing(F.get("u", F.lit(w)), F.get("v", F.lit(w)))) >= 4)
     return near.unionByName(far.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
 
 
 def _class_keys(texts: DataFrame, tau: int) -> DataFrame:
-    """(h, sums, c, key) of lines with common segments. Characters fall into 2 tau + 4 classes by hash. An edit
+    """(h, sums, more, c, key) of lines with common segments. Characters fall into 2 tau + 4 classes by hash. An edit
     changes the characters of at most two classes, so lines within tau edits have the same
     characters, counted, in four classes at least: a key for every four."""
     n = 2 * tau + 4
     chars = F.split("line", "")
-    # the sorted characters of each class
-    sums = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.xxhash64(F.array_join(F.array_sort(F.filter(chars, lambda c: F.pmod(F.xxhash64(c), F.lit(n)) == g)), "")))
+
+    def sums(way: int) -> Column:
+        """A hash of the sorted characters of each class."""
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.xxhash64(F.array_join(F.array_sort(F.filter(chars, lambda c: F.pmod(F.xxhash64(c, F.lit(way)) if way else F.xxhash64(c), F.lit(n)) == g)), "")))
+
     fours = F.array(*[F.struct(*[F.lit(x).alias(f"c{k}") for k, x in enumerate(c)]) for c in combinations(range(n), 4)])
-    rows = texts.select("h", sums.alias("sums")).select("h", "sums", F.explode(fours).alias("c"))
-    return rows.select("h", "sums", "c", F.xxhash64("c", *[F.get("sums", F.col(f"c.c{k}")) for k in range(4)]).alias("key"))
+    rows = texts.select("h", sums(0).alias("sums"), F.array(*[sums(w) for w in range(1, WAYS)]).alias("more")).select("h", "sums", "more", F.explode(fours).alias("c"))
+    return rows.select("h", "sums", "more", "c", F.xxhash64("c", *[F.get("sums", F.col(f"c.c{k}")) for k in range(4)]).alias("key"))
 
 
 def _distinct(found: DataFrame) -> DataFrame:
@@ -155,7 +178,7 @@ def _linked(texts: DataFrame, tau: int, common: int) -> DataFrame:
     fewer than the lines: they are hashed, the lines need no sort."""
     met = candidates(texts, tau, common).hint("shuffle_hash")
     met = met.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx")), "a").hint("shuffle_hash").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny")), "b")
-    return met.where(F.abs(F.col("nx") - F.col("ny")) <= tau).where(within(F.col("x"), F.col("y"), tau)).select("a", "b", "nx", "ny")
+    return met.where(F.abs(F.col("nx") - F.col("ny")) <= tau).where(_unlike("x", "y") <= 2 * tau).where(within(F.col("x"), F.col("y"), tau)).select("a", "b", "nx", "ny")
 
 
 def links(found: DataFrame, tau: int = TAU, common: int = COMMON) -> DataFrame:
