@@ -819,7 +819,7 @@ def q_layout_rewrite(spark, d):
 @query("a8_read_events_stream")
 def q_read_events_stream(spark, d):
     out = scratch_path(spark, "a8-events")
-    e = io.read_events(spark, feed(spark, d, "events", "ts"), streaming=True, max_files_per_trigger=1)
+    e = io.read_events(spark, feed(spark, d, "events", "ts")[0], streaming=True, max_files_per_trigger=FEED_FILES // FEED_BATCHES)
     streams.run_available_now(e.writeStream.format("parquet").outputMode("append"), "a8", spark, out)
     return spark.read.parquet(out).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
 
