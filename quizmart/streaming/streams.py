@@ -135,7 +135,7 @@ def _lobby_step(allow_self: bool):
         waiter, groups = (state.get if state.exists else (None, 0))
         waiter = None if waiter is None or pd.isna(waiter) else int(waiter)
         # One lobby's rows of this micro-batch (bounded by the trigger size), in event order.
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
         pairs: list = []
         waiter = _fold_rows(pdf["user_id"].tolist(), pdf["kind"].tolist(), pdf["ts"].tolist(),
                             pdf["event_id"].tolist(), 0, len(pdf), waiter, allow_self, pairs)
@@ -166,7 +166,7 @@ def _presence_step(connect: str, join: str):
     def fn(key, batches: Iterator[pd.DataFrame], state):
         is_open, joined = (bool(x) for x in state.get) if state.exists else (False, False)
         # one socket's rows of this micro-batch, in event order
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
         deltas, notices = [], []
         for k in pdf["kind"].tolist():
             d, n = 0, None
