@@ -289,9 +289,9 @@ def plain_alignment(item, passage):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(0, 4), min_size=1, max_size=14))
 def test_smith_waterman(item, passage):
-    score, end, equal = decontaminate.smith_waterman(np.array(item), np.array(passage))
-    assert score == plain_alignment(item, passage)
-    assert 0 <= equal <= min(len(item), len(passage)) and end <= len(passage)
+    score, end, equal = decontaminate.smith_waterman(np.array([item + [0]] * 2), np.array([passage] * 2))
+    assert score.tolist() == [plain_alignment(item, passage)] * 2
+    assert 0 <= equal[0] <= min(len(item), len(passage)) and end[0] <= len(passage)
 
 
 def test_decontamination(spark):
@@ -312,6 +312,73 @@ def test_decontamination(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def aligned_pairs(docs, items, min_score=0.5):
+    """(document, item) pairs whose whole texts align, without seeds."""
+    numbers: dict[bytes, int] = {}
+
+    def ids(text):
+        return [numbers.setdefault(w, len(numbers) + 1) for w in decontaminate.normal_words(text.encode())]
+
+    out = set()
+    for k, item in items.items():
+        words = ids(item)
+        if len(words) < decontaminate.MIN_WORDS:
+            continue
+        for d, text in docs.items():
+            passage = ids(text or "")
+            if len(set(words) & set(passage)) > 2:
+                score, _, equal = decontaminate.smith_waterman(np.array([words]), np.array([passage]))
+                if score[0] >= min_score * 2 * len(words) and equal[0] >= min(6, len(words)):
+                    out.add((d, k))
+    return out
+
+
+def found_pairs(spark, docs, items, **options):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.matches(df, bench, **options).collect()}
+
+
+def test_decontamination_recall_of_edited_copies(spark):
+    rng = random.Random(5)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    other = [w for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect() for w in (r.text or "").split()]
+    docs = {}
+    for how, share in enumerate((0.1, 0.2, 0.25, 0.3, "fourth")):
+        for k, text in items.items():
+            words = []
+            for i, w in enumerate(text.split()):
+                if share == "fourth":
+                    words.append(rng.choice(other) if i % 4 == 3 else w)
+                elif rng.random() >= share:
+                    words.append(w)
+                else:
+                    words += rng.choice(([], [rng.choice(other)], [w, rng.choice(other)], [rng.choice(other)]))
+            docs[how * 1000 + k] = " ".join(rng.sample(other, 40) + words + rng.sample(other, 40))
+    want = aligned_pairs(docs, items)
+    got = found_pairs(spark, docs, items)
+    assert got <= want
+    for how in range(5):
+        due = {p for p in want if p[0] // 1000 == how}
+        assert len(due) >= len(items) // 2 and len(due & got) >= 0.9 * len(due), (how, len(due), len(due & got))
+
+
+def test_decontamination_of_variants_and_blocks(spark):
+    words = "which of these seven planets of the outer system turns around its axis in the shortest time of all".split()
+    items = {k: " ".join(words[: 3 * k] + [f"variant{k}"] + words[3 * k + 1 :]) for k in range(6)}
+    items |= {100 + k: f"question {k} of these planets which of these is not listed in book{k}" for k in range(20)}
+    docs = {k: "Before it. " + t.replace(f"variant{k}", "another") + " After it." for k, t in items.items() if k < 6}
+    got = found_pairs(spark, docs, items)
+    assert {(d, k) for d in docs for k in range(6)} <= got
+    assert found_pairs(spark, docs, items, block_chars=1) == found_pairs(spark, docs, items, block_chars=300) == got
+
+
+def test_decontamination_of_unspaced_and_short_items(spark):
+    items = {1: "世界上最長的河流是哪一條河流？請寫出答案。", 2: "What is DNA?", 3: "Yes.", 4: "人工智能", 5: "", 6: None, 7: "What is DNA?", 8: "la " * 400}
+    docs = {1: "我們問：世界上最长的河流是哪一條河流？請寫出答案。謝謝", 2: "Q: what is DNA?\nA: a molecule", 3: "Tell me what is DNA made of. Yes. Yes.", 4: "他研究人工智能很多年了", 5: "x\n人工智能\ny", 6: "la " * 9000, 7: None, 8: ""}
+    assert found_pairs(spark, docs, items) == {(1, 1), (2, 2), (2, 7), (5, 4), (6, 8)}
+
+
 def test_token_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(TOKENIZER)
