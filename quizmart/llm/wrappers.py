@@ -9,6 +9,11 @@ that tasks fold their pages first and only wrappers are shuffled.
 The wrapper names the region of the host's pages that holds the article; a page's main text is the
 text of that region without the furniture in it. Article and main elements weigh in the choice of the
 region; alone they decide only on hosts whose wrapper has no slots (one page, or copies of one, on which no element recurs).
+
+Furniture by tag or role never counts. Furniture by name goes where the wrapper confirms it, which it
+does in two ways: the text is a constant of the host; or, for names that say nothing but furniture
+(``ad-banner``, ``comments-area``) and for articles that recur inside the article, what is left of the
+region still has text slots beside its headings.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +33,7 @@ from . import common
 
 #: Wrappers of up to so many bytes are broadcast; beyond that they are joined by host.
 BROADCAST_BYTES = 32 << 20
-#: Partial wrappers of a host meet in so many groups first.
+#: So many partial wrappers of a host meet in one group, level by level.
 GROUPS = 32
 #: A wrapper describes the outermost levels of a page; what is deeper belongs to the level above.
 DEPTH = 48
@@ -36,8 +42,8 @@ PERIOD = 4
 #: Share of a level's weight that the region's next element holds at least; with an article or main
 #: element that pages have once, the smaller one is enough.
 SHARE, HINTED_SHARE = 0.75, 0.5
-#: Weights of slot text: in furniture by name, by the mark for main (0 to 3); and of constant text.
-BY_NAME, BY_MARK, CONSTANT = 0.1, (1.0, 1.5, 3.0, 4.0), 0.05
+#: Weights of slot text: in furniture by name and by sure name, by the mark for main (0 to 3); and of constant text.
+BY_NAME, BY_SURE_NAME, BY_MARK, CONSTANT = 0.1, 0.01, (1.0, 1.5, 3.0, 4.0), 0.05
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +60,14 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 #: Names that furniture often has; they count only where the wrapper confirms them, never on headings.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer footers toolbar widget widgets related recommended recommendations trending comment comments reply replies respond disqus discussion pagination pager skip".split()
-)
+) | frozenset("commentlist commentform commentbox dfp gpt taboola outbrain kommentar kommentare werbung anzeige anzeigen commentaire commentaires comentario comentarios publicite publicidad".split())
+#: Of these, what names of articles' own parts have too; and what ids may say beside advert and comment names.
+UNSURE_WORDS = frozenset("discussion register login signup share sharing social reply respond widget skip promotion notice notices alert alerts".split())
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsored dfp gpt taboola outbrain werbung anzeige anzeigen publicite publicidad".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commentform commentbox disqus replies kommentar kommentare commentaire commentaires comentario comentarios".split())
+#: Words that a name of furniture may have beside it; and those of a place, for adverts and comments only.
+NEUTRAL_WORDS = frozenset("area author block body box button buttons card container content count div entry fixed form google group holder icon inline inner item items link links list meta native outer panel post reader readers row section slot sticky story text thread title unit user users wrap wrapper".split())
+PLACE_WORDS = frozenset("above after before below bottom end in left mid middle right side start top".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Furniture outside the article only: inside, a header holds the article's title.
 HEADERS = frozenset("header headers masthead topbar".split())
@@ -65,15 +78,24 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+@lru_cache(65536)
+def _sure(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id says nothing but furniture: one of the words, and beside it none but neutral ones."""
+    parts = {w.lower() for w in NAME_WORD.findall(name)}
+    found = parts & words
+    rest = {w for w in parts - found - NEUTRAL_WORDS if not w.isdigit()}
+    return bool(found) and (not rest or bool(found & (ADVERT_WORDS | COMMENT_WORDS)) and rest <= PLACE_WORDS)
+
+
 class Node:
     """An element: tag, signature (tag, classes without numbers and, after ``#``, the marks), children
-    (nodes and strings) and what its attributes say about it."""
+    (nodes and strings) and what its attributes say about it; ``sure``: its name is furniture's alone."""
 
-    __slots__ = ("children", "furniture", "header", "main", "named", "sig", "tag")
+    __slots__ = ("children", "furniture", "header", "main", "named", "sig", "sure", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.sig, self.children = tag, tag, []
-        self.furniture, self.header, self.named = tag in FURNITURE, tag == "header", False
+        self.furniture, self.header, self.named, self.sure = tag in FURNITURE, tag == "header", False, False
         self.main = 3 if tag == "article" else 2 if tag == "main" else 0
         if attributes and not attributes.isspace():
             given = {k.lower(): (v[1:-1] if v[:1] in ("'", '"') else v) for k, v in ATTRIBUTE.findall(attributes)}
@@ -88,12 +110,16 @@ class Node:
             if tag not in ("html", "body"):
                 self.furniture |= role in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style
                 self.named = bool(words & FURNITURE_WORDS) and tag not in HEADINGS
+                if self.named:
+                    self.sure = any(_sure(c, FURNITURE_WORDS - UNSURE_WORDS) for c in given.get("class", "").split()) or _sure(given.get("id", ""), ADVERT_WORDS | COMMENT_WORDS)
+                if given.get("itemprop", "").lower() == "comment" or given.get("itemtype", "").lower().endswith("schema.org/comment"):
+                    self.named = self.sure = True
             self.header |= bool(words & HEADERS)
             if role == "main" or given.get("itemprop") == "articleBody":
                 self.main = max(self.main, 2)
             elif words & MAIN_WORDS and tag in ("div", "section", "td"):
                 self.main = max(self.main, 1)
-        marks = "f" * (self.furniture and tag not in FURNITURE) + "n" * self.named + "h" * self.header + f"{self.main or ''}"
+        marks = "f" * (self.furniture and tag not in FURNITURE) + "n" * self.named + "s" * self.sure + "h" * self.header + f"{self.main or ''}"
         if marks:
             self.sig += f"#{marks}"
 
@@ -266,21 +292,42 @@ def _weight(items: list[list], constant: float = CONSTANT) -> float:
             continue
         once = main >= 2 and most == 1
         inside = _weight(children, 1.0 if once else constant)
-        total += inside * (2.0 if most > 1 and tag == "p" else 0.5 if tag in ("li", "td") else 1.0) * (BY_NAME if tag == "form" or "n" in marks or "h" in marks else 1.0) * (BY_MARK[main] if once or main < 2 else 1.0)
+        name = BY_SURE_NAME if "s" in marks and not _holds_main(children) else BY_NAME if tag == "form" or "n" in marks or "h" in marks else 1.0
+        total += inside * (2.0 if most > 1 and tag == "p" else 0.5 if tag in ("li", "td") else 1.0) * name * (BY_MARK[main] if once or main < 2 else 1.0)
     return total
 
 
-def _slots(items: list[list]) -> bool:
-    """Whether there is text that differs from page to page, furniture by tag or role left out."""
+def _holds_main(items: list[list]) -> bool:
+    """Whether there is an article or main element that pages have once, and that is no furniture by name."""
+    return any((_marks(x[0])[2] >= 2 and x[2] == 1 and "s" not in _marks(x[0])[1]) or _holds_main(x[3]) for x in items)
+
+
+def _slots(items: list[list], skip: frozenset[str] | set[str] = frozenset()) -> bool:
+    """Whether there is text that differs from page to page, furniture by tag or role left out, and
+    what has a tag or signature in ``skip``."""
     for sig, _, _, children, text, _, _ in items:
         tag, marks, _ = _marks(sig)
-        if "f" in marks or tag in FURNITURE and tag != "form":
+        if "f" in marks or tag in FURNITURE and tag != "form" or sig in skip or tag in skip:
             continue
-        if sig == "#text" and text is None or _slots(children):
+        if sig == "#text" and text is None or _slots(children, skip):
             return True
     return False
 
 
+def _sure_furniture(items: list[list], article: bool, recurs: bool = False) -> set[str]:
+    """Signatures below whose names are furniture's alone, unless they hold the page's article; in an
+    article also the articles that recur."""
+    out = set()
+    for x in items:
+        _, marks, main = _marks(x[0])
+        again = recurs or x[2] > 1
+        if "s" in marks and (article or not _holds_main(x[3])) or article and main == 3 and again:
+            out.add(x[0])
+        else:
+            out |= _sure_furniture(x[3], article, again)
+    return out
+
+
 def _titled(x: list) -> bool:
     """Whether an element is or holds a heading of the first level that is no constant of the host."""
     tag, marks, _ = _marks(x[0])
@@ -351,8 +398,11 @@ def region(wrapper: list[list]) -> tuple[list[list[str]], list[list[str]], list[
     inside = path[-1][3] if path else wrapper
     pages = max(x[6] for x in wrapper)
     good, bad = _furniture(inside, pages, not marked)
+    sure = _sure_furniture(inside, bool(path) and path[-1][2] == 3)
+    if not _slots(inside, sure | HEADINGS | {"header"}):
+        sure = set()  # it is the article that has such a name
     titled = any(map(_titled, inside))
-    return [p[0] for p in path], [[] if titled else p[1] for p in path], sorted(good - bad)
+    return [p[0] for p in path], [[] if titled else p[1] for p in path], sorted((good - bad) | sure)
 
 
 def _mains(node: Node, least: int) -> list[Node]:
@@ -397,8 +447,9 @@ def _at(node: Node, steps: list[list[str]], beside: list[list[str]]) -> list[Nod
     return out
 
 
-def _text(node: Node, drop: frozenset[str] | list[str], headers: bool = True) -> str:
-    """The text below without furniture and without ``drop``, with line feeds where blocks begin and end."""
+def _text(node: Node, drop: frozenset[str] | list[str], headers: bool = True, sure: bool = False) -> str:
+    """The text below without furniture and without ``drop``, with line feeds where blocks begin and
+    end; ``sure``: without what its name alone says to be furniture."""
     out: list[str] = []
     todo: list[Node | str] = [node]
     while todo:
@@ -406,7 +457,7 @@ def _text(node: Node, drop: frozenset[str] | list[str], headers: bool = True) ->
         if isinstance(x, str):
             out.append(x)
             continue
-        if x is not node and (x.furniture or x.sig in drop or x.tag == "header" and not headers):
+        if x is not node and (x.furniture or x.sig in drop or sure and x.sure or x.tag == "header" and not headers):
             continue
         if x.tag in BLOCK:
             out.append("\n")
@@ -433,7 +484,10 @@ def main_text(page: str, where: tuple | None) -> str:
     if where:
         texts = [_text(node, where[2]) for node in _at(root, where[0], where[1])]
     else:
-        texts = [_text(node, [], node is not root) for node in _marked(root)]
+        nodes = _marked(root)
+        texts = [_text(node, [], node is not root, True) for node in nodes]
+        if not "".join(texts).strip():
+            texts = [_text(node, [], node is not root) for node in nodes]
     return " ".join(html.unescape("\n".join(texts)).split())
 
 
@@ -473,11 +527,16 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
     def merge(rows: pa.Table) -> pa.Table:
         whole = _all(_load(x.as_py()) for x in rows.column("wrapper"))
-        return pa.table({"host": rows.column("host").slice(0, 1), "wrapper": pa.array([_dump(whole)], pa.binary())})
-
-    part = source.mapInArrow(learn, "host string, wrapper binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
-    part = part.groupBy("host", "g").applyInArrow(merge, "host string, wrapper binary")
-    return part.groupBy("host").applyInArrow(merge, "host string, wrapper binary")
+        return rows.slice(0, 1).drop_columns("wrapper").append_column("wrapper", pa.array([_dump(whole)], pa.binary()))
+
+    part = source.mapInArrow(learn, "host string, wrapper binary")
+    width = part.rdd.getNumPartitions()
+    part = part.withColumn("g", F.spark_partition_id())
+    while width > GROUPS:  # a tree over the tasks that read the pages, as high as they are many
+        width = -(-width // GROUPS)
+        part = part.withColumn("g", F.floor(F.col("g") / GROUPS).cast("int")).select("host", "g", "wrapper")
+        part = part.groupBy("host", "g").applyInArrow(merge, "host string, g int, wrapper binary")
+    return part.drop("g").groupBy("host").applyInArrow(merge, "host string, wrapper binary")
 
 
 def _all(wrappers) -> list[list]:

@@ -223,6 +223,42 @@ def test_wrapper_decides_before_article_elements(spark):
     assert wrappers.region(wrappers.elements(wrappers.parse("<div>x<article>text</article></div>"))) is None
 
 
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class=content>{}</div>", "<div class='post category-notices'>{}</div>", "<main><article class=post>{}</article></main>"])
+def test_comments_and_adverts_in_the_region_go(spark, around):
+    paragraph = "<p>Paragraph {k} of article {i} says what number {i} is about.</p>"
+    text = "<h1>Title {i}</h1>" + "".join(paragraph.replace("{k}", str(k)) for k in range(3))
+    advert = "<div class='ad-banner'>Buy {i} of the new things, only {i} euros</div>"
+    comments = "<section class=comments><h3>{i} remarks</h3>" + "".join("<div class=comment><b>Reader {i}%d</b><p>I do not agree with number {i} at all, and this is longer than the article, for %d reasons.</p></div>" % (k, k) for k in range(12)) + "</section>"
+    page = "<html><body><nav>Home</nav>" + around.replace("{}", text.replace("</h1>", "</h1>" + advert) + "<div id='div-gpt-ad-17'>For you {i}</div>" + comments) + "<footer>f</footer></body></html>"
+    fill = lambda form, i: form.replace("{i}", str(i))
+    want = [" ".join(["Title %d" % i] + [fill("Paragraph %d of article {i} says what number {i} is about." % k, i) for k in range(3)]) for i in range(12)]
+    assert texts_of(spark, [fill(page, i) for i in range(12)]) == want
+    assert texts_of(spark, [fill(page, 1)]) == [want[1]]
+
+
+def test_articles_that_recur_in_the_article_are_comments(spark):
+    page = "<article><h1>On {i}</h1><p>Long text about {i} and what follows from it.</p><ol><li><article><p>Remark {i} a</p></article></li><li><article><p>Remark {i} b</p></article></li></ol></article>"
+    assert texts_of(spark, [page.replace("{i}", str(i)) for i in range(6)]) == [f"On {i} Long text about {i} and what follows from it." for i in range(6)]
+
+
+def test_an_article_named_like_furniture_stays(spark):
+    page = "<body><h1>On {i}</h1><div class=widget><div class=banner><p>Long text about {i}.</p><p>More of {i}.</p></div></div><div class='entry sidebar-left ad-free'><p>End {i}.</p></div></body>"
+    got = texts_of(spark, [page.replace("{i}", str(i)) for i in range(6)])
+    assert all(f"End {i}." in t for i, t in enumerate(got))
+    only = "<body><h1>On {i}</h1><div class=comments><p>Long text about {i}.</p></div></body>"
+    assert texts_of(spark, [only.replace("{i}", str(i)) for i in range(6)]) == [f"On {i} Long text about {i}." for i in range(6)]
+
+
+def test_wrappers_meet_level_by_level_and_join(spark, monkeypatch):
+    page = "<body><div class=menu>x</div><div class=text><h1>T{i}</h1><p>Some words on {i}</p></div></body>"
+    rows = [(i, "http://h/", page.replace("{i}", str(i))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40)
+    want = [f"T{i} Some words on {i}" for i in range(40)]
+    monkeypatch.setattr(wrappers, "GROUPS", 3)
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
+    assert [r.text for r in wrappers.extract(df).orderBy("page_id").collect()] == want
+
+
 def test_furniture_words_need_the_wrapper(spark):
     named = '<h2 id="related-work">Related {i}</h2><section id="discussion"><p>Discussed {i}</section><div class="share-price">At {i}</div><p>So <math><mi>x</mi></math> is {i}.<h3 id=how-to-register>How</h3>'
     want = "Related {i} Discussed {i} At {i} So x is {i}. How"
