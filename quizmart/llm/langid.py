@@ -2,8 +2,9 @@
 
 A text is the mean of the embeddings of its subwords (letter n-grams of its words, hashed into
 buckets); a linear layer and a softmax give the languages. Embeddings and layer are trained together
-by stochastic gradient descent in numpy on a bounded sample of labelled rows. Part of the sample is
-kept back to fit the softmax temperature and the score under which a prediction is rejected.
+by stochastic gradient descent in numpy on a bounded sample of labelled rows, whose subwords are
+counted by the executors: the driver gets at most BUCKETS counts a row, however long its text. Part of
+the sample is kept back to fit the softmax temperature and the score under which a prediction is rejected.
 
 Since the layer is linear, what a word adds to the logits is a fixed vector: prediction is one pass
 that sums remembered word vectors over whole texts.
@@ -35,13 +36,20 @@ CALIBRATE_EVERY = 5
 #: Share of right answers that accepted predictions shall reach on the calibration rows.
 TARGET = 0.995
 
+#: Runs of letters, with number signs like U+00B2 or U+2167 among them, which are taken out.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letter_runs(word: str) -> list[str]:
+    if word.isalpha():
+        return [word]
+    return [run for part in LETTERS.findall(word) for run in ([part] if part.isalpha() else "".join(c if c.isalpha() else " " for c in part).split())]
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of the letter n-grams of a word's lower-cased letter runs, with the run's ends marked."""
     out = []
-    for run in LETTERS.findall(word.lower()):
+    for run in letter_runs(word.lower()):
         marked = f"<{run}>"
         for n in GRAMS:
             out += [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1)]
@@ -64,23 +72,31 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def count_subwords(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's subwords in order and how often each occurs; ``known`` remembers words."""
+    counts: Counter = Counter()
+    for word, n in Counter(text.split()).items():
+        if word not in known:
+            known[word] = subwords(word)
+        for b in known[word]:
+            counts[b] += n
+    at = np.array(sorted(counts), np.int32)
+    return at, np.array([counts[b] for b in at.tolist()], np.int64)
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Trains on (text, language) rows. With fewer than two languages every text gets the one there
-    is (no rows: ``und``)."""
-    languages = sorted({lang for _, lang in rows})
+    """Trains on (text, language) rows, see ``fit_counts``."""
     known: dict[str, list[int]] = {}
-    features, targets = [], []
-    for text, lang in rows:
-        counts: Counter = Counter()
-        for word, n in Counter(text.split()).items():
-            if word not in known:
-                known[word] = subwords(word)
-            for b in known[word]:
-                counts[b] += n
-        if counts:
-            weights = np.fromiter(counts.values(), np.float32, len(counts))
-            features.append((np.fromiter(counts.keys(), np.int64, len(counts)), weights / weights.sum()))
-            targets.append(languages.index(lang))
+    return fit_counts([(lang, *count_subwords(text, known)) for text, lang in rows], seed)
+
+
+def fit_counts(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
+    """Trains on (language, buckets, counts) rows. With fewer than two languages every text gets the
+    one there is (no rows: ``und``)."""
+    languages = sorted({lang for lang, _, _ in rows})
+    rows = [r for r in rows if len(r[1])]
+    features = [(at, n.astype(np.float32) / np.float32(n.sum())) for _, at, n in rows]
+    targets = [languages.index(lang) for lang, _, _ in rows]
     rng = np.random.default_rng(seed)
     n = max(1, len(languages))
     model = Model(languages or ["und"], rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.3, (WIDTH, n)).astype(np.float32), np.zeros(n, np.float32))
@@ -128,14 +144,24 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     for lang, n in counts.items():  # a tenth more than wanted, so that the cut below decides
         share = F.when(F.col("lang") == lang, min(1.0, 1.1 * per_lang / n)).otherwise(share)
     unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    sample = sorted((r["lang"], r["h"] % (1 << 30), r["h"], r["text"]) for r in rows.where(unit < share).collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                known: dict[str, list[int]] = {}
+                found = [count_subwords(t.decode("utf-8", "replace"), known) for t in common.byte_column(part, "text")]
+                packed = [pa.array([f[k].astype(np.uint32).tobytes() for f in found], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *packed], names=["lang", "h", "at", "n"])
+
+    counted = rows.where(unit < share).mapInArrow(count, "lang string, h long, at binary, n binary")
+    sample = sorted((r["lang"], r["h"] % (1 << 30), r["h"], bytes(r["at"]), bytes(r["n"])) for r in counted.collect())
     taken: Counter = Counter()
     out = []
-    for lang, _, _, text in sample:
+    for lang, _, _, at, n in sample:
         if taken[lang] < per_lang:
             taken[lang] += 1
-            out.append((text, lang))
-    return fit(out)
+            out.append((lang, np.frombuffer(at, np.uint32), np.frombuffer(n, np.uint32)))
+    return fit_counts(out)
 
 
 def _word_table(name: str, blob: bytes) -> common.WordTable:

@@ -205,6 +205,21 @@ def test_chat_parts(spark):
     assert r.formatted[s.start : s.end] == "<|image|>"
 
 
+def test_language_of_odd_tables(spark):
+    rows = [(i, f"the {w} and the other of this", "en", "q") for i, w in enumerate("house tree road river field stone".split() * 4)]
+    rows += [(100 + i, f"der {w} und die anderen dieser", "de", "q") for i, w in enumerate("Baum Weg Fluss Stein Acker Berg".split() * 4)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, score string")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en"]
+    assert langid.train(docs.limit(0)).languages == ["und"]
+    assert langid.predict(docs.limit(0), model).count() == 0
+    signs = ["\u00b2 \u00bd \u2167 \u2460 12_3", "\u00b2und die\u2167 dieser", "", None, "12 %"]
+    odd_rows = spark.createDataFrame([(i, t, "de", "x") for i, t in enumerate(signs)] * 2, "doc_id long, text string, lang_pred string, score string")
+    got = sorted((r.doc_id, r.lang_pred, r.score > 0) for r in langid.predict(odd_rows, model).collect())
+    assert got == sorted([(0, "und", False), (1, "de", True), (2, "und", False), (3, "und", False), (4, "und", False)] * 2)
+    assert langid.letter_runs("a\u00b2b") == ["a", "b"] and langid.letter_runs("\u2460") == []
+
+
 def texts_of(spark, pages, url="https://h.example/"):
     rows = [(i, f"{url}{i}", p) for i, p in enumerate(pages)]
     got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
