@@ -146,3 +146,36 @@ def test_lobby_pairs_null_lobby(spark):
     want = _fold([(a, b, c, d, e if e is not None else "~") for a, b, c, d, e in ev], False)
     want = sorted([(None if w[0] == "~" else w[0],) + tuple(w[1:]) for w in want], key=str)
     assert got == want
+
+
+def test_lobby_passes_hold_no_partition(spark, monkeypatch):
+    """A partition of one lobby goes through both passes batch by batch: what is sent on is bounded."""
+    import numpy as np
+    import pandas as pd
+    import pyspark
+    monkeypatch.setattr(pyspark, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    taken = []
+
+    def batches():
+        for b in range(40):
+            taken.append(b)
+            n = np.arange(b * 1000, (b + 1) * 1000)
+            yield pd.DataFrame({"lobby": "L", "user_id": n % 1009, "kind": "requestJoin", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(n, "s"),
+                                "event_id": n, "__offset": np.nan, "__incoming": np.nan})
+
+    out, sizes, seen = sessions._emit_pairs("lobby", "user_id", False)(batches()), [], []
+    for pdf in out:
+        sizes.append(len(pdf))
+        seen.append(len(taken))
+    assert sum(sizes) == 20_001 and len(sizes) > 1 and max(sizes) < 2 * sessions.EMIT_ROWS and seen[0] < 40
+    (row,) = next(iter(sessions._summarize_lobbies("lobby", "user_id", False)(batches()))).to_dict("records")
+    assert row["a_n"] == 20_000 and row["c_n"] == 20_000 and row["s1"] == 0 and row["c_out"] == 39_999 % 1009
+
+
+def test_ordered_pass_of_a_middling_feed_is_split(spark):
+    """48 MB of event files (60 times sf0.1) are several range partitions, of which a task sorts one."""
+    from quizmart.operators import scan
+    path = f"{scan.checkpoint_root(spark)}/split-feed"
+    spark.range(0, 9_000_000, 1, 4).select(F.xxhash64("id").alias("event_id")).write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    assert scan.input_partitions(df) >= 4
