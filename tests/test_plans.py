@@ -45,3 +45,24 @@ def test_scan_carry_is_broadcast(spark):
     plan = _plan(running_sum(e, ["user_id"], ["ts", "event_id"], F.lit(1), "n"))
     assert "BroadcastHashJoin" in plan and "MapInArrow" in plan
     assert "Window" not in plan.split("BroadcastExchange")[0]  # no window over the fact rows
+
+
+def test_answers_by_game_are_dealt_by_size(spark, tmp_path):
+    from quizmart.operators.reports import existing_answer_count
+    from quizmart.sources import standin as sv
+    d = str(tmp_path)
+    n = F.col("id")
+    spark.range(0, 2_000_000, 1, 4).select(F.floor(n / 4).alias("l_orderkey"), F.xxhash64("id").alias("l_partkey"), (n % 4).cast("int").alias("l_linenumber"),
+                                           F.lit("R").alias("l_returnflag"), F.lit(None).cast("timestamp_ntz").alias("l_shipdate"), F.xxhash64("id", F.lit(1)).alias("l_suppkey"),
+                                           n.cast("double").alias("l_extendedprice"), F.lit(1.0).alias("l_quantity")).write.parquet(f"{d}/lineitem.parquet")
+    spark.range(500_000).select(n.alias("o_orderkey"), (n % 9).alias("o_custkey")).write.parquet(f"{d}/orders.parquet")
+    ga = sv.game_answers(spark, d, by_game=True)
+    assert "REPARTITION_BY_NUM" in ga._jdf.queryExecution().executedPlan().toString()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = existing_answer_count(ga)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert plan.count("Exchange hashpartitioning") == 2  # both sides of the join, none for the aggregate
+    assert existing_answer_count(ga).filter("answer_count = 1").count() == 2_000_000
