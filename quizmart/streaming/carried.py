@@ -50,7 +50,7 @@ def stream_lobby_pairs(stream: DataFrame, sink: str, state: str, lobby: str = "l
 
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        ev = batch.filter(F.col("kind").isin(REQUEST, DISCONNECT)).select(F.col(lobby).alias("lobby"), "ts", "event_id", F.col(socket).alias("socket"), "kind")
+        ev = batch
         schema = T.StructType([ev.schema["lobby"], T.StructField("waiter", ev.schema["socket"].dataType), T.StructField("groups", T.LongType())])
         prior = carried(spark, state, batch_id, schema)
         here = ev.select("lobby").distinct()
@@ -72,7 +72,8 @@ def stream_lobby_pairs(stream: DataFrame, sink: str, state: str, lobby: str = "l
         finally:
             fold.unpersist()
 
-    return stream.writeStream.foreachBatch(each)
+    ev = stream.filter(F.col("kind").isin(REQUEST, DISCONNECT)).select(F.col(lobby).alias("lobby"), "ts", "event_id", F.col(socket).alias("socket"), "kind")
+    return ev.writeStream.foreachBatch(each)
 
 
 def stream_connections(stream: DataFrame, sink: str, state: str, socket: str = "user_id", connect: str = CONNECT):
@@ -86,7 +87,7 @@ def stream_connections(stream: DataFrame, sink: str, state: str, socket: str = "
 
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        ev = batch.select("event_id", "ts", socket, "kind")
+        ev = batch
         prior = carried(spark, state, batch_id, T.StructType([ev.schema[socket]]))
         base = prior.count()
         here = ev.select(socket).distinct()
@@ -103,7 +104,8 @@ def stream_connections(stream: DataFrame, sink: str, state: str, socket: str = "
         finally:
             deltas.unpersist()
 
-    return stream.writeStream.foreachBatch(each)
+    # a micro-batch is read several times and cannot be pruned there: only these columns are computed
+    return stream.select("event_id", "ts", socket, "kind").writeStream.foreachBatch(each)
 
 
 def stream_audit_stored(stream: DataFrame, root: str, audit: str, table_name: str, now, op_col: str | None = None):

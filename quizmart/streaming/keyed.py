@@ -1,4 +1,4 @@
-"""Streams whose state is per key in the state store: nothing already written is read again.
+"""Streams whose state is keyed in the state store: nothing already written is read again.
 
 * K1, :func:`stream_first_answers`: the first answer per key in arrival order.
 * K1, :func:`stream_first_answers_within`: the same with state for as long as a watermark says.
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quizmart.operators import changes
-from quizmart.streaming.streams import _batch_dir
+from quizmart.streaming.streams import STATE_BUCKETS, _batch_dir, bucket_of, id_of, id_or
 
 
 # ---------------------------------------------------------------------------- K1
@@ -75,51 +75,64 @@ def stream_first_answers_within(stream: DataFrame, answers: DataFrame, delay: st
 
 
 # ---------------------------------------------------------------------------- K6
-REQUEST_STATE = T.StructType([T.StructField("open_ts", T.ArrayType(T.LongType())), T.StructField("open_id", T.ArrayType(T.LongType())),
-                              T.StructField("heard", T.ArrayType(T.LongType()))])
+_LONGS = T.ArrayType(T.LongType())
+REQUEST_STATE = T.StructType([T.StructField(c, _LONGS) for c in ("open_user", "open_ts", "open_id", "heard_user", "heard_ts")])
 TIMEOUTS = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("request_us", T.LongType()), T.StructField("event_id", T.LongType())])
 
 
 def _timeouts(limit_us: int):
     def fn(key, frames: Iterator[pd.DataFrame], state):
-        open_ts, open_id, heard = (list(x) for x in state.get) if state.exists else ([], [], [])
+        got = state.get if state.exists else ([],) * 5
+        user, ts, ids, heard_user, heard = (np.array(x, "int64") for x in got)
         watermark = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
             for pdf in frames:
                 asks = pdf["is_request"].to_numpy(bool)
-                open_ts += pdf["us"].to_numpy()[asks].tolist()
-                open_id += pdf["event_id"].to_numpy()[asks].tolist()
-                heard += pdf["us"].to_numpy()[~asks].tolist()
-            heard.sort()
-            at = np.searchsorted(heard, open_ts) if open_ts else []
-            waits = [int(i) == len(heard) or heard[int(i)] > t + limit_us for t, i in zip(open_ts, at, strict=True)]
-            open_ts, open_id = ([x for x, w in zip(xs, waits, strict=True) if w] for xs in (open_ts, open_id))
-        late = [t + limit_us < watermark for t in open_ts]
-        rows = [(key[0], t, e) for t, e, x in zip(open_ts, open_id, late, strict=True) if x]
-        open_ts, open_id = ([v for v, x in zip(xs, late, strict=True) if not x] for xs in (open_ts, open_id))
-        heard = [t for t in heard if t >= watermark]  # a request that is still to come may have been answered
-        if open_ts or heard:
-            state.update((open_ts, open_id, heard))
-            due = min([t + limit_us for t in open_ts] + heard)
+                who, us = pdf["user_id"].to_numpy(), pdf["us"].to_numpy()
+                user, ts, ids = np.append(user, who[asks]), np.append(ts, us[asks]), np.append(ids, pdf["event_id"].to_numpy()[asks])
+                heard_user, heard = np.append(heard_user, who[~asks]), np.append(heard, us[~asks])
+            # all in order of user and time, at equal times the requests first: the next response of every row
+            n = len(user)
+            whose, when = np.append(user, heard_user), np.append(ts, heard)
+            response = np.arange(len(whose)) >= n
+            order = np.lexsort((response, when, whose))
+            after = np.where(response[order], np.arange(len(order)), len(order))
+            after = np.minimum.accumulate(after[::-1])[::-1]
+            found = np.append(order, -1)[after]  # -1: none comes after
+            found[(found >= 0) & (whose[found] != whose[order])] = -1
+            next_of = np.empty(len(order), "int64")
+            next_of[order] = found
+            next_of = next_of[:n]
+            waits = (next_of < 0) | (when[next_of] > ts + limit_us) if n else np.empty(0, bool)
+            user, ts, ids = user[waits], ts[waits], ids[waits]
+        late = ts + limit_us < watermark
+        out = pd.DataFrame({"user_id": user[late], "request_us": ts[late], "event_id": ids[late]})
+        user, ts, ids = user[~late], ts[~late], ids[~late]
+        heard_user, heard = heard_user[heard >= watermark], heard[heard >= watermark]  # a request that is still to come may have been answered
+        if len(ts) or len(heard):
+            state.update(tuple(x.tolist() for x in (user, ts, ids, heard_user, heard)))
+            due = int(min(np.append(ts + limit_us, heard)))
             state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(rows, columns=["user_id", "request_us", "event_id"]).astype("int64")
+        yield out
     return fn
 
 
-def stream_timeouts(events: DataFrame, is_request, is_response, limit_seconds: int, watermark: str) -> DataFrame:
+def stream_timeouts(events: DataFrame, is_request, is_response, limit_seconds: int, watermark: str, buckets: int = STATE_BUCKETS) -> DataFrame:
     """K6 by timers: (user_id, request_ts, event_id) of the requests without a response of the same user
     within ``limit_seconds`` (D10), each emitted when the watermark has passed its limit.
 
-    State per user: the requests still open, and the responses that a late request may yet claim; both go
-    when the watermark has passed them. All rows of ``events`` move the watermark, so a feed that ends
-    with a heartbeat (a row of any other kind, late enough) leaves nothing pending.
+    State per bucket of users (``buckets``, see :data:`streams.STATE_BUCKETS`): the requests still open, and
+    the responses that a late request may yet claim; both go when the watermark has passed them. All rows
+    of ``events`` move the watermark, so a feed that ends with a heartbeat (a row of any other kind, late
+    enough) leaves nothing pending. A NULL user has no responses.
     """
     e = events.withWatermark("ts", watermark)
     rows = e.select("user_id", "ts", "event_id", F.unix_micros("ts").alias("us"), is_request.alias("is_request"), is_response.alias("__r"))
     # names the event time, so that the filter stays above the watermark and heartbeats move it
-    wanted = F.when(F.col("ts").isNotNull(), F.col("is_request") | F.col("__r"))
-    out = rows.filter(wanted).drop("__r").groupBy("user_id").applyInPandasWithState(
+    wanted = F.when(F.col("ts").isNotNull(), F.col("is_request") | (F.col("__r") & F.col("user_id").isNotNull()))
+    rows = rows.filter(wanted).select(id_or("user_id"), "ts", id_or("event_id"), "us", "is_request")
+    out = rows.withColumn("bucket", bucket_of(F.col("user_id"), buckets)).groupBy("bucket").applyInPandasWithState(
         _timeouts(limit_seconds * 1_000_000), TIMEOUTS, REQUEST_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("user_id", F.timestamp_micros("request_us").alias("request_ts"), "event_id")
+    return out.select(id_of("user_id"), F.timestamp_micros("request_us").alias("request_ts"), id_of("event_id"))

@@ -246,3 +246,18 @@ def test_timers_give_every_timeout(spark):
     streams.run_available_now(t.writeStream.format("parquet").outputMode("append"), "t-timers", spark, out)
     want = sessions.join_request_timeouts(df.filter("kind = 'requestJoin'"), df.filter("kind = 'answer'"), "10 minutes")
     assert rows(spark.read.schema(t.schema).parquet(out), "user_id", "event_id") == rows(want, "user_id", "event_id")
+
+
+def test_state_is_called_for_buckets_and_keeps_nulls(spark):
+    """Thousands of sockets are a few keyed rows of state; NULL sockets and ids stay NULL, large ids exact."""
+    big = (1 << 60) + 1
+    ev = [(big + i, T0 + dt.timedelta(seconds=i), big + i % 2000, "connect" if i < 2000 else "disconnect") for i in range(3000)]
+    ev += [(None, T0, None, "connect"), (7, T0 + dt.timedelta(days=1), None, "disconnect")]
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, kind string")
+    src = _write_batches(spark, [df.filter(F.col("kind") == "connect"), df.filter(F.col("kind") == "disconnect")], "b")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = scratch_path(spark, "buckets")
+    q = streams.run_available_now(streams.stream_presence(stream, buckets=8).writeStream.format("parquet"), "t-k4b", spark, out)
+    got = spark.read.parquet(out)
+    assert rows(got, "event_id", "user_id", "kind", "delta") == rows(df.withColumn("delta", F.when(F.col("kind") == "connect", 1).otherwise(-1)), "event_id", "user_id", "kind", "delta")
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
