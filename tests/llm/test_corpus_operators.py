@@ -139,6 +139,25 @@ def test_line_links_equal_brute_force(spark):
         assert {(r.a, r.b) for r in lines.links(found, 2, common).collect()} == expected
 
 
+def test_near_copies_do_not_all_meet(spark, monkeypatch):
+    rng = random.Random(11)
+    base = " ".join("".join(rng.choice("aeobdfgklmnrst") for _ in range(rng.randint(3, 8))) for _ in range(40))
+    vowels = [i for i, c in enumerate(base) if c in "aeo" and i > len(base) // 3]
+    changed = {frozenset(rng.sample(vowels, 3)) for _ in range(120)}
+    changed |= {c | {rng.choice(vowels)} for c in sorted(changed, key=sorted)[:6]}  # one edit more
+    texts = {c: "".join("x" if i in c else ch for i, ch in enumerate(base)) for c in changed}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(texts.values()))], "doc_id long, text string")
+    found = lines.lines(docs)
+    h = {r.line: r.h for r in found.select("line", "h").collect()}
+    met, candidates = [], lines.candidates
+    monkeypatch.setattr(lines, "candidates", lambda *a, **k: met.append(candidates(*a, **k)) or met[-1])
+    got = {(r.a, r.b) for r in lines.links(found).collect()}
+    expected = {tuple(sorted((h[texts[a]], h[texts[b]]))) for a in changed for b in changed if a != b and len(a ^ b) <= 2}
+    assert got == expected and len(expected) >= 6
+    # all lines share a third and differ in the same four letters: about 7,900 pairs, of which most are 6 edits apart
+    assert sum(m.count() for m in met) <= 4 * len(changed)
+
+
 def kept_lines(docs, min_chars=6, tau=2):
     """Brute force of drop_duplicate_lines: lines by document and number."""
     seen, out = [], {}
