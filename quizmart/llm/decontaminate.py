@@ -304,6 +304,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     are ignored.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for block in blocks(benchmark, item_text, block_chars):
@@ -328,6 +329,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that leak no benchmark item, with all their columns."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     for block in blocks(benchmark, block_chars=block_chars):
         shared = spark.sparkContext.broadcast(block)
 

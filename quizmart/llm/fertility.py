@@ -58,6 +58,9 @@ FENCE, LEAST_MARGIN = 1.5, 0.05
 #: one vocabulary, mojibake in both. On sf0.1 the clean documents reach 3.6 and 0.95.
 EITHER, BOTH = 4.5, 1.5
 
+#: Words that a worker remembers: most of a larger memo are words met once.
+WORDS = 300_000
+
 #: The script that a UTF-8 lead byte stands for: first lead byte of each run.
 LEADS = [(0xC2, "other"), (0xC3, "latin"), (0xCA, "other"), (0xCD, "greek"), (0xD0, "cyrillic"), (0xD4, "other"), (0xD6, "hebrew"), (0xD8, "arabic"), (0xDC, "other"), (0xE0, "indic"), (0xE1, "other"), (0xE3, "cjk"), (0xEE, "other")]
 SCRIPTS = ["latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "cjk", "other"]
@@ -107,7 +110,7 @@ def _build(directory: str) -> common.WordTable:
         fallback = common.starts(is_byte[np.fromiter(chain.from_iterable(cut), np.int64, int(at[-1]))])
         return ids, np.stack((np.fromiter(map(len, ids), np.int64, len(ids)), n_pieces, fallback[at[1:]] - fallback[at[:-1]]), axis=1)
 
-    return common.WordTable(describe, 3, np.int32)
+    return common.WordTable(describe, 3, np.int32, limit=WORDS)
 
 
 #: Odd multipliers that tell the places of a window apart.
@@ -237,6 +240,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the measures are checkpointed for the learned bands.
     """
     checkpoint_root(docs.sparkSession)
+    common.small_batches(docs.sparkSession)
     bands = bands or BANDS
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
@@ -244,7 +248,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", common.WORDS_BYTES):
                 langs = part.column(2).to_pylist()
                 found = measure(common.byte_column(part, "text"), langs, directory, bands)
                 keys = [k or b for k, b in zip(langs, found["bands"], strict=True)]
@@ -269,6 +273,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", directory: str = common.TOKENIZER_DIR, bands: dict | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns. The texts are
     read twice, for the learned bands and for the rows, and written nowhere."""
+    common.small_batches(docs.sparkSession)
     bands = bands or BANDS
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     source = docs.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
@@ -276,7 +281,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "l
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", common.WORDS_BYTES):
                 langs = part.column(1).to_pylist()
                 found = measure(common.byte_column(part, "text"), langs, directory, bands)
                 keys = [k or b for k, b in zip(langs, found["bands"], strict=True)]
@@ -286,7 +291,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, text_col):
+            for part in common.slices(batch, text_col, common.WORDS_BYTES):
                 langs = part.column(part.schema.get_field_index(lang_col)).to_pylist() if lang_col else [None] * part.num_rows
                 yield part.filter(pa.array(measure(common.byte_column(part, text_col), langs, directory, bands, learned)["kept"], pa.bool_()))
 

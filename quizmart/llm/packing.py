@@ -131,12 +131,13 @@ def token_ids(texts: list[bytes | None], path: str) -> tuple[np.ndarray, np.ndar
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32. A null or empty text is one
     piece that holds only the end id; repeated rows are packed each; other columns are ignored."""
+    common.small_batches(docs.sparkSession)
     path = path or os.path.join(common.TOKENIZER_DIR, "word_bpe_49k.json")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", common.WORDS_BYTES):
                 ids, at = token_ids(common.byte_column(part, "text"), path)
                 rows: list[tuple] = []
                 for doc, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):

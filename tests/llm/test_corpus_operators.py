@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quizmart.llm import components, decontaminate, lines, packing, repeats, simhash
+from quizmart.llm import common, components, decontaminate, fertility, lines, packing, repeats, simhash
 
 SMALL = "/root/testdata/sf0.001"
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -458,3 +458,48 @@ def test_packing(spark):
             assert r["start"] == 4096 * r["piece"]
     assert sum(r["doc_id"] == 10_003 for r in out) == 2 and sum(r["doc_id"] is None for r in out) == 1
     assert packing.pack(both.limit(0)).count() == 0
+
+
+def test_pipeline_stages_send_texts_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat("id", F.lit(" words ")), 1000).alias("text"), F.lit("en").alias("lang"))
+    benchmark = spark.createDataFrame([(1, "six words of a benchmark item here")], "item_id long, text string")
+    stages = {
+        "quality_rules": lambda: fertility.keep_good(docs.limit(40)),
+        "simhash_near_dedup": lambda: simhash.fingerprints(docs),
+        "benchmark_decontamination": lambda: decontaminate.keep_clean(docs, benchmark),
+        "best_fit_packing": lambda: packing.pieces(docs),
+    }
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"])
+
+    for name, stage in stages.items():
+        spark.conf.unset(key)
+        stage()
+        got = docs.select("text").mapInArrow(sizes, "bytes long, n long").collect()
+        assert sum(r["n"] for r in got) == 1500, name
+        assert max(r["bytes"] for r in got) <= common.BATCH_BYTES + (64 << 10), name
+    spark.conf.set(key, str(1 << 20))
+    common.small_batches(spark)
+    assert spark.conf.get(key).rstrip("b") == str(1 << 20)  # a smaller setting stays
+    spark.conf.unset(key)
+
+
+def test_fertility_memo_is_bounded_and_forgets_without_changing_measures():
+    table = fertility._build(common.TOKENIZER_DIR)
+    assert table.limit <= 300_000
+    texts = [" ".join(f"w{i * k}" for i in range(60)).encode() for k in range(1, 30)]
+
+    def described():
+        rows = [(table.lookup(t.split()), table.columns) for t in texts]
+        return [columns[at].tolist() for at, columns in rows]
+
+    whole = described()
+    table.limit = 50
+    table._clear()
+    assert described() == whole
+    assert table.size < 50 + 2 * 60
