@@ -64,6 +64,41 @@ def test_long_document_is_cut_without_effect():
     assert windows == len(text) - 49
 
 
+def test_repeats_messages_do_not_grow_with_the_buckets():
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(200)) for _ in range(600)]
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)] + [i // 2 for i in range(299)] + [(1 << 63) - 1]
+    few, many = ([m for _, m in repeats.Block(ids, texts, n).messages()] for n in (8, 512))
+    assert len(many) > 500 and sum(map(len, many)) < 1.7 * sum(map(len, few))
+
+
+def test_repeats_settle_names_the_smallest_document():
+    rng = random.Random(6)
+    passages = [bytes(rng.choice(b"abcdefgh ") for _ in range(90)) for _ in range(30)]
+    ids = [rng.choice([-(1 << 63), -7, 0, 5, 130, 1 << 40, (1 << 63) - 1]) for _ in range(60)]
+    texts = [rng.choice(passages) + b"|" + rng.choice(passages) for _ in ids]
+    blocks = [repeats.Block(ids[k::3], texts[k::3], 4) for k in range(3)]
+    sent = [(b, k, m) for b in blocks for k, m in b.messages()]
+    replies = [{} for _ in blocks]
+    for bucket in range(4):
+        own = [(b, m) for b, k, m in sent if k == bucket]
+        for (b, _), x in zip(own, repeats.settle([m for _, m in own]), strict=True):
+            replies[blocks.index(b)][bucket] = x
+    least = {}
+    for b in blocks:
+        for r, w in enumerate(b.whole.tolist()):
+            least[w] = min(least.get(w, 1 << 63), int(b.ids[b.doc[r]]))
+    for b, given_back in zip(blocks, replies, strict=True):
+        here = [b.name_of(k) for k in range(len(b.distinct))]
+        assert (b.flags(given_back) & 1).tolist() == [int(least[w] < n) for w, n in zip(b.distinct.tolist(), here, strict=True)]
+
+
+@given(st.lists(st.integers(-(1 << 63), (1 << 63) - 1)))
+def test_varints(values):
+    data, at = repeats.varints(np.array(values, np.int64))
+    assert repeats.from_varints(data).astype(np.int64).tolist() == values and at[-1] == len(data)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab\0", max_size=14), min_size=1, max_size=6))
 def test_maximal_repeats_equal_brute_force(texts):
