@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quizmart.operators.scan import sequence_number
+from quizmart.session import measured, small_batches
 
 ANSWER = T.StructType([T.StructField("text", T.StringType()), T.StructField("right_wrong", T.BooleanType())])
 QUESTION = T.StructType([T.StructField("question_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -53,7 +54,12 @@ def nest_catalogue(courses: DataFrame, questions: DataFrame, answers: DataFrame,
     Questions keep their answers in answer_id order; questions are ordered by question_id.
     A question with more than ``answers_page_size`` answers is continued in further entries
     (``answer_start`` > 0).
+
+    The pages take their course's name and count from a table of courses that is broadcast if small, and
+    stay where they were built: a shuffle by course would bring all pages of a course to one task. Courses
+    without questions, which have no pages, are added to them.
     """
+    small_batches(courses.sparkSession)  # texts go through the scan that numbers the questions
     a = nest_in_pages(answers, ["question_id"], ["answer_id"],
                       F.struct(F.col("text"), F.col("right_wrong")), answers_page_size, "answers")
     expl = F.col("explanation") if "explanation" in questions.columns else F.lit(None).cast("string")
@@ -66,11 +72,21 @@ def nest_catalogue(courses: DataFrame, questions: DataFrame, answers: DataFrame,
                                 (F.coalesce(F.col("answer_page"), F.lit(0)) * answers_page_size).cast("bigint").alias("answer_start")),
                        page_size, "questions")
     counts = questions.groupBy("course_id").agg(F.count(F.lit(1)).alias("question_count"))
-    c = courses.select("course_id", "course_name")
-    return (c.join(counts, "course_id", "left").join(qs, "course_id", "left")
-            .select(F.col("course_id").cast("int"), "course_name",
-                    F.coalesce("question_count", F.lit(0)).cast("bigint").alias("question_count"),
-                    "page", "questions"))
+    c = measured(courses.select("course_id", "course_name").join(counts, "course_id", "left"), "catalogue-courses")
+    paged = qs.withColumnRenamed("course_id", "__course_id").join(
+        c.filter(F.col("question_count").isNotNull()), F.col("__course_id") == F.col("course_id")).drop("__course_id")
+    empty = c.filter(F.col("question_count").isNull()).withColumns(
+        {x: F.lit(None).cast(paged.schema[x].dataType) for x in ("page", "questions")})
+    return paged.unionByName(empty).select(
+        F.col("course_id").cast("int"), "course_name",
+        F.coalesce("question_count", F.lit(0)).cast("bigint").alias("question_count"), "page", "questions")
+
+
+def with_declared_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """``pages`` with the ``question_count`` of ``counts`` (course_id, question_count), 0 where it has none.
+    The counts are a row per course, so that the pages need not be shuffled by course."""
+    return (pages.drop("question_count").join(measured(counts, "catalogue-counts"), "course_id", "left")
+            .withColumn("question_count", F.coalesce("question_count", F.lit(0)).cast("bigint")))
 
 
 def flatten_catalogue(pages: DataFrame) -> DataFrame:

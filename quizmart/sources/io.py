@@ -111,9 +111,10 @@ def read_catalogue_json(spark: SparkSession, path: str, schema: T.StructType = C
     return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
 
 
-def write_json_snapshot(df: DataFrame, path: str) -> None:
-    """Persist the full state as JSON lines (overwrite, like the page's localStorage save)."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json_snapshot(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Persist the full state as JSON lines (overwrite, like the page's localStorage save).
+    ``compression``: a codec of Spark's text files; a file of gzip is read whole by one task."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,6 +62,28 @@ def test_answer_pages_do_not_change_results(spark):
     assert nested.catalogue_count_mismatch(cut).count() == 0
 
 
+def test_pages_of_a_large_course_are_spread(spark):
+    """The pages of one course do not meet in one task when they get its name and counts."""
+    courses = spark.createDataFrame([(1, "Mathe"), (1, "Zweitname"), (2, "Leer"), (None, "Ohne")], "course_id int, course_name string")
+    qs = spark.createDataFrame([(i, 1, "x" * 400) for i in range(200)] + [(200, None, "y"), (201, 3, "z")], "question_id long, course_id int, text string")
+    ans = spark.createDataFrame([(q, q // 2, "A", True) for q in range(200)], "answer_id long, question_id long, text string, right_wrong boolean")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+        pages = nested.nest_catalogue(courses, qs, ans, page_size=2)
+        approved = qs.filter("question_id < 7").groupBy("course_id").agg(F.count(F.lit(1)).alias("question_count"))
+        declared = nested.with_declared_counts(pages, approved)
+        for df, count in ((pages, 200), (declared, 7)):
+            at = df.filter("course_name = 'Mathe'").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+            assert len(at) > 3 and sum(r.n for r in at) == 100
+            got = rows(df.groupBy("course_id", "course_name").agg(F.max("question_count").alias("c"), F.count("page").alias("n"), F.count(F.lit(1)).alias("all")))
+            assert got == [(1, "Mathe", count, 100, 100), (1, "Zweitname", count, 100, 100), (2, "Leer", 0, 0, 1), (None, "Ohne", 0, 0, 1)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_copy_block_and_quarantine(spark):
     path = scratch_path(spark, "t-block")
     text = ["COPY public.t (id, txt, ok) FROM stdin;", "1\ta\\tb\ue000c\\\\\\n\tt", "x\tbad id\tf", "3\tshort", "4\t\\N\t\\N", "\\.", ""]
